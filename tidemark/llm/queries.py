@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality_rules, source_mix, warc_store
+from . import decontamination, ngram_join, quality_rules, source_mix, token_counts, warc_store
 from .common import table
 
 
@@ -20,9 +20,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archive(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_decontamination, op5_warc, op9_source_mix)}
-ORACLES = {"op5_warc": warc_store.ORACLE, "op9_source_mix": source_mix.ORACLE}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op3_decontamination, op5_warc, op6_ngram_join, op9_source_mix, op10_token_counts)
+}
+ORACLES = {"op6_ngram_join": ngram_join.ORACLE, "op5_warc": warc_store.ORACLE, "op9_source_mix": source_mix.ORACLE}
