@@ -41,10 +41,14 @@ SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 75
 #: Shingles whose frequency is known to the order at most (12 bytes each).
-MAX_FREQUENT = 1_000_000
+MAX_FREQUENT = 250_000
 #: Shingles seen together when frequent ones are looked for.
 CHUNK = 4_000_000
 MAX_MATCHES = 8
+#: A list's first class is verified early against classes that share 1 of so many of their shingles with it.
+STAR_SHARE = 20
+#: Documents to read again whose keys (two numbers each) may be broadcast; beyond, they are joined by shuffle.
+MAX_BROADCAST = 1_000_000
 #: Postings of a frequent shingle that one group of a list holds, about.
 LIST_PART = 20_000
 
@@ -146,12 +150,18 @@ def similar(a: Column, b: Column, both: Column, percent: int) -> Column:
     return 100 * both >= percent * (a + b - both)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link."""
-    half = pairs.join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
-    whole = half.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x")
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets link. One document of each class asked for is read again."""
+    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    wanted = store(classes.join(ids, "id", "left_semi").select(F.col("d.digest").alias("g"), F.col("d.doc_id").alias("i")))
+    if wanted.count() <= MAX_BROADCAST:  # two numbers a row
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, (F.xxhash64("text") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
+    sets = texts.select("text").mapInArrow(_sets, "id bigint, tokens array<bigint>").repartition("id")
+    half = pairs.join(sets.withColumnsRenamed({"id": "y", "tokens": "ty"}), "y")
+    whole = half.join(sets.withColumnsRenamed({"id": "x", "tokens": "tx"}), "x")
     both = F.size(F.array_intersect("tx", "ty"))
-    return whole.where(similar(F.size("tx"), F.size("ty"), both, percent)).select("x", "y")
+    return whole.where(similar(F.size("tx"), F.size("ty"), both, percent)).select("x", "y").distinct()
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -163,17 +173,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     n_links (other classes that its text was found linked with: a star has them all at its
     centre, as links inside a component are not looked for once it is joined)."""
     spark = docs.sparkSession
-    digest = F.xxhash64("text")
     signed = store(
-        docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(
+        docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(
             lambda it: _signatures(it, percent), "kind int, doc_id bigint, digest bigint, n bigint, id bigint, count bigint")
     )
-    frequent = (
-        signed.where("kind = 1").groupBy("id").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "id").limit(MAX_FREQUENT).toPandas().sort_values("id")
-    )
-    token = frequent["id"].to_numpy(np.int64).view(np.uint64)
+    frequent = signed.where("kind = 1").groupBy("id").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "id").limit(MAX_FREQUENT).toArrow()
+    token, often = (frequent.column(c).to_numpy() for c in ("id", "c"))
+    token = token.astype(np.int64).view(np.uint64)
     order = np.argsort(token)
-    shared = spark.sparkContext.broadcast((token[order], frequent["c"].to_numpy(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((token[order], often.astype(np.int64)[order]))
 
     posted = docs.select("text").mapInArrow(
         lambda it: _postings(it, percent, shared), "token bigint, part int, id bigint, n int, ell int")
@@ -185,19 +193,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         .select("token", "part", "id", "n", "ell", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
         .dropDuplicates(["token", "part", "id"])
     )
-    # texts of the classes that share a prefix shingle: one document each
-    chosen = signed.where("kind = 0 and n > 0").groupBy("id").agg(F.min(F.struct("digest", "doc_id")).alias("d"))
-    wanted = store(chosen.join(live.select("id").distinct(), "id", "left_semi").select(F.col("d.digest").alias("g"), F.col("d.doc_id").alias("i")))
-    texts = docs.join(wanted, (digest == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    sets = store(texts.select("text").mapInArrow(_sets, "id bigint, tokens array<bigint>").dropDuplicates(["id"]))
+    classes = signed.where("kind = 0 and n > 0").groupBy("id").agg(F.min(F.struct("digest", "doc_id")).alias("d"))
 
     heads = live.where("part > 0").select("token", "head", "head_n").distinct()
     across = heads.groupBy("token").agg(F.min(F.struct("head", "head_n")).alias("h"))
     stars = live.select(F.col("head").alias("x"), F.col("head_n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny")).unionByName(
         heads.join(across, "token").select(F.col("h.head").alias("x"), F.col("h.head_n").alias("nx"), F.col("head").alias("y"), F.col("head_n").alias("ny"))
     )
-    stars = store(stars.where((F.col("x") != F.col("y")) & _sizes_fit(F.col("nx"), F.col("ny"), percent)).select("x", "y").distinct())
-    links = store(_verify(stars, sets, percent))
+    # only those with much in common; what is left out here is paired in full below
+    stars = store(
+        stars.where((F.col("x") != F.col("y")) & _sizes_fit(F.col("nx"), F.col("ny"), percent))
+        .groupBy("x", "y", "ny").agg(F.count("*").alias("shared"))
+        .where(STAR_SHARE * F.col("shared") >= F.col("ny")).select("x", "y").distinct()
+    )
+    links = store(_verify(stars, docs, classes, percent))
     joined = components(links)
 
     # lists that still hold several components: all their pairs across components
@@ -216,9 +225,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         .select("x", "y")
         .join(stars, ["x", "y"], "left_anti")
     )
-    more = store(_verify(pairs, sets, percent))
-    links = links.unionByName(more)
-    joined = components(links) if not more.isEmpty() else joined
+    pairs = store(pairs)
+    if not pairs.isEmpty():
+        links = links.unionByName(store(_verify(pairs, docs, classes, percent)))
+        joined = components(links)
 
     member = signed.where("kind = 0")
     degree = (
