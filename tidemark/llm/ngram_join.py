@@ -15,7 +15,7 @@ Steps, each a Spark job on tables in the shared folder:
   3. each class is verified against the first class of each of its posting lists, which
      joins groups of near copies by stars instead of by all their pairs
   4. what the links so far do not join is paired in full: pairs of different components
-     that share enough prefix shingles are verified
+     that share enough prefix shingles, at places that leave room for the rest, are verified
 No list, candidate or partner is capped. Estimates steer cost alone, never the result.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and is its
@@ -41,10 +41,10 @@ SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 75
 #: Shingles whose frequency is known to the order at most (12 bytes each).
-MAX_FREQUENT = 250_000
+MAX_FREQUENT = 1_000_000
 #: Shingles seen together when frequent ones are looked for.
-CHUNK = 4_000_000
-MAX_MATCHES = 8
+CHUNK = 2_000_000
+MAX_MATCHES = 64
 #: A list's first class is verified early against classes that share 1 of so many of their shingles with it.
 STAR_SHARE = 20
 #: Documents to read again whose keys (two numbers each) may be broadcast; beyond, they are joined by shuffle.
@@ -128,11 +128,11 @@ def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterat
                     df = None
             p = n - need + ell
             part = np.zeros(p, np.int32) if df is None else np.where(df[:p] > LIST_PART, 1 + i % (1 + df[:p] // LIST_PART), 0).astype(np.int32)
-            out.append((s[:p], part, np.full(p, i, np.int64), np.full(p, n, np.int32), np.full(p, ell, np.int32)))
+            out.append((s[:p], part, np.full(p, i, np.int64), np.arange(p, dtype=np.int32), np.full(p, n, np.int32), np.full(p, ell, np.int32)))
         if out:
-            t, part, i, n, ell = (np.concatenate(x) for x in zip(*out))
+            t, part, i, pos, n, ell = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t.view(np.int64)), pa.array(part), pa.array(i), pa.array(n), pa.array(ell)], names=["token", "part", "id", "n", "ell"])
+                [pa.array(t.view(np.int64)), pa.array(part), pa.array(i), pa.array(pos), pa.array(n), pa.array(ell)], names=["token", "part", "id", "pos", "n", "ell"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +184,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     shared = spark.sparkContext.broadcast((token[order], often.astype(np.int64)[order]))
 
     posted = docs.select("text").mapInArrow(
-        lambda it: _postings(it, percent, shared), "token bigint, part int, id bigint, n int, ell int")
+        lambda it: _postings(it, percent, shared), "token bigint, part int, id bigint, pos int, n int, ell int")
     lists = Window.partitionBy("token", "part")
     live = store(
         posted.withColumn("head", F.min(F.struct("id", "n")).over(lists))
         .withColumn("last", F.max("id").over(lists))
         .where((F.col("head.id") != F.col("last")) | (F.col("part") > 0))
-        .select("token", "part", "id", "n", "ell", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
+        .select("token", "part", "id", "pos", "n", "ell", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
         .dropDuplicates(["token", "part", "id"])
     )
     classes = signed.where("kind = 0 and n > 0").groupBy("id").agg(F.min(F.struct("digest", "doc_id")).alias("d"))
@@ -211,20 +211,21 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
 
     # lists that still hold several components: all their pairs across components
     at = live.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "n", "ell", F.coalesce("label", "id").alias("label"))
+        "token", "id", "pos", "n", "ell", F.coalesce("label", "id").alias("label"))
     at = store(at)
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rest = store(at.join(mixed, "token", "left_semi"))
-    other = rest.select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ey"), F.col("label").alias("ly"))
+    other = rest.select("token", *[F.col(c).alias(c + "2") for c in ("id", "pos", "n", "ell", "label")])
     pairs = (
         rest.join(other, "token")
-        .where((F.col("label") < F.col("ly")) & _sizes_fit(F.col("n"), F.col("ny"), percent))
-        .groupBy(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("ell", "ey")).alias("least"))
-        .where("shared >= least")
-        .select("x", "y")
-        .join(stars, ["x", "y"], "left_anti")
+        .where((F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2"), percent))
+        .groupBy("id", "id2", "n", "n2", F.least("ell", "ell2").alias("least"))
+        .agg(F.count("*").alias("shared"), F.max("pos").alias("last"), F.max("pos2").alias("last2"))
     )
+    # every other common shingle comes after the last shared one, in both
+    most = F.col("shared") + F.least(F.col("n") - 1 - F.col("last"), F.col("n2") - 1 - F.col("last2"))
+    fit = (F.col("shared") >= F.col("least")) & similar(F.col("n"), F.col("n2"), most, percent)
+    pairs = pairs.where(fit).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).join(stars, ["x", "y"], "left_anti")
     pairs = store(pairs)
     if not pairs.isEmpty():
         links = links.unionByName(store(_verify(pairs, docs, classes, percent)))

@@ -106,7 +106,7 @@ def shingles(w: Words, size: int) -> list[np.ndarray]:
     return out
 
 
-def pieces(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
     """Slices of a batch that hold about `limit` bytes of text each (a longer text is one slice)."""
     texts = batch.column(column)
     if not len(texts):

@@ -388,7 +388,7 @@ def count_tokens(docs: DataFrame, *, path: str | None = None, limit: int = LIMIT
             where = public_tokenizers.path(VOCABULARY)
         machine, special = transducer(where)
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 1, 4 << 20):
                 n = count_batch(part.column(1), machine, special)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
