@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, lm_score, ngram_join, quality_rules, source_mix, token_counts, toxicity, warc_store
+from . import decontamination, license_scan, lm_score, ngram_join, quality_rules, secret_scan, source_mix, token_counts, toxicity, warc_store
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op3_decontamination, op4_toxicity, op5_warc, op6_ngram_join, op7_license_scan, op8_lm_score,
+        op1_quality_rules, op2_secret_scan, op3_decontamination, op4_toxicity, op5_warc, op6_ngram_join, op7_license_scan, op8_lm_score,
         op9_source_mix, op10_token_counts)
 }
 ORACLES = {"op6_ngram_join": ngram_join.ORACLE, "op5_warc": warc_store.ORACLE, "op9_source_mix": source_mix.ORACLE}
