@@ -44,7 +44,9 @@ PERCENT = 75
 MAX_FREQUENT = 1_000_000
 #: Shingles seen together when frequent ones are looked for.
 CHUNK = 2_000_000
-MAX_MATCHES = 64
+MAX_MATCHES = 4
+#: Rounds of further stars.
+ROUNDS = 2
 #: A list's first class is verified early against classes that share 1 of so many of their shingles with it.
 STAR_SHARE = 20
 #: Documents to read again whose keys (two numbers each) may be broadcast; beyond, they are joined by shuffle.
@@ -137,31 +139,35 @@ def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterat
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in pieces(whole, 0)):
-        sets = [s for s in shingles(Words(batch.column(0)), SHINGLE) if len(s)]
-        if sets:
-            offsets = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(s) for s in sets], out=offsets[1:])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_class(s) for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "tokens"])
+        sets = shingles(Words(batch.column(0)), SHINGLE)
+        offsets = np.zeros(len(sets) + 1, np.int32)
+        np.cumsum([len(s) for s in sets], out=offsets[1:])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))],
+            names=["key", "id", "tokens"])
 
 
 def similar(a: Column, b: Column, both: Column, percent: int) -> Column:
     return 100 * both >= percent * (a + b - both)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link. One document of each class asked for is read again."""
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    wanted = store(classes.join(ids, "id", "left_semi").select(F.col("d.digest").alias("g"), F.col("d.doc_id").alias("i")))
-    if wanted.count() <= MAX_BROADCAST:  # two numbers a row
+def _sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, id, tokens) for rows (key, id): one document of each class asked for is read again,
+    and goes out once per key straight from where it was read."""
+    wanted = store(classes.join(asked, "id").select(F.col("d.digest").alias("g"), F.col("d.doc_id").alias("i"), "key", "id"))
+    if wanted.count() <= MAX_BROADCAST:  # four numbers a row
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, (F.xxhash64("text") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets, "id bigint, tokens array<bigint>").repartition("id")
-    half = pairs.join(sets.withColumnsRenamed({"id": "y", "tokens": "ty"}), "y")
-    whole = half.join(sets.withColumnsRenamed({"id": "x", "tokens": "tx"}), "x")
-    both = F.size(F.array_intersect("tx", "ty"))
-    return whole.where(similar(F.size("tx"), F.size("ty"), both, percent)).select("x", "y").distinct()
+    texts = docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")))
+    return texts.select("text", "key", "id").mapInArrow(_sets, "key bigint, id bigint, tokens array<bigint>")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets link."""
+    heads = _sets_of(pairs.select(F.col("x").alias("key"), F.col("x").alias("id")).distinct(), docs, classes)
+    members = _sets_of(pairs.select(F.col("x").alias("key"), F.col("y").alias("id")), docs, classes)
+    whole = members.join(heads.select("key", F.col("tokens").alias("head")), "key")
+    both = F.size(F.array_intersect("tokens", "head"))
+    return whole.where(similar(F.size("tokens"), F.size("head"), both, percent)).select(F.col("key").alias("x"), F.col("id").alias("y")).distinct()
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -209,23 +215,46 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     links = store(_verify(stars, docs, classes, percent))
     joined = components(links)
 
+    def mixed(joined: DataFrame) -> DataFrame:
+        """Postings of the lists that hold several components, with their labels."""
+        at = live.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
+            "token", "id", "pos", "n", "ell", F.coalesce("label", "id").alias("label"))
+        several = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        return store(at.join(several, "token", "left_semi"))
+
+    # more stars, each round with other centres: most groups of near copies become one component
+    tried, rest = stars, mixed(joined)
+    for turn in range(ROUNDS):
+        centre = rest.groupBy("token").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn))).alias("c"))
+        more = (
+            rest.join(centre, "token")
+            .where((F.col("label") != F.col("c.label")) & _sizes_fit(F.col("n"), F.col("c.n"), percent))
+            .groupBy(F.least("id", "c.id").alias("x"), F.greatest("id", "c.id").alias("y"), F.least("n", "c.n").alias("ny"))
+            .agg(F.count("*").alias("shared")).where(STAR_SHARE * F.col("shared") >= F.col("ny")).select("x", "y")
+            .join(tried, ["x", "y"], "left_anti")
+        )
+        more = store(more)
+        if more.isEmpty():
+            break
+        tried = tried.unionByName(more)
+        links = links.unionByName(store(_verify(more, docs, classes, percent)))
+        joined = components(links)
+        rest = mixed(joined)
     # lists that still hold several components: all their pairs across components
-    at = live.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "pos", "n", "ell", F.coalesce("label", "id").alias("label"))
-    at = store(at)
-    mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest = store(at.join(mixed, "token", "left_semi"))
     other = rest.select("token", *[F.col(c).alias(c + "2") for c in ("id", "pos", "n", "ell", "label")])
+    # the smaller set of a pair has at least as many in common as with one of its own size
+    own = lambda n, ell: n - F.ceil(2 * percent * n / (100 + percent)) + ell
+    early = F.when(F.col("n") >= F.col("n2"), F.col("pos2") < own(F.col("n2"), F.col("ell2"))).otherwise(F.col("pos") < own(F.col("n"), F.col("ell")))
     pairs = (
         rest.join(other, "token")
-        .where((F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2"), percent))
+        .where((F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2"), percent) & early)
         .groupBy("id", "id2", "n", "n2", F.least("ell", "ell2").alias("least"))
         .agg(F.count("*").alias("shared"), F.max("pos").alias("last"), F.max("pos2").alias("last2"))
     )
     # every other common shingle comes after the last shared one, in both
     most = F.col("shared") + F.least(F.col("n") - 1 - F.col("last"), F.col("n2") - 1 - F.col("last2"))
     fit = (F.col("shared") >= F.col("least")) & similar(F.col("n"), F.col("n2"), most, percent)
-    pairs = pairs.where(fit).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).join(stars, ["x", "y"], "left_anti")
+    pairs = pairs.where(fit).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).join(tried, ["x", "y"], "left_anti")
     pairs = store(pairs)
     if not pairs.isEmpty():
         links = links.unionByName(store(_verify(pairs, docs, classes, percent)))
