@@ -1,11 +1,382 @@
-"""Registry of queries over the driver tables and the SQL they are checked against."""
+"""Queries of the library's operators over the driver tables, each with equivalent SQL.
 
-FLAGSHIP = None
+Panel queries read bars made of lineitem: an entity is the region of the supplier, a price
+is extended price over quantity, volume is the quantity of the day.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalize, windows as w
+from ..operators import asof, evaluation, features, lifecycle, outcomes, panel, quality, rank, scoring, signals, similarity, states
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def bars(spark: SparkSession, sf: str) -> DataFrame:
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    n = t(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    at = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
+    return (
+        li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("n_regionkey").alias("entity_id"), F.col("l_shipdate").alias("event_time"))
+        .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum("l_quantity").alias("volume"))
+    )
+
+
+BARS = """
+bars AS (
+  SELECT n_regionkey AS entity_id, l_shipdate AS event_time,
+         arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
+         max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+         arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_extendedprice)) AS close, sum(l_quantity) AS volume
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL
+), dense AS (
+  SELECT e.entity_id, d.event_time, open, high, low, close, volume,
+         row_number() OVER (PARTITION BY e.entity_id ORDER BY d.event_time)::DOUBLE AS bar
+  FROM (SELECT DISTINCT entity_id FROM bars) e CROSS JOIN (SELECT DISTINCT event_time FROM bars) d
+  LEFT JOIN bars b ON b.entity_id = e.entity_id AND b.event_time = d.event_time
+)"""
+
+
+def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense bars with the market benchmark (mean close of the day)."""
+    b = panel.densify(bars(spark, sf))
+    market = b.groupBy("event_time").agg(F.avg("close").alias("market"))
+    return b.join(market, "event_time").withColumns({"close_raw": F.col("close"), "sector": F.lit(None).cast("double"), "industry": F.lit(None).cast("double")})
+
+
+def r(c, digits: int = 4):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)  # no negative zero
+
+
+_H = "(PARTITION BY entity_id ORDER BY event_time"
+
+
+def _full(x: str, n: int, agg: str) -> str:
+    over = f"OVER {_H} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {over} = {n} THEN {agg}({x}) {over} END"
+
+
+_TR = f"CASE WHEN high IS NOT NULL AND lag(close) OVER {_H}) IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER {_H})), abs(low - lag(close) OVER {_H}))) END"
+
+
+@query(f"""WITH {BARS}, a AS (
+  SELECT *, {_TR} AS tr, {_full('close', 252, 'max')} AS top, {_full('volume', 20, 'avg')} AS vol FROM dense
+), b AS (SELECT *, {_full('tr', 20, 'avg')} AS atr FROM a)
+SELECT entity_id, event_time, round((close - top) / nullif(top, 0), 4) AS drawdown_pct, round(volume / nullif(vol, 0), 4) AS rvol, round(atr, 4) AS atr
+FROM b WHERE event_time = (SELECT max(event_time) FROM dense)""")
+def p12_last_vectors(spark, sf):
+    b = panel.densify(bars(spark, sf))
+    b = b.withColumns({"_tr": w.true_range(F.col("high"), F.col("low"), F.col("close")), "_top": w.highest(F.col("close"), 252), "_vol": w.mean(F.col("volume"), 20)})
+    b = b.withColumns({"drawdown_pct": w.ratio(F.col("close") - F.col("_top"), F.col("_top")), "rvol": w.ratio(F.col("volume"), F.col("_vol")), "atr": w.mean(F.col("_tr"), 20)})
+    return features.last_vectors(b).select("entity_id", "event_time", r("drawdown_pct"), r("rvol"), r("atr")).toDF("entity_id", "event_time", "drawdown_pct", "rvol", "atr")
+
+
+FLAGSHIP = p12_last_vectors
+
+_LR = f"CASE WHEN close > 0 AND lag(close) OVER {_H}) > 0 THEN ln(close / lag(close) OVER {_H})) END"
+
+
+@query(f"""WITH {BARS}, a AS (
+  SELECT *, {_LR} AS lr, {_TR} AS tr, {_full('low', 5, 'min')} AS low5, {_full('close', 5, 'min')} AS min5, {_full('high', 20, 'max')} AS hi,
+         {_full('low', 20, 'min')} AS lo,
+         CASE WHEN count(close) OVER {_H} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN regr_slope(close, bar) OVER {_H} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS slope
+  FROM dense
+), b AS (
+  SELECT *, coalesce(close < lag(min5) OVER {_H}), false)::INT::DOUBLE AS below, lag(hi) OVER {_H}) AS res, {_full('lr', 20, 'stddev_samp')} AS sd,
+         {_full('tr', 20, 'avg')} AS atr
+  FROM a
+), c AS (SELECT *, coalesce(close > res, false)::INT::DOUBLE AS above FROM b)
+SELECT entity_id, event_time, round(atr, 4) AS atr, round(sd * sqrt(252.0), 4) AS realized_volatility, round({_full('below', 20, 'avg')}, 4) AS lower_low_frequency,
+       round({_full('above', 10, 'avg')}, 4) AS acceptance_followthrough, round((close - res) / nullif(res, 0), 4) AS resistance_breakout_pct,
+       round((close - lo) / nullif(hi - lo, 0), 4) AS resistance_pressure, round(slope / nullif(atr, 0), 4) + 0.0 AS structure_transition,
+       round((close - max(close) OVER {_H} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / nullif(max(close) OVER {_H} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 4) AS distance_from_historical_high
+FROM c""")
+def w1_w10_features(spark, sf):
+    names = ["atr", "realized_volatility", "lower_low_frequency", "acceptance_followthrough", "resistance_breakout_pct", "resistance_pressure", "structure_transition", "distance_from_historical_high"]
+    return features.feature_panel(dense_panel(spark, sf)).select("entity_id", "event_time", *[r(n).alias(n) for n in names])
+
+
+_L = f"CASE WHEN count(close) OVER {_H} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) = 252 THEN list(close) OVER {_H} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) END"
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, {_L} AS v FROM dense), b AS (
+  SELECT *, list_position(v, list_max(v)) AS p, list_max(v) AS top FROM a
+)
+SELECT entity_id, event_time, (252 - p)::DOUBLE AS decline_duration_bars,
+       round((coalesce(list_min(v[p + 1:]), top) - top) / nullif(top, 0), 4) AS peak_to_trough_decline
+FROM b""")
+def w5_w6_extremes(spark, sf):
+    f = features.feature_panel(dense_panel(spark, sf))
+    return f.select("entity_id", "event_time", "decline_duration_bars", r("peak_to_trough_decline").alias("peak_to_trough_decline"))
+
+
+@query()
+def w12_feature_panel(spark, sf):
+    return features.feature_panel(dense_panel(spark, sf))
+
+
+@query(f"""WITH {BARS}, k AS (SELECT *, event_time::DATE AS d FROM bars WHERE close IS NOT NULL), m AS (
+  SELECT entity_id, last_day(d) AS period_end, arg_min(open, event_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, event_time) AS close, sum(volume) AS volume
+  FROM k GROUP BY ALL
+) SELECT * FROM m WHERE period_end <= (SELECT max(event_time)::DATE FROM bars)""")
+def p5_resample_month(spark, sf):
+    return panel.resample(bars(spark, sf), "month")
+
+
+@query()
+def c1_states(spark, sf):
+    f = features.feature_panel(dense_panel(spark, sf))
+    return states.classify(f).select("entity_id", "event_time", "state", "unmatched")
+
+
+@query()
+def e13_scores(spark, sf):
+    f = states.quality(features.last_vectors(features.feature_panel(dense_panel(spark, sf))))
+    more = {
+        "failures": F.lit(3), "resolved": F.lit(20), "sample_size": F.lit(20), "mean_mfe": F.lit(0.2), "features_known": F.lit(0.9),
+        "eligible": F.lit(True), "lost": F.lit(False), "days_to_event": F.lit(30), "events_covered": F.lit(True)}
+    return scoring.score(f.withColumns(more)).select("entity_id", "event_time", "composite_score", "confidence", "opportunity", "risk_level", "weight_coverage", "decision")
+
+
+_AS_OF = dt.datetime(1998, 1, 1)
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def a1_latest_as_of(spark, sf):
+    o = t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return asof.latest(o, ["o_custkey"], F.lit("1998-01-01").cast("timestamp_ntz"), availability="o_orderdate", ties=["o_orderkey"])
+
+
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth
+FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01') WHERE nth <= 2""")
+def a21_latest_two(spark, sf):
+    o = t(spark, sf, "orders")
+    return asof.newest(o, ["o_custkey"], 2, F.lit("1998-01-01").cast("timestamp_ntz"), availability="o_orderdate", ties=["o_orderkey"]).select(
+        "o_custkey", "o_orderkey", "o_totalprice", F.col("nth").cast("bigint").alias("nth"))
+
+
+@query("""WITH i AS (SELECT o_custkey AS k, o_orderkey AS version, o_orderdate AS valid_from,
+  lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders)
+SELECT c_custkey, version FROM customer JOIN i ON c_custkey = k AND valid_from <= TIMESTAMP '1999-06-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1999-06-01')""")
+def a9_valid_at(spark, sf):
+    from pyspark.sql import Window
+
+    o = t(spark, sf, "orders")
+    i = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("valid_from"),
+                 F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("valid_to"))
+    now = asof.valid_at(i, F.lit("1999-06-01").cast("timestamp_ntz"))
+    return t(spark, sf, "customer").join(now, F.col("c_custkey") == F.col("k")).select("c_custkey", "version")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2), e AS (SELECT event_id, user_id, ts - INTERVAL 760 DAY AS at FROM events)
+SELECT e.event_id, e.user_id, o.o_orderkey FROM e ASOF LEFT JOIN o ON e.user_id = o.o_custkey AND e.at >= o.o_orderdate""")
+def j4_asof_join(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 760 DAYS")).alias("at"))
+    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("od"), "o_orderkey")
+    return asof.asof_join(e, o, "user_id", "at", "od", ties=["o_orderkey"]).select("event_id", "user_id", "o_orderkey")
+
+
+@query("""WITH v AS (SELECT c_custkey, nullif(round(c_acctbal, -2), 0) AS x FROM customer)
+SELECT c_custkey, x, CASE WHEN x IS NOT NULL THEN round((rank() OVER (ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY x) - 1) / 2.0) / count(x) OVER (), 8) END AS pct FROM v""")
+def r2_percent_rank(spark, sf):
+    v = t(spark, sf, "customer").select("c_custkey", F.nullif(F.round("c_acctbal", -2), F.lit(0.0)).alias("x"))
+    return rank.percent_rank(v, "x", "pct").select("c_custkey", "x", r("pct", 8).alias("pct"))
+
+
+@query("""SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT (SELECT greatest(1, round_even(count(*) * 0.1, 0))::BIGINT FROM part)""")
+def r3_top_fraction(spark, sf):
+    return rank.top_fraction(t(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 0.10, "p_partkey")
+
+
+@query("""WITH e AS (SELECT quantile_cont(c_acctbal, 0.25) a, quantile_cont(c_acctbal, 0.5) b, quantile_cont(c_acctbal, 0.75) c FROM customer)
+SELECT c_custkey, (c_acctbal > a)::INT + (c_acctbal > b)::INT + (c_acctbal > c)::INT AS bucket FROM customer, e""")
+def r12_quantile_buckets(spark, sf):
+    return rank.quantile_buckets(t(spark, sf, "customer"), "c_acctbal", "bucket").select("c_custkey", "bucket")
+
+
+@query("""WITH s AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT * FROM s WHERE f IS NULL OR f <> event_type)
+SELECT user_id, f AS from_state, event_type AS to_state, ts AS at,
+  (epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::BIGINT) AS seconds_before FROM c""")
+def c11_transitions(spark, sf):
+    return states.transitions(t(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], "ts")
+
+
+@query("""WITH s AS (SELECT *, coalesce((lag(event_type) OVER w <> event_type)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM s)
+SELECT user_id, run::BIGINT AS run, event_type, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM g GROUP BY user_id, run, event_type""")
+def c15_islands(spark, sf):
+    return states.islands(t(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], "ts")
+
+
+@query("""SELECT o_orderpriority, count(o_totalprice) AS n, round(avg(o_totalprice), 2) AS mean, round(quantile_cont(o_totalprice, 0.1), 4) AS p10,
+round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1""")
+def g7_distribution(spark, sf):
+    d = evaluation.distribution(t(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"])
+    return d.select("o_orderpriority", "n", r("mean", 2).alias("mean"), r("p10").alias("p10"), r("p50").alias("p50"), r("p90").alias("p90"))
+
+
+_Z = evaluation.Z95
+
+
+@query(f"""WITH c AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS s, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT *, s / n::DOUBLE AS p, {_Z} AS z FROM c)
+SELECT o_orderpriority, s, n, round(greatest(0, (p + z*z/(2*n)) / (1 + z*z/n) - z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 8) AS low,
+round(least(1, (p + z*z/(2*n)) / (1 + z*z/n) + z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 8) AS high FROM p""")
+def g8_wilson(spark, sf):
+    c = t(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("s"), F.count("*").alias("n"))
+    low, high = evaluation.wilson(F.col("s"), F.col("n"))
+    return c.select("o_orderpriority", "s", "n", r(low, 8).alias("low"), r(high, 8).alias("high"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (s AND p) AS tp, count(*) FILTER (NOT s AND p) AS fp, count(*) FILTER (s AND NOT p) AS fn, count(*) FILTER (NOT s AND NOT p) AS tn
+FROM (SELECT o_orderstatus = 'F' AS s, o_totalprice > 150000 AS p FROM orders WHERE o_orderstatus <> 'P'))
+SELECT *, round(tp / (tp + fp), 8) AS precision, round(tp / (tp + fn), 8) AS recall, round(fp / (fp + tn), 8) AS false_positive_rate FROM c""")
+def g12_confusion(spark, sf):
+    o = t(spark, sf, "orders")
+    c = evaluation.rates(evaluation.confusion(o, F.col("o_totalprice") > 150000, F.col("o_orderstatus") == "F", F.col("o_orderstatus") != "P"))
+    return c.select("tp", "fp", "fn", "tn", *[r(x, 8).alias(x) for x in ("precision", "recall", "false_positive_rate")])
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, sum(value - 50) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT user_id, c - max(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d FROM s)
+SELECT user_id, round(min(d), 4) AS max_drawdown FROM p GROUP BY 1""")
+def g14_max_drawdown(spark, sf):
+    e = t(spark, sf, "events").withColumn("_x", F.col("value") - 50)
+    return evaluation.max_drawdown(e, "_x", ["ts", "event_id"], ["user_id"]).select("user_id", r("max_drawdown").alias("max_drawdown"))
+
+
+@query("""WITH s AS (SELECT o_totalprice / (SELECT max(o_totalprice) FROM orders) * 100 AS score, (o_orderstatus = 'F')::INT AS win FROM orders),
+b AS (SELECT CASE WHEN score >= 90 THEN 90 WHEN score >= 80 THEN 80 WHEN score >= 60 THEN 60 WHEN score >= 40 THEN 40 WHEN score >= 20 THEN 20 END AS bucket, win FROM s)
+SELECT bucket, count(*) AS n, round(avg(win), 6) AS rate FROM b WHERE bucket IS NOT NULL GROUP BY 1""")
+def g15_buckets(spark, sf):
+    o = t(spark, sf, "orders")
+    top = o.agg(F.max("o_totalprice").alias("_m"))
+    s = o.crossJoin(F.broadcast(top)).select((F.col("o_totalprice") / F.col("_m") * 100).alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("win"))
+    b = s.select(evaluation.score_bucket(F.col("score")).alias("bucket"), "win").where("bucket is not null")
+    return b.groupBy("bucket").agg(F.count("*").alias("n"), r(F.avg("win"), 6).alias("rate"))
+
+
+@query("""WITH w AS (SELECT i::INT AS "window", DATE '1995-01-01' + (i * 365)::INT AS a FROM range(0, 20) t(i) WHERE DATE '1995-01-01' + (i * 365 + 1095)::INT <= DATE '2001-08-01'),
+s AS (SELECT "window", 'train' AS split, a AS lo, a + 730 AS hi FROM w UNION ALL SELECT "window", 'test', a + 730, a + 1095 FROM w)
+SELECT "window", split, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN s ON o_orderdate::DATE BETWEEN lo AND hi GROUP BY 1, 2""")
+def g19_walk_forward(spark, sf):
+    o = evaluation.walk_forward(t(spark, sf, "orders"), "o_orderdate", "1995-01-01", "2001-08-01")
+    return o.groupBy("window", "split").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""WITH h AS (SELECT least(11, floor((least(2, greatest(-2, (c_acctbal - 4500) / 2500)) + 2) / (4.0 / 12)))::INT AS bin FROM customer)
+SELECT r.bin::INT AS bin, count(h.bin) AS n FROM range(0, 12) r(bin) LEFT JOIN h ON h.bin = r.bin GROUP BY 1""")
+def g24_histogram(spark, sf):
+    c = t(spark, sf, "customer").select(((F.col("c_acctbal") - 4500) / 2500).alias("x"))
+    return evaluation.histogram(c, "x")
+
+
+@query("""WITH d AS (SELECT user_id, ts::DATE AS d FROM events WHERE ts::DATE <= DATE '2024-01-20'), c AS (
+SELECT user_id, count(*) FILTER (d = DATE '2024-01-20') AS today, count(*) FILTER (d < DATE '2024-01-20' AND d >= DATE '2024-01-13') AS baseline_total, min(d) AS first_day FROM d GROUP BY 1)
+SELECT *, CASE WHEN first_day <= DATE '2024-01-13' THEN CASE WHEN baseline_total = 0 THEN today > 0 ELSE today >= 3.0 * baseline_total / 7 END END AS raised FROM c""")
+def g27_volume_signal(spark, sf):
+    return signals.volume_signal(t(spark, sf, "events"), "user_id", "ts", "2024-01-20", baseline_days=7)
+
+
+@query("""SELECT event_type, count(DISTINCT CASE WHEN ts::DATE BETWEEN DATE '2023-12-21' AND DATE '2024-01-20' AND value > 50 THEN user_id END) AS actors,
+count(DISTINCT CASE WHEN ts::DATE BETWEEN DATE '2023-12-21' AND DATE '2024-01-20' AND value > 50 THEN user_id END) >= 2 AS raised FROM events GROUP BY 1""")
+def g28_cluster_signal(spark, sf):
+    e = t(spark, sf, "events").withColumn("code", F.when(F.col("value") > 50, "P").otherwise("S"))
+    return signals.cluster_signal(e, "event_type", "user_id", "ts", "code", "2024-01-20")
+
+
+@query("""WITH m AS (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY y DESC) AS r FROM m)
+SELECT o_custkey, max(n) FILTER (r = 1) AS latest, max(n) FILTER (r = 2) AS previous, max(n) FILTER (r = 1) - max(n) FILTER (r = 2) AS change FROM k WHERE r <= 2 GROUP BY 1""")
+def g29_period_trend(spark, sf):
+    y = t(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+    return signals.period_trend(y, "o_custkey", ["y"], "n")
+
+
+@query()
+def e7_radius_search(spark, sf):
+    e = t(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(16)])
+    names = [f"f{i}" for i in range(16)]
+    q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    m = similarity.radius_search(q, e.withColumnRenamed("vec_id", "case_id"), names)
+    return m.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
+
+
+@query()
+def e24_lifecycle(spark, sf):
+    cycle = F.array(*map(F.lit, states.CYCLE))
+    o = t(spark, sf, "events").select(
+        F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("at"),
+        F.element_at(cycle, (F.pmod("event_id", F.lit(8)) + 1).cast("int")).alias("state"), F.col("value").alias("score"), F.lit(60.0).alias("confidence"))
+    return lifecycle.advance(o)
+
+
+@query()
+def e27_outcomes(spark, sf):
+    f = features.feature_panel(dense_panel(spark, sf)).select("entity_id", "event_time", "atr")
+    b = panel.densify(bars(spark, sf)).join(f, ["entity_id", "event_time"]).where("close is not null and atr is not null")
+    cases = b.where("day(event_time) = 1").select(F.concat_ws("-", "entity_id", F.date_format("event_time", "yyyyMMdd")).alias("case_id"), "entity_id", F.col("event_time").alias("detected_at"))
+    return outcomes.measure(cases, b)
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY event_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bars)
+SELECT entity_id, event_time, coalesce(abs(close / before - 1) > 0.5, false) AS jump FROM a""")
+def q1_validate_bars(spark, sf):
+    return quality.validate_bars(bars(spark, sf)).select("entity_id", "event_time", "jump")
+
+
+@query("""SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def q3_duplicates(spark, sf):
+    return quality.duplicates(t(spark, sf, "documents").select(F.md5("text").alias("text_md5")), ["text_md5"])
+
+
+@query("""WITH d AS (SELECT DISTINCT o_orderpriority, o_orderdate::DATE AS d FROM orders), s AS (SELECT o_orderpriority, min(d) a, max(d) b FROM d GROUP BY 1),
+c AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS day)
+SELECT s.o_orderpriority, day AS d FROM s JOIN c ON day BETWEEN a AND b ANTI JOIN d ON d.o_orderpriority = s.o_orderpriority AND d.d = day""")
+def q2_gaps(spark, sf):
+    days = spark.sql("SELECT explode(sequence(DATE '1995-01-01', DATE '2001-12-31')) AS day")
+    return quality.gaps(t(spark, sf, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("d")), "o_orderpriority", "d", days)
+
+
+@query("""SELECT event_type, max(ts) AS latest, count(*) AS n FROM events GROUP BY 1""")
+def q5_freshness(spark, sf):
+    return t(spark, sf, "events").groupBy("event_type").agg(F.max("ts").alias("latest"), F.count("*").alias("n"))
+
+
+@query("""SELECT (SELECT count(*) FROM customer) AS members, count(DISTINCT c_custkey) AS delivered, round(count(DISTINCT c_custkey) / (SELECT count(*) FROM customer), 6) AS share,
+count(DISTINCT c_custkey) / (SELECT count(*) FROM customer) >= 0.8 AS ready FROM customer JOIN orders ON c_custkey = o_custkey""")
+def q10_coverage(spark, sf):
+    m = t(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    d = quality.coverage(m, t(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return d.withColumn("share", F.round("share", 6))
 
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return ORACLES
