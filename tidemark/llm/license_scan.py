@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index.
 
 Base labels are phrases that stand consecutively. The method: every template is indexed by
-its words of highest inverse document frequency (counted over all documents) with their
-positions; words of a file are looked up there, matches of one template are intersected by
+the words of its mandatory phrases with the highest inverse document frequency (counted over
+all documents) and their positions; words of a file are looked up there, matches of one template are intersected by
 relative position, and where enough agree the words around are compared with the whole
 template and its mandatory key phrases are verified.
 
@@ -43,6 +43,8 @@ TEMPLATES = [
 ]
 #: Words of a template that are indexed, those that must agree, and the share of its words that must.
 INDEXED, AGREE, SHARE = 4, 2, 0.7
+#: How much more frequent than a template's rarest index word another may be.
+SPREAD = 10
 #: Words on either side of a match within which key phrases may stand.
 SLACK = 4
 
@@ -70,11 +72,17 @@ def document_frequency(docs: DataFrame) -> dict[str, int]:
 
 
 def postings(frequency: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(word, template, position) of each template's rarest words that any document has."""
+    """(word, template, position) of each template's index words.
+
+    They are the highest-IDF words of its mandatory phrases, which every match has, down to
+    words `SPREAD` times as frequent as the rarest; a template of which a mandatory word stands
+    in no document cannot match and has none."""
     out = []
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        at = [(frequency[x], i, x) for i, x in enumerate(text.split()) if frequency.get(x)]
-        out += [(x, t, i) for _, i, x in sorted(at)[:INDEXED]]
+    for t, (_, text, keys) in enumerate(TEMPLATES):
+        must = {x for k in keys for x in k.split()}
+        if all(frequency.get(x) for x in must):
+            at = sorted((frequency[x], i, x) for i, x in enumerate(text.split()) if x in must)
+            out += [(x, t, i) for n, i, x in at[:INDEXED] if n <= SPREAD * at[0][0]]
     return out
 
 
