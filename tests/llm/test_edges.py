@@ -1,0 +1,209 @@
+"""Nulls, empty and long texts, repeated rows, empty tables and clashing columns, with brute force beside them."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import (
+    decontamination, license_scan, lm_score, ngram_join, quality_rules, secret_scan, source_mix, token_counts, toxicity, warc_store,
+)
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+NEAR = " ".join(f"n{i}" for i in range(60))
+TEXTS = [
+    (1, None), (2, ""), (3, " \t\n "), (4, "One two"), (5, f"Intro words. {PASSAGE.title()}! more ÉTÉ text"), (6, PASSAGE), (7, LONG),
+    (8, NEAR), (9, NEAR.replace("n30", "x30")), (10, NEAR), (11, " ".join(f"n{i}" for i in range(20)) + " other words entirely here now"),
+    (12, "same line here\nsame line here\n\n  \nlast"), (13, "## Released under the MIT License. token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" done"),
+    (14, "it's <|endoftext|> 'twas\n\n  x"), (5, "repeated id, other text"), (6, PASSAGE), (None, "no id at all " * 3),
+    (15, "repeat these eight words again and again please " * 6),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"src{(i or 0) % 3}" if i != 4 else None, len(t or ""), "x", 1) for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, n_words int")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def by_row(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_quality(docs, empty):
+    def want(t):
+        words = SPACE.findall(t or "")
+        at = defaultdict(list)
+        for i in range(len(words) - 7):
+            at[tuple(words[i : i + 8])].append(i)
+        again = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+        lines = [x for x in (t or "").split("\n") if SPACE.search(x)]
+        n, r = len(words), len(again)
+        return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), r, n < 20 or 100 * r > 30 * n
+
+    got = quality_rules.quality(docs, None).select("doc_id", *quality_rules.BASE, "base_failed")
+    assert by_row(got) == sorted([(i, *want(t)) for i, t in TEXTS], key=str)
+    assert quality_rules.quality(empty, None).count() == 0
+    kept = quality_rules.keep_good(docs, None)
+    assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 1
+
+
+def test_decision_list_learns_symbols(spark):
+    rows = [(i, ("a# b# c# " if i % 3 == 0 else "plain words only ") * 12 + f" v{i}", 0 if i % 3 == 0 else 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    got = quality_rules.quality(df.select("doc_id", "text"), df.select("doc_id", "quality")).where("not base_failed")
+    rules = quality_rules.learn_rules(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert rules and got.where("kept and doc_id % 3 = 0").count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "one TWO"), (3, None), (4, ""), (10, PASSAGE + " xi")], "item_id bigint, text string")
+    windows = defaultdict(set)
+    for i, t in bench.collect():
+        x = ALNUM.findall(low(t))
+        k = min(10, len(x))
+        for j in range(len(x) - k + 1 if k else 0):
+            windows[tuple(x[j : j + k])].add(str(i))
+
+    def want(t):
+        x, hit, items = ALNUM.findall(low(t)), set(), set()
+        for k in {len(v) for v in windows}:
+            for j in range(len(x) - k + 1):
+                if tuple(x[j : j + k]) in windows:
+                    hit |= set(range(j, j + k))
+                    items |= windows[tuple(x[j : j + k])]
+        return len(x), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
+
+    assert by_row(decontamination.decontaminate(docs, bench)) == sorted([(i, *want(t)) for i, t in TEXTS], key=str)
+    clean = decontamination.clean(docs, bench)
+    assert clean.columns == docs.columns and decontamination.decontaminate(clean, bench).where("contaminated").count() == 0
+    assert clean.where("doc_id = 6").count() == 0 and clean.where("text like 'Intro words.%more ÉTÉ text'").count() == 1
+    assert decontamination.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
+    assert decontamination.decontaminate(empty, bench).count() == 0
+
+
+def shingles(t):
+    w = SPACE.findall(low(t))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)]) if w else frozenset()
+
+
+def test_ngram_join(spark, docs, empty):
+    more = [(100 + i, " ".join(f"z{i}q{j}" if j % 23 == 7 else f"m{j}" for j in range(120))) for i in range(30)]  # a dense group, many pairs unlinked
+    rows = [(i, t) for i, t in TEXTS if i not in (5, None)] + more
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [(i, shingles(t)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                la, lb = label[a], label[b]
+                low_, high = min(la, lb), max(la, lb)
+                label = {k: low_ if v == high else v for k, v in label.items()}
+    got = ngram_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id")
+    assert by_row(got) == sorted([(i, len(s), label[i]) for i, s in sets], key=str)
+    assert ngram_join.near_duplicates(empty).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, 1, 8, 11} and kept.where("doc_id in (9, 10)").count() == 0
+
+
+def test_licenses(docs, empty):
+    got = {(r.doc_id, r.n_words): r for r in license_scan.scan(docs).collect()}
+    r = got[13, len(ALNUM.findall(low(TEXTS[12][1])))]
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (1, 3, 3, "mit", "mit", 1.0)
+    assert got[1, 0].base_labels == "" and got[1, 0].first_word is None
+    assert license_scan.scan(docs).count() == len(TEXTS) and license_scan.scan(empty).count() == 0
+
+
+def test_secrets(docs, empty):
+    forest = secret_scan.labelled_findings(docs.sparkSession)
+    found = secret_scan.scan(docs, forest).collect()
+    text = dict(TEXTS)
+    values = [text[r.doc_id][r.start : r.start + r.length] for r in found]
+    assert [r.is_secret for r in found] == [True] and values == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    red = secret_scan.redact(docs, forest)
+    assert red.columns == docs.columns and red.where("n_chars <> char_length(coalesce(text, ''))").count() == 0
+    assert red.where("doc_id = 13").first().text == text[13].replace(values[0], secret_scan.REDACTED)
+    assert secret_scan.scan(empty, forest).count() == 0
+
+
+def test_source_mix(docs, empty):
+    rows = source_mix.mix(docs).collect()
+    assert len(rows) == len(TEXTS) and all(r.taken <= 2 * r.size for r in rows)
+    total = sum(r.size for r in rows)
+    targets = {(r.source_size, r.target) for r in rows}
+    assert abs(sum(t for _, t in targets) - 1.5 * total) < 1 and all(t <= 2 * s + 1e-6 for s, t in targets)
+    assert by_row(source_mix.mix(docs)) == by_row(source_mix.mix(docs.repartition(3)))
+    out = source_mix.emit(docs)
+    assert out.columns == [*docs.columns, "copy"] and source_mix.mix(empty).count() == 0
+
+
+def test_systematic_sample_is_near_its_target(spark):
+    df = spark.range(5_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.pmod(F.xxhash64("id"), F.lit(200)) + 1).cast("int")).alias("text"),
+                                   F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    got = source_mix.mix(df).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) < 0.01 * r.target for r in got)
+
+
+def test_warc(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/", "x"), (3, "http://c/", None), (4, None, ""), (5, "u", "é\r\n")], "page_id bigint, url string, html string")
+    path = warc_store.write_archive(pages)
+    got = {r.page_id: r for r in warc_store.describe(spark, path).collect()}
+    assert {k: (r.record_type, r.refers_to, r.payload_bytes) for k, r in got.items()} == {
+        1: ("revisit", 2, 1), 2: ("response", None, 1), 3: ("revisit", 4, 0), 4: ("response", None, 0), 5: ("response", None, 4)}
+    import base64
+
+    for r in warc_store.reconstruct(spark, path).collect():
+        html = {1: "x", 2: "x", 5: "é\r\n"}.get(r.page_id, "").encode()
+        assert bytes(r.payload) == html and r.payload_digest == base64.b32encode(hashlib.sha1(html).digest()).decode()
+    assert warc_store.archive(pages.where("false")).count() == 0
+
+
+def test_token_counts(docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public.path(token_counts.VOCABULARY))
+    want = [(i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in TEXTS]
+    got = token_counts.count_tokens(docs)
+    assert by_row(got.select("doc_id", "n_bytes", "n_tokens")) == sorted(want, key=str)
+    assert got.where("over_limit <> (n_tokens > 1024)").count() == 0 and token_counts.count_tokens(empty).count() == 0
+
+
+def test_lm(docs, empty):
+    pytest.importorskip("public_tokenizers")
+    hold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    words = lambda t: SPACE.findall(low(t))
+    train = [t for i, t in TEXTS if not hold(i)]
+    count = Counter(w for t in train for w in words(t))
+    n, v = sum(count.values()) + len(train), len(count) + 1
+    got = {}
+    for r in lm_score.score(docs, top=50).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, t in TEXTS:
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words(t)) + math.log10((len(train) + 1) / (n + v + 1))
+        known = sum(count[w] > 0 for w in words(t)) + 1
+        assert any(
+            r.n_tokens == len(words(t)) + 1 and r.n_known == known and r.train_tokens == n and abs(r.base_score - base) < 1e-6 * abs(base) and r.held_out == hold(i) and r.score < 0
+            for r in got[i])
+    assert sum(map(len, got.values())) == len(TEXTS)
+    assert lm_score.score(empty).count() == 0
+
+
+def test_toxicity_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    got = toxicity.score(docs, none)
+    assert got.count() == len(TEXTS) and got.where("score <> 0 or predicted <> 0").count() == 0

@@ -67,7 +67,7 @@ def document_frequency(docs: DataFrame) -> dict[str, int]:
     spark = docs.sparkSession
     vocabulary = sorted({x for _, text, _ in TEMPLATES for x in text.split()})
     known = spark.createDataFrame([(x,) for x in vocabulary], "v string")
-    each = docs.select(F.explode(F.array_distinct(norm_words(text_of()))).alias("x"))
+    each = docs.select(F.explode_outer(F.array_distinct(norm_words(text_of()))).alias("x"))
     return {r["v"]: r["n"] for r in each.join(F.broadcast(known), F.col("x") == F.col("v")).groupBy("v").agg(F.count("*").alias("n")).collect()}
 
 
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
     cells = F.concat(
         F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("string").alias("x"))),
         F.transform("w", lambda x, i: F.struct(i.alias("p"), x.alias("x"))))
-    each = base.select("row", "d1", "d2", "w", F.explode(cells).alias("c"))
+    each = base.select("row", "d1", "d2", "w", F.explode_outer(cells).alias("c"))
     lengths = [len(text.split()) for _, text, _ in TEMPLATES]
     known = spark.createDataFrame([(x, t, i, lengths[t]) for x, t, i in index], "v string, t int, i int, len int")
     hit = each.join(F.broadcast(known), F.col("c.x") == F.col("v"), "left")

@@ -64,6 +64,8 @@ def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
         "f_digits": F.regexp_count(tc, F.lit("[0-9]")).cast("double"),
         "f_marks": F.regexp_count(tc, F.lit("[!?]")).cast("double"),
         "f_distinct": F.size(F.array_distinct(wc)).cast("double"),
+        # a filter on what comes later must not be moved below this step and run all of it again
+        "_once": F.monotonically_increasing_id(),
     })
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return out.withColumns({
@@ -124,4 +126,4 @@ def keep_good(docs: DataFrame, labels: DataFrame | None, **options) -> DataFrame
     """The documents that pass, with their own columns."""
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
     judged = judge(docs.select("doc_id", "text", row), learn_rules(docs, labels, **options))
-    return judged.where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return judged.where(F.col("kept") & (F.col("_once") >= 0)).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -162,7 +162,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """One row per candidate: doc_id, finding (from 1 within the text), start (character from 0),
     length, value_sha256, score and is_secret."""
     forest = train_forest(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    rows = findings(docs.select("doc_id", "text"), forest).select("doc_id", F.posexplode("found").alias("i", "x"))
+    rows = findings(docs.select("doc_id", "text"), forest).select("doc_id", F.posexplode_outer("found").alias("i", "x")).where("x is not null")
     return rows.select(
         "doc_id", (F.col("i") + 1).alias("finding"), F.col("x.start").cast("bigint").alias("start"),
         F.char_length("x.value").cast("bigint").alias("length"), F.sha2("x.value", 256).alias("value_sha256"),
