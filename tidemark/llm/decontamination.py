@@ -55,7 +55,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[str] | None = None) -> DataFrame:
-    """Per document row: the columns in `keep`, n_words, spans (sorted (p, k) of hit windows) and items.
+    """Per document row: row (a struct of the columns in `keep`), n_words, spans (sorted (p, k) of hit windows) and items.
 
     Windows are generated, probed and dropped inside one pass; only one row per document
     and the hits are shuffled. Rows of a document meet by two digests of all it holds, so the
@@ -99,7 +99,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[
         F.count_if(F.col("span").isNull()).cast("int").alias("copies"),
     )
     out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], "n_words", "spans", "items")
+    return out.select("row", "n_words", "spans", "items")
 
 
 def covered(spans: Column) -> Column:
@@ -119,7 +119,7 @@ def covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
     return hits(docs, benchmark, size=size).select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         covered(F.col("spans")).alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
@@ -145,11 +145,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, whole: boo
     documents go. A document of which no word is left goes too."""
     found = hits(docs, benchmark, size=size, keep=docs.columns)
     if whole:
-        return found.where(F.size("spans") == 0).select(*docs.columns)
+        return found.where(F.size("spans") == 0).select("row.*")
     is_hit = F.size("spans") > 0
     out = found.where(~is_hit | (covered(F.col("spans")) < F.col("n_words")))
-    out = out.withColumn("_new", F.when(is_hit, remove_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    out = out.withColumn("_new", F.when(is_hit, remove_spans(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")))
     cols = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(is_hit, F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
+        cols["n_chars"] = F.when(is_hit, F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[cols.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

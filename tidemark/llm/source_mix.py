@@ -114,15 +114,13 @@ def emit(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
     Copies per row are found from ids, sources and sizes alone; equal triples may swap
     copies, so rows meet them again by triple and number of copies."""
     key = ["doc_id", "source", "size"]
-    sized = docs.withColumn("size", word_count(text_of())) if "size" not in docs.columns else docs
-    taken = copies(sizes_of(docs), seed=seed).groupBy(*key).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
-    taken = taken.select(*[F.col(c).alias("k_" + c) for c in key], "copies")
-    number = Window.partitionBy(*key).orderBy(F.xxhash64(text_of()))
-    rows = sized.withColumn("_no", F.row_number().over(number))
+    taken = copies(sizes_of(docs), seed=seed).groupBy(*key).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    taken = taken.select(*[F.col(c).alias("k_" + c) for c in key], "_copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64(text_of()).alias("_h"))
+    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy(*key).orderBy("_h")))
     on = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size"))
-    out = rows.join(taken, on).withColumn("_copies", F.element_at("copies", F.col("_no")).cast("int"))
-    out = out.where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns, "copy")
+    out = rows.join(taken, on).withColumn("_n", F.element_at("_copies", F.col("_no")).cast("int")).where("_n > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("row.*", F.col("_copy").alias("copy"))
 
 
 ORACLE = """
