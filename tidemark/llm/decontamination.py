@@ -75,7 +75,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[
     none = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("h")))
     cells = F.concat(none, *[F.coalesce(_windows(F.col("w"), k), F.slice(none, 1, 0)) for k, _ in sizes])
     # never empty; the plain explode would have the planner test its size first, at the same cost again
-    each = base.select("row", "d1", "d2", "w", F.explode_outer(cells).alias("c"))
+    # made in a step of its own, as a generator over a lambda would copy the words for every cell
+    each = base.withColumn("cells", cells).select("row", "d1", "d2", "w", F.explode_outer("cells").alias("c"))
     b = bench.select(F.col("k").alias("bk"), F.col("h").alias("bh"), "window", "items")
     same = (
         (F.col("c.h") == F.col("bh"))

@@ -100,7 +100,8 @@ def scan(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
     cells = F.concat(
         F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("string").alias("x"))),
         F.transform("w", lambda x, i: F.struct(i.alias("p"), x.alias("x"))))
-    each = base.select("row", "d1", "d2", "w", F.explode_outer(cells).alias("c"))
+    # made in a step of its own, as a generator over a lambda would copy the words for every cell
+    each = base.withColumn("cells", cells).select("row", "d1", "d2", "w", F.explode_outer("cells").alias("c"))
     lengths = [len(text.split()) for _, text, _ in TEMPLATES]
     known = spark.createDataFrame([(x, t, i, lengths[t]) for x, t, i in index], "v string, t int, i int, len int")
     hit = each.join(F.broadcast(known), F.col("c.x") == F.col("v"), "left")
