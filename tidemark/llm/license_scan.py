@@ -102,8 +102,10 @@ def scan(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
         F.transform("w", lambda x, i: F.struct(i.alias("p"), x.alias("x"))))
     # made in a step of its own, as a generator over a lambda would copy the words for every cell
     each = base.withColumn("cells", cells).select("row", "d1", "d2", "w", F.explode_outer("cells").alias("c"))
-    lengths = [len(text.split()) for _, text, _ in TEMPLATES]
-    known = spark.createDataFrame([(x, t, i, lengths[t]) for x, t, i in index], "v string, t int, i int, len int")
+    # the index with its templates beside it: a few dozen rows
+    known = spark.createDataFrame(
+        [(x, t, i, TEMPLATES[t][1].split(), TEMPLATES[t][2], TEMPLATES[t][0], min(AGREE, sum(y[1] == t for y in index))) for x, t, i in index],
+        "v string, t int, i int, template array<string>, keys array<string>, label string, need int").withColumn("len", F.size("template"))
     hit = each.join(F.broadcast(known), F.col("c.x") == F.col("v"), "left")
     first = F.col("c.p") == -1
     start = F.col("c.p") - F.col("i")  # where the template would begin
@@ -114,7 +116,7 @@ def scan(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
     names = F.array_sort(F.filter(F.array(*[F.when(F.size(v) > 0, F.lit(PHRASES[p])) for p, v in found.items()]), lambda x: x.isNotNull()))
     from_ = F.greatest(F.lit(0), start - SLACK)
     hit = hit.select(
-        "d1", "d2", "t", "i",
+        "d1", "d2", "t", "i", "template", "keys", "label", "need",
         F.when(~first, start).alias("start"),
         F.when(~first, F.slice("w", start + 1, F.col("len"))).alias("own"),
         F.when(~first, F.concat(F.lit(" "), F.array_join(F.slice("w", from_ + 1, start + F.col("len") + SLACK - from_), " "), F.lit(" "))).alias("around"),
@@ -125,25 +127,14 @@ def scan(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
     # intersection of a template's postings by relative position
     votes = hit.groupBy("d1", "d2", "t", "start").agg(
         F.size(F.collect_set("i")).alias("votes"), F.first("own").alias("own"), F.first("around").alias("around"),
-        F.first("doc").alias("doc"), F.count("*").alias("n"))
-    share, phrases, label, need = F.lit(0.0), F.lit(False), F.lit(None).cast("string"), F.lit(AGREE)
-    for t in range(len(TEMPLATES) - 1, -1, -1):
-        name, text_t, keys = TEMPLATES[t]
-        literal = F.array(*map(F.lit, text_t.split()))
-        same = F.aggregate(F.zip_with("own", literal, lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-        here = F.col("t") == t
-        share = F.when(here, same / F.lit(float(lengths[t]))).otherwise(share)
-        ok = F.lit(True)
-        for k in keys:
-            ok = ok & F.contains(F.col("around"), F.lit(f" {k} "))
-        phrases = F.when(here, ok).otherwise(phrases)
-        label = F.when(here, F.lit(name)).otherwise(label)
-        need = F.when(here, F.lit(min(AGREE, sum(x[1] == t for x in index)))).otherwise(need)
-    match = (F.col("votes") >= need) & phrases & (share >= SHARE)
-    size = F.element_at(F.array(*map(F.lit, lengths)), F.col("t") + 1)
+        F.first("doc").alias("doc"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("template", "keys", "label", "need")])
+    same = F.aggregate(F.zip_with("own", "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
+    share = same / F.size("template").cast("double")
+    phrases = F.forall("keys", lambda k: F.contains(F.col("around"), F.concat(F.lit(" "), k, F.lit(" "))))
+    match = (F.col("votes") >= F.col("need")) & phrases & (share >= SHARE)
     one = votes.where(F.col("t").isNull() | match).select(
         "d1", "d2", "doc", "n",
-        F.when(F.col("t").isNotNull(), F.struct(F.col("start").alias("first"), (F.col("start") + size).alias("end"), label.alias("label"))).alias("span"),
+        F.when(F.col("t").isNotNull(), F.struct(F.col("start").alias("first"), (F.col("start") + F.size("template")).alias("end"), F.col("label"))).alias("span"),
         F.when(F.col("t").isNotNull(), share).alias("share"))
     out = one.groupBy("d1", "d2").agg(
         F.first("doc", ignorenulls=True).alias("doc"), F.max(F.when(F.col("span").isNull(), F.col("n"))).cast("int").alias("copies"),
