@@ -172,6 +172,14 @@ def test_warc(spark):
     assert warc_store.archive(pages.where("false")).count() == 0
 
 
+def test_warc_page_that_repeats_with_another_payload(spark):
+    rows = [(7, "u", "A"), (9, "v", "A"), (7, "w", "B"), (None, "x", "A"), (None, "y", "C")]
+    path = warc_store.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted(((r.page_id, r.url, bytes(r.payload).decode()) for r in warc_store.reconstruct(spark, path).collect()), key=str)
+    assert got == sorted(rows, key=str)
+    assert warc_store.describe(spark, path).count() == len(rows)
+
+
 def test_token_counts(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

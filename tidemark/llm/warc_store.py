@@ -4,7 +4,7 @@ digest, exact record headers are kept apart, and records are put together again
 Layout of an archive folder (Parquet, in the shared folder):
   headers   record_id, page_id, digest (SHA-256 hex), header (the record's exact header block)
   payloads  digest, payload
-  copies    page_id of records whose payload another record stores
+  copies    page_id and digest of records whose payload another record stores
 
 Of records with equal payloads the one with the largest page_id is `response`, the others
 are `revisit` and refer to it. Defined results: null html is an empty payload; empty
@@ -70,10 +70,12 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
     )
     row.select("page_id", "digest", header.alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
     # written out, so that the planner sees its true size: it is broadcast only if small
-    row.where(~first).select("page_id").write.mode("overwrite").parquet(f"{path}/copies")
-    copies = spark.read.schema("page_id bigint").parquet(f"{path}/copies")
-    own = _payloads(pages).join(copies, "page_id", "left_anti")
-    own.select(F.sha2("payload", 256).alias("digest"), "payload").write.mode("overwrite").option(
+    # a page_id may repeat with another payload, so both decide (a null page_id is a copy only of an owner with an id)
+    row.where(~first).select(F.col("page_id").alias("i"), F.col("digest").alias("g")).write.mode("overwrite").parquet(f"{path}/copies")
+    copies = spark.read.schema("i bigint, g string").parquet(f"{path}/copies")
+    own = _payloads(pages).select("page_id", F.sha2("payload", 256).alias("digest"), "payload")
+    own = own.join(copies, F.col("page_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g")), "left_anti")
+    own.select("digest", "payload").write.mode("overwrite").option(
         "compression", "zstd"
     ).parquet(f"{path}/payloads")
     return path
