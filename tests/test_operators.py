@@ -119,6 +119,27 @@ def test_stop_wins_on_the_same_bar(spark):
     assert (r.status, r.bars, r.bars_to_mfe) == ("FAILED", 2, 2) and abs(r.mfe - 0.1) < 1e-9
 
 
+def test_radius_search_is_brute_force_over_all_values(spark, tmp_path, monkeypatch):
+    from tidemark.operators import similarity
+    from tidemark.plans import catalog
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(0, 1, (120, 64)).astype(np.float32)
+    v[51] = np.concatenate([v[50][:16], 30 * v[51][16:]])  # near in the first 16 values alone
+    v[52] = v[50] + 0.01
+    spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = v.astype(float)
+    scale = np.percentile(x, 75, axis=0) - np.percentile(x, 25, axis=0)
+    for most in (100_000, 1):
+        monkeypatch.setattr(similarity, "MAX_QUERIES", most)
+        got = {r.query_id: (r.n, round(r.nearest, 9)) for r in catalog.queries()["e7_radius_search"](spark, str(tmp_path)).collect()}
+        want = {}
+        for i in (0, 50, 100):
+            d = np.sqrt((((x[i] - x) / scale) ** 2).mean(1))
+            want[i] = ((d <= similarity.RADIUS).sum(), round(d.min(), 9))
+        assert got == want
+
+
 def test_lifecycle_moves_forward(spark):
     o = [("a", T(1), "ACCUMULATION", 10.0, 10.0), ("a", T(2), "ACCUMULATION", 70.0, 60.0), ("a", T(3), "BREAKOUT_READY", 70.0, 60.0), ("a", T(4), "UPTREND", 70.0, 60.0)]
     df = spark.createDataFrame(o, "entity_id string, at timestamp, state string, score double, confidence double")

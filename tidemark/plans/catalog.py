@@ -318,8 +318,10 @@ def g29_period_trend(spark, sf):
 
 @query()
 def e7_radius_search(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(16)])
-    names = [f"f{i}" for i in range(16)]
+    e = t(spark, sf, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"f{i}" for i in range(size)]
+    e = e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(names)])
     q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     m = similarity.radius_search(q, e.withColumnRenamed("vec_id", "case_id"), names)
     return m.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
