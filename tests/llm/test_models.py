@@ -53,6 +53,19 @@ def test_model_is_a_distribution_and_learns():
     assert abs(both[0] - m.score(long, np.array([len(long)]))[0]) < 1e-3
 
 
+def test_every_id_is_an_input_and_a_target_of_its_own():
+    rng = np.random.default_rng(0)
+    after = rng.permutation(40)
+    first = rng.integers(0, 40, 4000)
+    ids = np.stack([first, after[first], np.full(4000, -1)], 1).ravel()  # all ids are as frequent, the second follows from the first
+    m = Model(ids, 40, classes=6, width=16, context=8, stride=4)
+    m.fit(ids, steps=600, batch=64)
+    pairs = np.stack([np.arange(40), after, np.full(40, m.end)], 1).ravel()
+    wrong = np.stack([np.arange(40), np.roll(after, 1), np.full(40, m.end)], 1).ravel()
+    gain = m.score(pairs, np.full(40, 3)) - m.score(wrong, np.full(40, 3))
+    assert (gain > 1).mean() > 0.9
+
+
 def test_transducer_matches_the_library_on_odd_texts():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
