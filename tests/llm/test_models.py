@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import string_kernel, token_counts, toxicity
+from tidemark.llm import lm_score, string_kernel, token_counts, toxicity
 from tidemark.llm.attention import Model
 
 SF = "/root/testdata/sf0.01"
@@ -66,6 +66,29 @@ def test_every_id_is_an_input_and_a_target_of_its_own():
     assert (gain > 1).mean() > 0.9
 
 
+def test_language_model_learns_from_all_texts_whatever_their_number_and_length(spark):
+    pytest.importorskip("public_tokenizers")
+    odd = " ".join(["zyzzyva quokka"] * 6000)  # over 50 KB
+    docs = spark.createDataFrame([(i, "stone river " * 4) for i in range(4000)] + [(5000, odd)], "doc_id long, text string")
+    train = docs.where((lm_score.remainder() != lm_score.HELD) | (docs.doc_id == 5000))
+    assert lm_score.training_sample(train, 4_000_000).count() == train.count() > 3000
+    big = lm_score.training_sample(train, 10**12, share=0.5)
+    assert 0.4 < big.count() / train.count() < 0.6
+    count = np.zeros(50_258, np.int64)
+    ids, _ = lm_score.subwords(["zyzzyva", "quokka"], None)
+    got = {}
+    for r in lm_score._count(iter(train.select("text").toArrow().to_batches()), None):
+        d = r.to_pydict()
+        got |= {h: c for k, h, c in zip(d["kind"], d["h"], d["c"]) if k == 1}
+    assert all(got[i] >= 6000 for i in ids.tolist())
+    count[list(got)] = list(got.values())
+    count[-1] = train.count()
+    size = lambda x: np.array([len(x) + 1])
+    row = np.concatenate([np.tile(ids, 8), [50_257]])
+    flat = lm_score.fit_model(train.select("text"), count, None, rounds=0).score(row, size(row[:-1]))[0]
+    assert lm_score.fit_model(train.select("text"), count, None, rounds=4).score(row, size(row[:-1]))[0] > flat + 5
+
+
 def test_transducer_matches_the_library_on_odd_texts():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
