@@ -172,6 +172,15 @@ def test_warc(spark):
     assert warc_store.archive(pages.where("false")).count() == 0
 
 
+def test_benchmark_item_without_id_is_hit(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(1, "so " + text)], "doc_id long, text string")
+    b = spark.createDataFrame([(None, text)], "item_id long, text string")
+    r = decontamination.decontaminate(d, b).first()
+    assert (r.n_hit, r.n_items, r.contaminated) == (11, 0, True)
+    assert "seven" not in decontamination.clean(d, b).first().text
+
+
 def test_warc_page_that_repeats_with_another_payload(spark):
     rows = [(7, "u", "A"), (9, "v", "A"), (7, "w", "B"), (None, "x", "A"), (None, "y", "C")]
     path = warc_store.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -5,7 +5,7 @@ themselves, and spans or whole documents are removed.
 Words: A-Z in lower case, runs of [0-9a-z] and of characters from U+0080 on. A window is
 `size` consecutive words of an item; an item with fewer words, but not none, is one
 window. Defined results: a null or empty text has no words, no hits and is clean; a null
-or empty item has no windows; repeated rows each get their result; an empty benchmark
+or empty text of an item has no windows; an item with a null id counts for hits and spans, not for items; repeated rows each get their result; an empty benchmark
 leaves every document clean. Extra columns do no harm.
 
 The benchmark is broadcast only while its windows are below `MAX_BROADCAST` rows; beyond
@@ -48,7 +48,6 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     window = F.slice("w", F.col("i"), F.col("k"))
     return (
         each.select("item", "k", F.xxhash64(window).alias("h"), F.array_join(window, " ").alias("window"))
-        .where(F.col("item").isNotNull())
         .groupBy("k", "h", "window")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
