@@ -147,6 +147,23 @@ def test_lifecycle_moves_forward(spark):
     assert got == [(1, "DETECTION"), (1, "QUALIFICATION"), (1, "ACTIVE"), (1, "CONCLUDED")]
 
 
+def test_lifecycle_holds_no_history_whole(spark):
+    states_ = ["ACCUMULATION", "ACCUMULATION", "BREAKOUT_READY", "UPTREND"]
+    rows = [(e, T(1) + dt.timedelta(days=i), states_[i % 4], 70.0, 60.0) for i in range(40) for e in ("a", "b", None)]
+    df = spark.createDataFrame(rows[::-1], "entity_id string, at timestamp, state string, score double, confidence double")
+    plan = lifecycle.advance(df)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # histories cross batches
+    try:
+        got = lifecycle.advance(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    for e in ("a", "b", None):
+        mine = sorted((r.at, r.case_number, r.status, r.sequence_number) for r in got if r.entity_id == e)
+        assert [x[1:] for x in mine] == [(1 + i // 4, s, i % 4) for i, s in enumerate(["DETECTION", "QUALIFICATION", "ACTIVE", "CONCLUDED"] * 10)]
+
+
 def test_score_below_first_bucket_is_in_none(spark):
     df = spark.createDataFrame([(19.9,), (20.0,), (90.0,), (100.0,)], "s double").select("s", evaluation.score_bucket(F.col("s")).alias("b"))
     assert [r.b for r in df.orderBy("s").collect()] == [None, 20, 90, 90]

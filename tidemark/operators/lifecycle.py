@@ -56,19 +56,27 @@ class Machine:
 def advance(observations: DataFrame) -> DataFrame:
     """Case events of rows (entity_id, at, state, score, confidence), each entity in order of time.
 
-    One entity's history is one group: its rows are observations at scan dates (thousands at most)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, rows = Machine(), []
-        for r in pdf.sort_values("at").itertuples():
-            nothing = lambda x: None if pd.isna(x) else x
-            rows += [(r.entity_id, n, r.at, s, why) for n, s, why in m.step(r.at, nothing(r.state), nothing(r.score), nothing(r.confidence))]
-        out = pd.DataFrame(rows, columns=["entity_id", "case_number", "at", "status", "reason"])
-        out["sequence_number"] = out.groupby("case_number").cumcount()
-        return out
+    Rows are stepped through in sorted batches; only the current entity's state is kept, so no history is held whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, m, last, sequence = object(), Machine(), 0, 0
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                nothing = lambda x: None if pd.isna(x) else x
+                entity = nothing(r.entity_id)
+                if entity != now:
+                    now, m, last = entity, Machine(), 0
+                for n, s, why in m.step(r.at, nothing(r.state), nothing(r.score), nothing(r.confidence)):
+                    sequence = sequence + 1 if n == last else 0
+                    last = n
+                    rows.append((entity, n, r.at, s, why, sequence))
+            out = pd.DataFrame(rows, columns=["entity_id", "case_number", "at", "status", "reason", "sequence_number"])
+            yield out.astype({"entity_id": pdf["entity_id"].dtype, "at": pdf["at"].dtype})
 
     kind = dict(observations.dtypes)
-    return observations.groupBy("entity_id").applyInPandas(
+    columns = ["entity_id", "at", "state", "score", "confidence"]
+    return observations.select(*columns).repartition("entity_id").sortWithinPartitions("entity_id", F.col("at").asc_nulls_last(), "state", "score", "confidence").mapInPandas(
         run, f"entity_id {kind['entity_id']}, case_number int, at {kind['at']}, status string, reason string, sequence_number int")
 
 
