@@ -2,8 +2,10 @@
 character transitions, dictionary coverage, path and neighbouring words, and kept only if a
 random forest, trained on labelled findings, takes them for secrets.
 
-A candidate is a maximal run of 16 or more characters of [A-Za-z0-9+/_-], with up to two =
-behind it, that has a digit. The forest is grown by Spark ML and applied as SQL conditional
+A candidate is one of these, the first that fits where it begins: a PEM block of a private
+key; the password inside a URL; a JWT; a value with a vendor's prefix; any value of 6 or more
+characters without blanks, or in quotes, after a key word and = or :; a maximal run of 16 or
+more characters of [A-Za-z0-9+/_-], with up to two = behind it, that has a digit. The forest is grown by Spark ML and applied as SQL conditional
 expressions inside each row, so texts are neither shuffled nor sent to Python.
 
 Defined results: a null or empty text has no findings; rows are scanned one by one, so
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 #: Characters on either side that are looked at.
 BEFORE, AFTER = 32, 12
 TREES, DEPTH, SEED = 24, 6, 11
@@ -31,10 +32,26 @@ KEYS = "token|password|passwd|pwd|secret|api[_-]?key|apikey|access[_-]?key|auth|
 HARMLESS = "commit|sha-?1|sha-?256|md5|hash|digest|checksum|etag|uuid|guid|revision|isbn|order|phone|card|call"
 DICTIONARY = "password|passwd|token|secret|example|sample|dummy|changeme|placeholder|your|here|test|value|admin|user|image|photo|index|file|page|article|version|release|station|large|thumb|name|data"
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|de|me|ea"
-PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abps]-|sk-|sk_live_|AIza|eyJ|npm_|SG\\\\."
+PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abps]-|sk-|sk_live_|AIza|eyJ|npm_|SG[.]|-----BEGIN "
+#: A key word as it stands before a value, with = or : between; bounded, as it is looked for backwards.
+_KEY = r"(?:[Pp]ass(?:word|wd|phrase)|PASS(?:WORD|WD|PHRASE)|[Pp]wd|PWD|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY|[Cc]redentials?|CREDENTIALS?|[Aa]uth|AUTH|(?:[Pp]rivate|PRIVATE|[Ss]ecret|SECRET)[_-]?(?:[Kk]ey|KEY))"
+# the short looks behind come first: the long ones try every length
+_AFTER_KEY = rf"(?<=[:=][ \t]{{0,4}}[\"']?)(?<={_KEY}[A-Za-z0-9_]{{0,12}}[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}"
+_RUN = r"(?<![A-Za-z0-9+/_\-])"
+CANDIDATE = "|".join([
+    r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END [A-Z ]{0,32}PRIVATE KEY-----",
+    r"(?<=:)(?<=[a-z]://[^\s:/@]{1,64}:)[^\s/@]+(?=@)",
+    _RUN + r"eyJ[A-Za-z0-9_\-]{6,}+(?:\.[A-Za-z0-9_\-]+){1,4}",
+    _RUN + r"SG\.[A-Za-z0-9_\-]{6,}+(?:\.[A-Za-z0-9_\-]+)?",
+    _RUN + r"(?:AKIA|ASIA|gh[opusr]_|github_pat_|glpat-|xox[abps]-|sk-|sk_live_|AIza|npm_)[A-Za-z0-9+/_\-]{6,}+={0,2}",
+    _AFTER_KEY + r"[\"])[^\"\r\n]{6,}+(?=\")",
+    _AFTER_KEY + r"['])[^'\r\n]{6,}+(?=')",
+    _AFTER_KEY + r")[^\s\"'][^\s\"',;]{5,}+",
+    _RUN + r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}",
+])
 FEATURES = [
     "length", "digits", "upper", "lower", "symbols", "distinct", "transitions", "bigrams", "dictionary", "hex", "path",
-    "assigned", "quoted", "key", "harmless", "prefix",
+    "assigned", "quoted", "key", "harmless", "prefix", "url", "blanks",
 ]
 
 
@@ -61,13 +78,15 @@ def features(value: Column, before: Column, after: Column) -> Column:
         "key": has(before, rf"(?i)({KEYS})[\w\"']{{0,12}}\s*(is|[:=])?\s*[\"']?$"),
         "harmless": has(before, rf"(?i)\b({HARMLESS})\b\W{{0,4}}$"),
         "prefix": has(value, f"^({PREFIXES})"),
+        "url": has(before, r"://[^\s:/@]*:$") * has(after, "^@"),
+        "blanks": count(value, r"\s") / n,
     }
     return F.struct(*[parts[name].cast("double").alias(name) for name in FEATURES])
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 12_000) -> DataFrame:
     """before, value, after, label: findings written by rule, digests of the row number for
-    randomness. Secrets: assigned keys, passwords and tokens, vendor prefixes, bearer tokens.
+    randomness. Secrets: assigned keys, passwords, passphrases and tokens, vendor prefixes, bearer tokens, passwords in URLs, PEM blocks.
     Others: numbers, digests and revisions named as such, identifiers, paths, placeholders,
     words with numbers."""
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
@@ -97,6 +116,24 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (word, F.concat(F.translate(hex_(1, 14), "0123456789abcdef", "aeiouthrsnldmpgc"), F.substring(number, 1, 2)), F.lit(" "), 0),
         (word, F.concat(F.lit("station"), F.substring(number, 1, 2), F.translate(hex_(1, 9), "0123456789abcdef", "aeiouthrsnldmpgc")), F.lit(" "), 0),
     ]
+    # short, signed and digitless values, vendor keys with dots, URLs and blocks; then plain words and prose after key words
+    letters = F.translate(h, "0123456789abcdef", "QkZmXaTrBvYwNdHs")
+    signed = F.concat(F.substring(code, 1, 3), pick("!", "#", "$", "@", "%"), F.substring(letters, 4, 3), pick("&", "-", "_", "."), F.substring(code, 8, 3))
+    plain = F.translate(hex_(1, 9), "0123456789abcdef", "aeiouthrsnldmpgc")
+    secret = [
+        (F.concat(word, key, sep), F.concat(F.substring(letters, 1, 3), F.substring(code, 4, 6)), end, 1),
+        (F.concat(word, key, sep), signed, end, 1),
+        (F.concat(word, key, sep), F.substring(letters, 1, size), end, 1),
+        (word, F.concat(F.lit("AKIA"), F.translate(F.substring(caps, 1, 16), "234", "PQR")), F.lit(" "), 1),
+        (word, F.concat(F.lit("SG."), F.substring(code, 1, 22), F.lit("."), F.substring(code, 20, 40)), F.lit(" "), 1),
+        (word, F.concat(F.lit("eyJ"), F.substring(code, 1, 17), F.lit(".eyJ"), F.substring(code, 20, 30), F.lit("."), F.substring(code, 10, 43)), F.lit(" "), 1),
+        (F.concat(F.lit("postgres://"), plain, F.lit(":")), F.when(F.col("id") % 2 == 0, signed).otherwise(F.substring(code, 1, 9)), F.lit("@db.example.com"), 1),
+        (word, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), code, code, F.lit("\n-----END RSA PRIVATE KEY-----")), F.lit("\n"), 1),
+        (F.concat(word, F.lit("passphrase"), pick("=\"", ": \"")), F.concat_ws(" ", F.substring(plain, 1, 5), F.substring(plain, 3, 6), F.substring(plain, 2, 4), F.substring(plain, 5, 5)), F.lit("\""), 1),
+        (F.concat(word, key, sep), F.substring(plain, 1, 8), end, 0),
+        (F.concat(word, key, sep), pick("required", "changeme", "your_token_here", "string,", "<password>", "${PASSWORD}", "example"), end, 0),
+    ]
+    kinds += secret
     which = F.pmod(F.col("id"), F.lit(len(kinds)))
     made = None
     for i, (b, v, a, y) in enumerate(kinds):
