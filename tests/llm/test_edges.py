@@ -120,6 +120,16 @@ def test_ngram_join(spark, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, 1, 8, 11} and kept.where("doc_id in (9, 10)").count() == 0
 
 
+def test_keep_one_tells_rows_apart(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    other = " ".join(f"w{i}" for i in range(20))
+    rows = [(3, long), (5, long + " end"), (5, other), (8, "x y z u v w"), (8, "x y z u v w"), (None, "p q r s t u"), (None, "p q r s t u"), (None, ""), (1, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    want = [(3, long), (5, other), (8, "x y z u v w"), (None, "p q r s t u"), (None, ""), (1, None)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_licenses(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in license_scan.scan(docs).collect()}
     r = got[13, len(ALNUM.findall(low(TEXTS[12][1])))]

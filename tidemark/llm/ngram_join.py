@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import free_name, store
 from .components import components
 from .textvec import Words, mix, pieces, shingles
 
@@ -275,12 +275,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Rows
-    that repeat an id are one document and stay or go together; rows without an id and
-    documents without words stay."""
-    marked = near_duplicates(docs, percent=percent).where("n_shingles > 0")
-    gone = marked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(store(gone), "doc_id", "left_anti")
+    """One row of each group of near duplicates: the one with the smallest doc_id (a null id is
+    the largest), then digest of the text, then row number. Rows are told apart by number, so
+    repeated and null ids need no rule of their own; documents without words stay."""
+    number = free_name(docs, "_row")
+    rows = store(docs.withColumn(number, F.monotonically_increasing_id()))
+    marked = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), percent=percent).where("n_shingles > 0")
+    key = rows.select(F.col(number).alias("r"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(number).alias("r")).alias("k"))
+    group = store(marked.select(F.col("doc_id").alias("r"), "component_id").join(key, "r"))
+    first = group.groupBy("component_id").agg(F.min("k").alias("k")).select(F.col("k.r").alias("r"))
+    gone = group.select("r").join(first, "r", "left_anti").select(F.col("r").alias(number))
+    return rows.join(store(gone), number, "left_anti").select(*docs.columns)
 
 
 ORACLE = """
