@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,31 @@ def store(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that start in this block hand texts to Python in batches of so many rows, not 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def threshold(df: DataFrame, count: str, most: int) -> int:
+    """The smallest count that at most `most` rows reach (from a table of counts of counts, so no row moves for it)."""
+    kept, least = 0, None
+    # counts above 1000 in steps of a thousandth
+    size = F.col(count).cast("double")
+    step = F.when(size <= 1000, size).otherwise(F.floor(F.log(size / 1000) * 1000) + 1001).cast("int")
+    for r in df.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min(count).alias("c")).orderBy(F.desc("s")).toLocalIterator():
+        if kept + r["n"] > most:
+            break
+        kept, least = kept + r["n"], r["c"]
+    return least if least is not None else 1 << 62
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or a variant that no column of df has."""
     have = {c.lower() for c in df.columns}

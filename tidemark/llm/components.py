@@ -33,3 +33,19 @@ def components(links: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame | None, links: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
+    """Labels (node, label) after further links. Each round works on the components so far,
+    so links that are already joined are not gone through again."""
+    if labels is None:
+        return components(links, a, b)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = links.select(F.col(a).alias("p"), F.col(b).alias("q")).join(of("p"), "p", "left").join(of("q"), "q", "left").select(
+        "p", "q", F.coalesce("p_label", "p").alias("u"), F.coalesce("q_label", "q").alias("v"))
+    ends = store(ends.distinct())
+    if ends.isEmpty():
+        return labels
+    joined = components(ends, "u", "v").withColumnsRenamed({"node": "label", "label": "new"})
+    nodes = labels.unionByName(ends.select(F.col("p").alias("node"), F.col("u").alias("label"))).unionByName(ends.select(F.col("q").alias("node"), F.col("v").alias("label"))).distinct()
+    return store(nodes.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))

@@ -9,15 +9,25 @@ least; a pair needs the smaller l of the two. The order is by estimated frequenc
 frequent shingles (shared passages) come last.
 
 Steps, each a Spark job on tables in the shared folder:
-  1. one pass gives each document's class and the shingles frequent within a chunk
+  1. one pass gives each document's class with a parity signature of its set, and the
+     shingles frequent within a chunk
   2. one pass gives the postings (shingle, class, l) of the prefixes; only shingles of
      two classes or more are kept
-  3. each class is verified against the first class of each of its posting lists, which
+  3. each class is verified against one centre: of the first classes of its posting lists
+     (those with most frequent shingles in their prefix) the one it shares most with. This
      joins groups of near copies by stars instead of by all their pairs
   4. what the links so far do not join is paired in full: pairs of different components
-     that share enough prefix shingles, at places that leave room for the rest, are verified
+     that share enough prefix shingles, at places that leave room for the rest, and whose
+     signatures allow a link, are verified
+A signature has one bit for each of `BITS` groups of shingles: whether the set has an odd number
+of them. Each shingle of one set alone flips one bit, so sets with more different bits than
+a link leaves room for cannot link: an exact filter, which spares reading most texts again.
 No list, candidate or partner is capped. Estimates steer cost alone, never the result.
 
+Comparisons in step 4 grow with the square of the number of texts that share most of their shingles
+without linking (a family of edited copies just below the threshold); each is some bit counts
+inside the join, and only those that pass become rows.
+
 Defined results: a null or empty text has an empty set, is linked with nothing and is its
 own component; equal rows are linked; a null doc_id takes part and has no own number (its
 component is the smallest non-null id it reaches, else null). Different sets share a class
@@ -27,59 +37,71 @@ number with odds of 1 in 2^64 per pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, store
-from .components import components
+from .common import free_name, small_batches, store, threshold
+from .components import merged
 from .textvec import Words, mix, pieces, shingles
 
 SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 75
-#: Shingles whose frequency is known to the order at most (12 bytes each).
+#: Shingles whose frequency is known to the order at most (16 bytes each).
 MAX_FREQUENT = 1_000_000
 #: Shingles seen together when frequent ones are looked for.
 CHUNK = 2_000_000
-MAX_MATCHES = 4
-#: Rounds of further stars.
-ROUNDS = 2
-#: A list's first class is verified early against classes that share 1 of so many of their shingles with it.
-STAR_SHARE = 20
+MAX_MATCHES = 16
+#: Further rounds of stars.
+ROUNDS = 1
+#: Bits of a signature.
+BITS = 1024
 #: Documents to read again whose keys (two numbers each) may be broadcast; beyond, they are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 #: Postings of a frequent shingle that one group of a list holds, about.
 LIST_PART = 20_000
+#: Bytes of text that are split and hashed together.
+PIECE = 1 << 18
 
 
 def _class(s: np.ndarray) -> int:
     return int(mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document's class; kind 1: shingles of two different sets of a chunk or more."""
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BITS / 64 numbers per set."""
+    cell = np.concatenate([(s >> np.uint64(20)).astype(np.int64) % BITS + i * BITS for i, s in enumerate(sets)])
+    odd = np.bincount(cell, minlength=len(sets) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), BITS // 64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind 0: a document's class, its size and signature; kind 1: shingles of two different sets of a chunk or more."""
     held: list[np.ndarray] = []
     seen: set[int] = set()
     total = 0
+    lists = pa.list_(pa.int64())
 
     def frequent() -> pa.RecordBatch:
         t, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
         t, c = t[c > 1].view(np.int64), c[c > 1]
         n = len(t)
         null = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), null, null, null, pa.array(t), pa.array(c.astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), null, null, null, pa.array(t), pa.array(c.astype(np.int64)), pa.nulls(n, lists)], names=names)
 
-    names = ["kind", "doc_id", "digest", "n", "id", "count"]
-    for batch in (part for whole in batches for part in pieces(whole, 1)):
+    names = ["kind", "doc_id", "digest", "n", "id", "count", "sig"]
+    for batch in (part for whole in batches for part in pieces(whole, 1, PIECE)):
         sets = shingles(Words(batch.column(1)), SHINGLE)
         ids = [_class(s) for s in sets]
         n = len(ids)
+        sig = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(signatures(sets).ravel()))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array(ids, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+             pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), sig], names=names)
         for i, s in zip(ids, sets):
             if i not in seen:
                 seen.add(i)
@@ -108,7 +130,7 @@ def matches(df: np.ndarray, n: int, need: int) -> int:
 def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterator[pa.RecordBatch]:
     token, count = shared.value
     seen: set[int] = set()
-    for batch in (part for whole in batches for part in pieces(whole, 0)):
+    for batch in (part for whole in batches for part in pieces(whole, 0, PIECE)):
         sets = shingles(Words(batch.column(0)), SHINGLE)
         out: list[tuple] = []
         for s in sets:
@@ -117,7 +139,7 @@ def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterat
                 continue
             seen.add(i)
             need = -(-percent * n // 100)
-            ell, df = 1, None
+            ell, df, often = 1, None, 0
             if len(token):
                 at = np.searchsorted(token, s)
                 at[at == len(token)] = 0
@@ -126,19 +148,21 @@ def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterat
                     order = np.argsort(df, kind="stable")
                     s, df = s[order], df[order]
                     ell = matches(df, n, need)
+                    often = int(np.count_nonzero(df[: n - need + ell]))
                 else:
                     df = None
             p = n - need + ell
             part = np.zeros(p, np.int32) if df is None else np.where(df[:p] > LIST_PART, 1 + i % (1 + df[:p] // LIST_PART), 0).astype(np.int32)
-            out.append((s[:p], part, np.full(p, i, np.int64), np.arange(p, dtype=np.int32), np.full(p, n, np.int32), np.full(p, ell, np.int32)))
+            row = (np.full(p, i, np.int64), np.arange(p, dtype=np.int32), *(np.full(p, v, np.int32) for v in (n, ell, often)))
+            out.append((s[:p], part, *row))
         if out:
-            t, part, i, pos, n, ell = (np.concatenate(x) for x in zip(*out))
+            t, part, i, pos, n, ell, often = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t.view(np.int64)), pa.array(part), pa.array(i), pa.array(pos), pa.array(n), pa.array(ell)], names=["token", "part", "id", "pos", "n", "ell"])
+                [pa.array(t.view(np.int64)), *map(pa.array, (part, i, pos, n, ell, often))], names=["token", "part", "id", "pos", "n", "ell", "often"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in pieces(whole, 0)):
+    for batch in (part for whole in batches for part in pieces(whole, 0, PIECE)):
         sets = shingles(Words(batch.column(0)), SHINGLE)
         offsets = np.zeros(len(sets) + 1, np.int32)
         np.cumsum([len(s) for s in sets], out=offsets[1:])
@@ -151,10 +175,20 @@ def similar(a: Column, b: Column, both: Column, percent: int) -> Column:
     return 100 * both >= percent * (a + b - both)
 
 
+def differ(a: Column, b: Column) -> Column:
+    """The number of bits in which two signatures differ: at most the number of shingles that one set alone has."""
+    return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(BITS // 64)])
+
+
+def may_link(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether signatures leave room for a link: |intersection| >= percent * (na + nb) / (100 + percent)."""
+    return differ(a, b) <= na + nb - 2 * F.ceil(percent * (na + nb) / (100 + percent))
+
+
 def _sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, id, tokens) for rows (key, id): one document of each class asked for is read again,
     and goes out once per key straight from where it was read."""
-    wanted = store(classes.join(asked, "id").select(F.col("d.digest").alias("g"), F.col("d.doc_id").alias("i"), "key", "id"))
+    wanted = store(classes.join(asked, "id").select("digest", "doc_id", "key", "id").toDF("g", "i", "key", "id"))
     if wanted.count() <= MAX_BROADCAST:  # four numbers a row
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")))
@@ -162,12 +196,15 @@ def _sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link."""
+    """The pairs (x, y) whose sets link; a pair may come twice where a row of docs does."""
+    side = lambda c, n: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{n}"), F.col("sig").alias(f"sig{n}"))
+    able = pairs.join(side("x", 1), "x").join(side("y", 2), "y").where(may_link(F.col("sig1"), F.col("sig2"), F.col("n1"), F.col("n2"), percent))
+    pairs = store(able.select("x", "y"))
     heads = _sets_of(pairs.select(F.col("x").alias("key"), F.col("x").alias("id")).distinct(), docs, classes)
     members = _sets_of(pairs.select(F.col("x").alias("key"), F.col("y").alias("id")), docs, classes)
     whole = members.join(heads.select("key", F.col("tokens").alias("head")), "key")
     both = F.size(F.array_intersect("tokens", "head"))
-    return whole.where(similar(F.size("tokens"), F.size("head"), both, percent)).select(F.col("key").alias("x"), F.col("id").alias("y")).distinct()
+    return store(whole.where(similar(F.size("tokens"), F.size("head"), both, percent)).select(F.col("key").alias("x"), F.col("id").alias("y")))
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -178,96 +215,103 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable) and
     n_links (other classes that its text was found linked with: a star has them all at its
     centre, as links inside a component are not looked for once it is joined)."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, percent)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     signed = store(
         docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(
-            lambda it: _signatures(it, percent), "kind int, doc_id bigint, digest bigint, n bigint, id bigint, count bigint")
+            _signatures, "kind int, doc_id bigint, digest bigint, n bigint, id bigint, count bigint, sig array<bigint>")
     )
-    frequent = signed.where("kind = 1").groupBy("id").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "id").limit(MAX_FREQUENT).toArrow()
+    frequent = store(signed.where("kind = 1").groupBy("id").agg(F.sum("count").alias("c")))
+    frequent = frequent.where(F.col("c") >= threshold(frequent, "c", MAX_FREQUENT)).toArrow()
     token, often = (frequent.column(c).to_numpy() for c in ("id", "c"))
     token = token.astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     shared = spark.sparkContext.broadcast((token[order], often.astype(np.int64)[order]))
 
     posted = docs.select("text").mapInArrow(
-        lambda it: _postings(it, percent, shared), "token bigint, part int, id bigint, pos int, n int, ell int")
+        lambda it: _postings(it, percent, shared), "token bigint, part int, id bigint, pos int, n int, ell int, often int")
     lists = Window.partitionBy("token", "part")
     live = store(
-        posted.withColumn("head", F.min(F.struct("id", "n")).over(lists))
-        .withColumn("last", F.max("id").over(lists))
-        .where((F.col("head.id") != F.col("last")) | (F.col("part") > 0))
-        .select("token", "part", "id", "pos", "n", "ell", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
+        posted.withColumn("head", F.min(F.struct(-F.col("often"), F.col("id"), F.col("n"))).over(lists))
+        .withColumn("lo", F.min("id").over(lists)).withColumn("hi", F.max("id").over(lists))
+        .where("lo <> hi or part > 0")
+        .select("token", "part", "id", "pos", "n", "ell", "often", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
         .dropDuplicates(["token", "part", "id"])
     )
-    classes = signed.where("kind = 0 and n > 0").groupBy("id").agg(F.min(F.struct("digest", "doc_id")).alias("d"))
+    shared.unpersist()
+    classes = signed.where("kind = 0 and n > 0").groupBy("id").agg(F.min(F.struct("digest", "doc_id", "n", "sig")).alias("d")).select("id", "d.*")
+    classes = store(classes)
 
+    # the heads of a list's parts are a list of their own
     heads = live.where("part > 0").select("token", "head", "head_n").distinct()
     across = heads.groupBy("token").agg(F.min(F.struct("head", "head_n")).alias("h"))
-    stars = live.select(F.col("head").alias("x"), F.col("head_n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny")).unionByName(
+    candidates = live.select(F.col("head").alias("x"), F.col("head_n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny")).unionByName(
         heads.join(across, "token").select(F.col("h.head").alias("x"), F.col("h.head_n").alias("nx"), F.col("head").alias("y"), F.col("head_n").alias("ny"))
     )
-    # only those with much in common; what is left out here is paired in full below
-    stars = store(
-        stars.where((F.col("x") != F.col("y")) & _sizes_fit(F.col("nx"), F.col("ny"), percent))
-        .groupBy("x", "y", "ny").agg(F.count("*").alias("shared"))
-        .where(STAR_SHARE * F.col("shared") >= F.col("ny")).select("x", "y").distinct()
-    )
-    links = store(_verify(stars, docs, classes, percent))
-    joined = components(links)
+
+    def best(candidates: DataFrame) -> DataFrame:
+        """Of each class the centre that it shares most with."""
+        fit = candidates.where((F.col("x") != F.col("y")) & _sizes_fit(F.col("nx"), F.col("ny"), percent))
+        return fit.groupBy("x", "y").agg(F.count("*").alias("shared")).groupBy("y").agg(F.max(F.struct("shared", "x")).alias("b")).select("b.x", "y")
+
+    tried = store(best(candidates))
+    links = _verify(tried, docs, classes, percent)
+    joined = merged(None, links)
 
     def mixed(joined: DataFrame) -> DataFrame:
         """Postings of the lists that hold several components, with their labels."""
         at = live.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-            "token", "id", "pos", "n", "ell", F.coalesce("label", "id").alias("label"))
+            "token", "id", "pos", "n", "ell", "often", F.coalesce("label", "id").alias("label"))
         several = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
         return store(at.join(several, "token", "left_semi"))
 
-    # more stars, each round with other centres: most groups of near copies become one component
-    tried, rest = stars, mixed(joined)
+    # another star, with other centres: nearly every group of near copies is one component then
+    rest = mixed(joined)
     for turn in range(ROUNDS):
         centre = rest.groupBy("token").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn))).alias("c"))
-        more = (
-            rest.join(centre, "token")
-            .where((F.col("label") != F.col("c.label")) & _sizes_fit(F.col("n"), F.col("c.n"), percent))
-            .groupBy(F.least("id", "c.id").alias("x"), F.greatest("id", "c.id").alias("y"), F.least("n", "c.n").alias("ny"))
-            .agg(F.count("*").alias("shared")).where(STAR_SHARE * F.col("shared") >= F.col("ny")).select("x", "y")
-            .join(tried, ["x", "y"], "left_anti")
-        )
-        more = store(more)
-        if more.isEmpty():
-            break
+        more = rest.join(centre, "token").where(F.col("label") != F.col("c.label")).select(
+            F.col("c.id").alias("x"), F.col("c.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"))
+        more = store(best(more).join(tried, ["x", "y"], "left_anti"))
         tried = tried.unionByName(more)
-        links = links.unionByName(store(_verify(more, docs, classes, percent)))
-        joined = components(links)
+        found = _verify(more, docs, classes, percent)
+        links = links.unionByName(found)
+        joined = merged(joined, found)
         rest = mixed(joined)
     # lists that still hold several components: all their pairs across components
-    other = rest.select("token", *[F.col(c).alias(c + "2") for c in ("id", "pos", "n", "ell", "label")])
+    signs = classes.select("id", "sig")
+    rest = rest.join(signs, "id").select("token", "id", "pos", "n", "ell", "label", "sig")
+    other = rest.select("token", *[F.col(c).alias(c + "2") for c in ("id", "pos", "n", "ell", "label", "sig")])
     # the smaller set of a pair has at least as many in common as with one of its own size
     own = lambda n, ell: n - F.ceil(2 * percent * n / (100 + percent)) + ell
     early = F.when(F.col("n") >= F.col("n2"), F.col("pos2") < own(F.col("n2"), F.col("ell2"))).otherwise(F.col("pos") < own(F.col("n"), F.col("ell")))
+    able = may_link(F.col("sig"), F.col("sig2"), F.col("n"), F.col("n2"), percent)
     pairs = (
-        rest.join(other, "token")
-        .where((F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2"), percent) & early)
+        rest.join(other, (rest["token"] == other["token"]) & (F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2"), percent) & early & able)
         .groupBy("id", "id2", "n", "n2", F.least("ell", "ell2").alias("least"))
         .agg(F.count("*").alias("shared"), F.max("pos").alias("last"), F.max("pos2").alias("last2"))
     )
     # every other common shingle comes after the last shared one, in both
     most = F.col("shared") + F.least(F.col("n") - 1 - F.col("last"), F.col("n2") - 1 - F.col("last2"))
     fit = (F.col("shared") >= F.col("least")) & similar(F.col("n"), F.col("n2"), most, percent)
-    pairs = pairs.where(fit).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).join(tried, ["x", "y"], "left_anti")
-    pairs = store(pairs)
+    done = tried.unionByName(tried.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    pairs = store(pairs.where(fit).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).join(done, ["x", "y"], "left_anti"))
     if not pairs.isEmpty():
-        links = links.unionByName(store(_verify(pairs, docs, classes, percent)))
-        joined = components(links)
-
-    member = signed.where("kind = 0")
-    degree = (
-        links.select(F.col("x").alias("id")).unionByName(links.select(F.col("y").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    )
-    label = member.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("lowest")).join(
-        joined.withColumnRenamed("node", "id"), "id", "left").select("id", "lowest", F.coalesce("label", "id").alias("label"))
-    lowest = label.groupBy("label").agg(F.min("lowest").alias("component_id"))
-    per_class = label.join(lowest, "label").join(degree, "id", "left").select("id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        found = _verify(pairs, docs, classes, percent)
+        links = links.unionByName(found)
+        joined = merged(joined, found)
+
+    ends = links.distinct()
+    degree = ends.select(F.col("x").alias("id")).unionByName(ends.select(F.col("y").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    member = signed.where("kind = 0").select("id", "doc_id", "n")
+    own_id = member.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("lowest"))
+    in_group = store(joined.withColumnRenamed("node", "id").join(own_id, "id"))
+    lowest = store(in_group.groupBy("label").agg(F.min("lowest").alias("component_id")))
+    named = store(in_group.join(lowest, "label").join(degree, "id", "left").select("id", F.col("component_id").alias("c"), "n_links"))
+    per_class = own_id.join(named, "id", "left").select("id", F.when(F.col("n_links").isNull(), F.col("lowest")).otherwise(F.col("c")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     full = member.where("n > 0").join(per_class, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     empty = member.where("n = 0").select(
         "doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
