@@ -46,6 +46,6 @@ def merged(labels: DataFrame | None, links: DataFrame, a: str = "x", b: str = "y
     ends = store(ends.distinct())
     if ends.isEmpty():
         return labels
-    joined = components(ends, "u", "v").withColumnsRenamed({"node": "label", "label": "new"})
+    joined = components(ends, "u", "v").select(F.col("node").alias("label"), F.col("label").alias("new"))
     nodes = labels.unionByName(ends.select(F.col("p").alias("node"), F.col("u").alias("label"))).unionByName(ends.select(F.col("q").alias("node"), F.col("v").alias("label"))).distinct()
     return store(nodes.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
