@@ -89,6 +89,42 @@ def test_language_model_learns_from_all_texts_whatever_their_number_and_length(s
     assert lm_score.fit_model(train.select("text"), count, None, rounds=4).score(row, size(row[:-1]))[0] > flat + 5
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_model_beats_the_unigram_base_on_held_out_texts(spark):
+    pytest.importorskip("public_tokenizers")
+    from pyspark.sql import functions as F
+
+    got = lm_score.score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out")
+    r = got.agg(F.sum("score").alias("model"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert r.n > 50_000 and r.model > r.base
+
+
+def test_score_is_attention_by_hand():
+    rng = np.random.default_rng(0)
+    ids = np.concatenate([rng.integers(0, 30, 50), [-1]])
+    m = Model(ids, 30, classes=9, width=8, context=12, stride=5)
+    for k in m.p:
+        m.p[k] = rng.normal(0, 0.4, m.p[k].shape).astype(np.float32)
+    p, w, s = {k: v.astype(np.float64) for k, v in m.p.items()}, m.context, m.stride
+    ranks = [int(m.rank[i]) for i in np.where(ids < 0, m.end, ids)]
+    before = [m.start, *ranks[:-1]]
+    total = 0.0
+    for t, goal in enumerate(ranks):
+        window = t // s * s + s - w  # where the window of this token begins; its inputs precede places window, window + 1, ...
+        places = [j for j in range(max(window, 0), t + 1)]
+        h = np.array([p["E"][m.cls[before[j]]] + p["R"][before[j]] + p["P"][j - window] for j in places])
+        a = np.exp((h[-1] @ p["Q"]) @ (h @ p["K"]).T / np.sqrt(m.width))
+        r = h[-1] + (a / a.sum()) @ (h @ p["V"]) @ p["O"]
+        o = r + np.maximum(r @ p["A"], 0) @ p["B"]
+        y = o @ p["U"] + p["b"]
+        c = int(m.cls[goal])
+        lo, hi = int(m.first[c]), int(m.first[c + 1])
+        z = o @ p["W"][lo:hi].T + p["w"][lo:hi]
+        total += y[c] - np.log(np.exp(y).sum()) + z[goal - lo] - np.log(np.exp(z).sum())
+    got = m.score(np.where(ids < 0, m.end, ids), np.array([len(ids)]))[0]
+    assert abs(got - total) < 1e-3 * abs(total)
+
+
 def test_transducer_matches_the_library_on_odd_texts():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -80,9 +80,16 @@ class Words:
         h = (total[self.end] - total[self.start]) * down[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64) * _PLACE[63])
 
-    def text(self, i: int) -> str:
-        """Word i, A-Z in lower case."""
-        return _LOWER[self.buf[self.start[i] : self.end[i]]].tobytes().decode("utf-8", "replace")
+    def texts(self, i: np.ndarray) -> list[str]:
+        """The words i, A-Z in lower case."""
+        if not len(i):
+            return []
+        size = self.end[i] - self.start[i] + 1  # a blank after each
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1])) + np.repeat(self.start[i] - (ends - size), size)
+        out = _LOWER[self.buf[np.minimum(at, len(self.buf) - 1)]]
+        out[ends - 1] = 32
+        return out[:-1].tobytes().decode("utf-8", "replace").split(" ")
 
 
 def shingles(w: Words, size: int) -> list[np.ndarray]:
