@@ -120,6 +120,52 @@ def test_ngram_join(spark, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, 1, 8, 11} and kept.where("doc_id in (9, 10)").count() == 0
 
 
+def families():
+    """Edited copies of three texts, on both sides of the threshold, of passages that many texts share, and chains."""
+    import random
+
+    rnd = random.Random(7)
+    words = [f"v{i}" for i in range(4000)]
+    passage = [rnd.choice(words) for _ in range(60)]
+    rows = []
+    for f in range(3):
+        base = [rnd.choice(words) for _ in range(90 + 40 * f)]
+        for _ in range(45):
+            t = list(base)
+            for _ in range(rnd.randrange(0, 9)):
+                t[rnd.randrange(len(t))] = rnd.choice(words)
+            rows.append(t[: len(t) - rnd.randrange(0, 30)])
+    rows += [passage + [rnd.choice(words) for _ in range(rnd.randrange(0, 40))] for _ in range(40)]
+    chain = [rnd.choice(words) for _ in range(200)]
+    rows += [chain[i : i + 100] for i in range(0, 100, 5)]
+    rnd.shuffle(rows)
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def linked(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                la, lb = label[a], label[b]
+                low_, high = min(la, lb), max(la, lb)
+                label = {k: low_ if v == high else v for k, v in label.items()}
+    return sorted([(i, len(s), label[i]) for i, s in sets])
+
+
+@pytest.mark.parametrize("options", [
+    {},
+    {"chunk": 2_000, "list_part": 10},  # shingles that are rare in each chunk and frequent over all, lists in parts
+    {"star_share": 0},  # no stars: all links come from the paired lists
+])
+def test_ngram_join_on_families(spark, options):
+    rows = families()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = ngram_join.near_duplicates(df, **options).select("doc_id", "n_shingles", "component_id")
+    assert by_row(got) == sorted(linked(rows), key=str)
+
+
 def test_keep_one_tells_rows_apart(spark):
     long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     other = " ".join(f"w{i}" for i in range(20))

@@ -56,8 +56,10 @@ MAX_FREQUENT = 1_000_000
 #: Shingles seen together when frequent ones are looked for.
 CHUNK = 2_000_000
 MAX_MATCHES = 16
-#: Further rounds of stars.
-ROUNDS = 1
+#: Other classes that a shingle without a known frequency is taken to meet.
+CHANCE = 0.1
+#: Further rounds of stars, which verify only pairs that share 1 of so many shingles of the smaller set in their prefixes.
+ROUNDS, STAR_SHARE = 1, 20
 #: Bits of a signature.
 BITS = 1024
 #: Documents to read again whose keys (two numbers each) may be broadcast; beyond, they are joined by shuffle.
@@ -79,7 +81,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), BITS // 64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """kind 0: a document's class, its size and signature; kind 1: shingles of two different sets of a chunk or more."""
     held: list[np.ndarray] = []
     seen: set[int] = set()
@@ -107,7 +109,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(i)
                 held.append(s)
                 total += len(s)
-        if total > CHUNK:
+        if total > chunk:
             yield frequent()
             held, total = [], 0
             seen = set()
@@ -115,19 +117,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matches(df: np.ndarray, n: int, need: int) -> int:
-    """The number of common shingles to ask for, from the frequencies of a set in order."""
+    """The number of common shingles to ask for, from the frequencies of a set in order.
+
+    Asking for k costs k further postings of its own, the postings that these meet, and the
+    candidates: each takes k of the postings met, and verifying one costs its shingles."""
     free = n - need
-    cost = np.cumsum(df[: free + MAX_MATCHES], dtype=np.float64)
-    top = min(MAX_MATCHES, need)
-    if cost[free + top - 1] == 0:
-        return 1
-    read = cost[free : free + top]
-    k = np.arange(1, top + 1)
-    # every candidate takes k of the postings read; verifying one costs its shingles
-    return int(np.argmin(read + read / k * (1 + n / 16))) + 1
+    met = np.cumsum(df[: free + MAX_MATCHES], dtype=np.float64)
+    met += CHANCE * np.arange(1, len(met) + 1)
+    k = np.arange(1, min(MAX_MATCHES, need) + 1)
+    met = met[free : free + len(k)]
+    return int(np.argmin(k + met + met / k * (1 + n / 16))) + 1
 
 
-def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], percent: int, list_part: int, shared) -> Iterator[pa.RecordBatch]:
     token, count = shared.value
     seen: set[int] = set()
     for batch in (part for whole in batches for part in pieces(whole, 0, PIECE)):
@@ -139,7 +141,7 @@ def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterat
                 continue
             seen.add(i)
             need = -(-percent * n // 100)
-            ell, df, often = 1, None, 0
+            df = np.zeros(n, np.int64)
             if len(token):
                 at = np.searchsorted(token, s)
                 at[at == len(token)] = 0
@@ -147,12 +149,10 @@ def _postings(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterat
                 if df.any():
                     order = np.argsort(df, kind="stable")
                     s, df = s[order], df[order]
-                    ell = matches(df, n, need)
-                    often = int(np.count_nonzero(df[: n - need + ell]))
-                else:
-                    df = None
+            ell = matches(df, n, need)
             p = n - need + ell
-            part = np.zeros(p, np.int32) if df is None else np.where(df[:p] > LIST_PART, 1 + i % (1 + df[:p] // LIST_PART), 0).astype(np.int32)
+            often = int(np.count_nonzero(df[:p]))
+            part = np.where(df[:p] > list_part, 1 + i % (1 + df[:p] // list_part), 0).astype(np.int32)
             row = (np.full(p, i, np.int64), np.arange(p, dtype=np.int32), *(np.full(p, v, np.int32) for v in (n, ell, often)))
             out.append((s[:p], part, *row))
         if out:
@@ -211,19 +211,24 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+def _reach(n: Column, ell: Column, percent: int) -> Column:
+    """Of the smaller set of a pair, the prefix that has `ell` of the common ones: it has at least as many as with a set of its own size."""
+    return n - F.ceil(2 * percent * n / (100 + percent)) + ell
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, chunk: int = CHUNK, list_part: int = LIST_PART, star_share: int = STAR_SHARE) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable) and
     n_links (other classes that its text was found linked with: a star has them all at its
     centre, as links inside a component are not looked for once it is joined)."""
     with small_batches(docs.sparkSession):
-        return _near_duplicates(docs, percent)
+        return _near_duplicates(docs, percent, chunk, list_part, star_share)
 
 
-def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, percent: int, chunk: int, list_part: int, star_share: int) -> DataFrame:
     spark = docs.sparkSession
     signed = store(
         docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(
-            _signatures, "kind int, doc_id bigint, digest bigint, n bigint, id bigint, count bigint, sig array<bigint>")
+            lambda it: _signatures(it, chunk), "kind int, doc_id bigint, digest bigint, n bigint, id bigint, count bigint, sig array<bigint>")
     )
     frequent = store(signed.where("kind = 1").groupBy("id").agg(F.sum("count").alias("c")))
     frequent = frequent.where(F.col("c") >= threshold(frequent, "c", MAX_FREQUENT)).toArrow()
@@ -233,13 +238,20 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     shared = spark.sparkContext.broadcast((token[order], often.astype(np.int64)[order]))
 
     posted = docs.select("text").mapInArrow(
-        lambda it: _postings(it, percent, shared), "token bigint, part int, id bigint, pos int, n int, ell int, often int")
+        lambda it: _postings(it, percent, list_part, shared), "token bigint, part int, id bigint, pos int, n int, ell int, often int")
+    # a posting can only count if the list has a set of fitting size next to its own in order of size;
+    # beyond the place where a pair's smaller set has its common ones it counts for smaller sets alone
     lists = Window.partitionBy("token", "part")
+    by_size = lists.orderBy("n")
+    n, before, after = F.col("n"), F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fits = lambda a, b: F.coalesce(100 * a >= percent * b, F.lit(False))
+    inside = F.col("pos") < _reach(n, F.col("ell"), percent)
     live = store(
-        posted.withColumn("head", F.min(F.struct(-F.col("often"), F.col("id"), F.col("n"))).over(lists))
+        posted.withColumn("fits", (F.col("part") > 0) | fits(before, n) | (fits(n, after) & (inside | (n == after)))).where("fits")
+        .withColumn("head", F.min(F.struct(-F.col("often"), F.col("id"), F.col("n"))).over(lists))
         .withColumn("lo", F.min("id").over(lists)).withColumn("hi", F.max("id").over(lists))
         .where("lo <> hi or part > 0")
-        .select("token", "part", "id", "pos", "n", "ell", "often", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
+        .select("token", "part", "id", "pos", "n", "ell", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
         .dropDuplicates(["token", "part", "id"])
     )
     shared.unpersist()
@@ -256,7 +268,8 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     def best(candidates: DataFrame) -> DataFrame:
         """Of each class the centre that it shares most with."""
         fit = candidates.where((F.col("x") != F.col("y")) & _sizes_fit(F.col("nx"), F.col("ny"), percent))
-        return fit.groupBy("x", "y").agg(F.count("*").alias("shared")).groupBy("y").agg(F.max(F.struct("shared", "x")).alias("b")).select("b.x", "y")
+        often = fit.groupBy("x", "y", F.least("nx", "ny").alias("n")).agg(F.count("*").alias("shared")).where(star_share * F.col("shared") >= F.col("n"))
+        return often.groupBy("y").agg(F.max(F.struct("shared", "x")).alias("b")).select("b.x", "y")
 
     tried = store(best(candidates))
     links = _verify(tried, docs, classes, percent)
@@ -265,7 +278,7 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     def mixed(joined: DataFrame) -> DataFrame:
         """Postings of the lists that hold several components, with their labels."""
         at = live.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-            "token", "id", "pos", "n", "ell", "often", F.coalesce("label", "id").alias("label"))
+            "token", "id", "pos", "n", "ell", F.coalesce("label", "id").alias("label"))
         several = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
         return store(at.join(several, "token", "left_semi"))
 
@@ -285,9 +298,7 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     signs = classes.select("id", "sig")
     rest = rest.join(signs, "id").select("token", "id", "pos", "n", "ell", "label", "sig")
     other = rest.select("token", *[F.col(c).alias(c + "2") for c in ("id", "pos", "n", "ell", "label", "sig")])
-    # the smaller set of a pair has at least as many in common as with one of its own size
-    own = lambda n, ell: n - F.ceil(2 * percent * n / (100 + percent)) + ell
-    early = F.when(F.col("n") >= F.col("n2"), F.col("pos2") < own(F.col("n2"), F.col("ell2"))).otherwise(F.col("pos") < own(F.col("n"), F.col("ell")))
+    early = F.when(F.col("n") >= F.col("n2"), F.col("pos2") < _reach(F.col("n2"), F.col("ell2"), percent)).otherwise(F.col("pos") < _reach(F.col("n"), F.col("ell"), percent))
     able = may_link(F.col("sig"), F.col("sig2"), F.col("n"), F.col("n2"), percent)
     pairs = (
         rest.join(other, (rest["token"] == other["token"]) & (F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2"), percent) & early & able)
