@@ -26,12 +26,19 @@ def split_ratio(payload: Column) -> Column:
     return F.when(r > 0, r)
 
 
+#: Words for transaction codes.
+CODE_WORDS = {
+    "PURCHASE": "P", "BUY": "P", "BOUGHT": "P", "SALE": "S", "SELL": "S", "SOLD": "S", "AWARD": "A", "GRANT": "A", "EXEMPT": "M", "EXERCISE": "M", "GIFT": "G",
+}
+
+
 def transaction_code(text: Column) -> Column:
-    """`P-Purchase`, `purchase` and `p` alike as P."""
+    """`P-Purchase`, `Purchase-P`, `purchase` and `p` alike as P; null for what is not known."""
     t = F.upper(F.trim(text))
-    words = F.create_map(*[F.lit(x) for kv in {"PURCHASE": "P", "BUY": "P", "SALE": "S", "SELL": "S", "AWARD": "A", "GIFT": "G", "EXERCISE": "M"}.items() for x in kv])
-    head = F.substring_index(t, "-", 1)
-    return F.when(F.char_length(F.trim(head)) == 1, F.trim(head)).otherwise(F.element_at(words, t))
+    words = F.create_map(*[F.lit(x) for kv in CODE_WORDS.items() for x in kv])
+    head, tail = F.substring_index(t, "-", 1), F.regexp_extract(t, "^[^-]*-(.*)$", 1)
+    letter = "^[A-Z]$"
+    return F.when(head.rlike(letter), head).when(tail.rlike(letter), tail).otherwise(F.try_element_at(words, t))
 
 
 def item_numbers(text: Column) -> Column:
@@ -45,16 +52,26 @@ def timestamp(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss")), day + F.expr("INTERVAL '23:59:59' HOUR TO SECOND"))
 
 
-#: Exchange patterns in order; the first that the upper-case name contains wins.
-EXCHANGES = [("NASDAQ", "NASDAQ"), ("NEW YORK", "NYSE"), ("NYSE AMERICAN", "AMEX"), ("AMEX", "AMEX"), ("NYSE", "NYSE"), ("ARCA", "ARCA"), ("BATS", "BATS"), ("CBOE", "BATS"), ("OTC", "OTC")]
+#: Label patterns in order; the first that the lower-case label contains wins.
+EXCHANGES = [
+    ("nasdaq global select", "NASDAQ"), ("nasdaq global market", "NASDAQ"), ("nasdaq capital market", "NASDAQ"), ("nasdaq", "NASDAQ"), ("ndq", "NASDAQ"),
+    ("nyse arca", "NYSE_ARCA"), ("arca", "NYSE_ARCA"), ("nyse american", "NYSE_AMERICAN"), ("amex", "NYSE_AMERICAN"), ("american stock exchange", "NYSE_AMERICAN"),
+    ("new york stock exchange", "NYSE"), ("nyse", "NYSE"), ("otc", "OTC"), ("pink", "OTC"),
+]
+
+
+def exchange(name: Column, short_name: Column | None = None) -> Column:
+    """The venue of a label, else of the short one, else UNKNOWN."""
 
+    def match(label: Column) -> Column:
+        n = F.trim(F.regexp_replace(F.lower(label), r"\s+", " "))
+        out = F
+        for pattern, code in EXCHANGES:
+            out = out.when(n.contains(pattern), code)
+        return out
 
-def exchange(name: Column) -> Column:
-    n = F.upper(F.trim(name))
-    out = None
-    for pattern, code in EXCHANGES:
-        out = F.when(n.contains(pattern), code) if out is None else out.when(n.contains(pattern), code)
-    return out
+    found = match(name) if short_name is None else F.coalesce(match(name), match(short_name))
+    return F.coalesce(found, F.lit("UNKNOWN"))
 
 
 def symbol(text: Column) -> Column:

@@ -9,11 +9,11 @@ Z95 = 1.959963984540054
 
 
 def wilson(successes: Column, total: Column) -> tuple[Column, Column]:
-    """Wilson interval, clipped to [0, 1]; null for no trials."""
-    n, p = total.cast("double"), successes / F.nullif(total, F.lit(0))
+    """Wilson interval, clipped to [0, 1]; the whole of it for no trials."""
+    n, p = F.nullif(total, F.lit(0)).cast("double"), successes / F.nullif(total, F.lit(0))
     mid = (p + Z95**2 / (2 * n)) / (1 + Z95**2 / n)
     half = Z95 / (1 + Z95**2 / n) * F.sqrt(p * (1 - p) / n + Z95**2 / (4 * n * n))
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)  # these pass over nulls
 
 
 def distribution(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
@@ -71,10 +71,11 @@ def monotonicity(buckets: DataFrame, order: str, value: str, tolerance: float =
         F.corr("_ro", "_rv").alias("spearman"))
 
 
-def calibration(df: DataFrame, score: str, outcome: Column, bins: int = 10, high: float = 100.0) -> DataFrame:
+def calibration(df: DataFrame, score: str, outcome: Column, bins: int = 10, high: float = 100.0, least: int = 10) -> DataFrame:
+    """Equal bins of the score with their mean score and, from `least` rows on, the rate of the outcome."""
     b = F.least(F.lit(bins - 1), F.floor(F.col(score) / (high / bins))).cast("int")
     return df.where(F.col(score).between(0, high)).groupBy(b.alias("bin")).agg(
-        F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome.cast("double")).alias("rate"))
+        F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.when(F.count("*") >= least, F.avg(outcome.cast("double"))).alias("rate"))
 
 
 def walk_forward(df: DataFrame, time: str, start: str, end: str, *, train: int = 730, test: int = 365, step: int = 365) -> DataFrame:

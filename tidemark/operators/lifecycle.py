@@ -25,36 +25,57 @@ def regressions(events: DataFrame, key: str = "case_id", sequence: str = "sequen
     return events.withColumn("_at", at).withColumn("_top", F.max("_at").over(w)).where(F.col("_at") < F.col("_top")).drop("_at", "_top")
 
 
+#: Decisions that end an open case for reasons outside price.
+INVALIDATES = {"INELIGIBLE", "LOST_ELIGIBILITY"}
+
+
 class Machine:
-    """The state of one entity's open case; step() gives the events of one observation."""
-
-    def __init__(self, number: int = 0, stage: str | None = None, since: pd.Timestamp | None = None):
-        self.number, self.stage, self.since = number, stage, since
-
-    def step(self, at: pd.Timestamp, state: str | None, score: float | None, confidence: float | None) -> list[tuple[int, str, str]]:
-        out = []
-        if self.stage:
-            days = (at - self.since).days
-            if days > (ACTIVE_DAYS if self.stage == "ACTIVE" else DETECTION_DAYS):
-                out.append((self.number, "CONCLUDED", "expired"))
-                self.stage = None
-            elif state in ENDS:
-                out.append((self.number, "CONCLUDED", state.lower()))
-                self.stage = None
-            elif self.stage == "DETECTION" and (score or 0) >= MIN_SCORE and (confidence or 0) >= MIN_CONFIDENCE:
-                self.stage, self.since = "QUALIFICATION", at
-                out.append((self.number, "QUALIFICATION", "score"))
-            elif self.stage == "QUALIFICATION" and state in ACTIVATES:
-                self.stage, self.since = "ACTIVE", at
-                out.append((self.number, "ACTIVE", state.lower()))
-        elif state in OPENS:
-            self.number, self.stage, self.since = self.number + 1, "DETECTION", at
-            out.append((self.number, "DETECTION", state.lower()))
-        return out
+    """The state of one entity's open case; step() gives the events of one observation.
+
+    In order: a decision that invalidates, expiry, an end state, then what the stage waits for. An active
+    case whose count of backward transitions rises records a retreat and stays active. Absent evidence
+    (a null score, confidence or count) never advances a case."""
+
+    def __init__(self, number: int = 0, stage: str | None = None, since: pd.Timestamp | None = None, backward: int | None = None):
+        self.number, self.stage, self.since, self.backward = number, stage, since, backward
+
+    def step(self, at: pd.Timestamp, state: str | None, score: float | None, confidence: float | None, decision: str | None = None,
+             backward: int | None = None) -> list[tuple[int, str, str]]:
+        if decision in INVALIDATES:
+            if not self.stage:
+                return []
+            self.stage = None
+            return [(self.number, "CONCLUDED", decision.lower())]
+        if not self.stage:
+            if state not in OPENS:
+                return []
+            self.number, self.stage, self.since, self.backward = self.number + 1, "DETECTION", at, backward
+            return [(self.number, "DETECTION", state.lower())]
+        if (at - self.since).days > (ACTIVE_DAYS if self.stage == "ACTIVE" else DETECTION_DAYS):
+            self.stage = None
+            return [(self.number, "CONCLUDED", "expired")]
+        if state in ENDS:
+            self.stage = None
+            return [(self.number, "CONCLUDED", state.lower())]
+        if self.stage == "DETECTION":
+            if score is None or confidence is None or score < MIN_SCORE or confidence < MIN_CONFIDENCE:
+                return []
+            self.stage, self.since = "QUALIFICATION", at
+            return [(self.number, "QUALIFICATION", "score")]
+        if self.stage == "QUALIFICATION":
+            if state not in ACTIVATES:
+                return []
+            self.stage, self.since, self.backward = "ACTIVE", at, backward
+            return [(self.number, "ACTIVE", state.lower())]
+        before, self.backward = self.backward, backward if backward is not None else self.backward
+        if backward is None or before is None or backward <= before:
+            return []
+        return [(self.number, "ACTIVE", "retreat")]
 
 
 def advance(observations: DataFrame) -> DataFrame:
-    """Case events of rows (entity_id, at, state, score, confidence), each entity in order of time.
+    """Case events of rows (entity_id, at, state, score, confidence, and where there are such columns decision
+    and backward_transitions), each entity in order of time.
 
     Rows are stepped through in sorted batches; only the current entity's state is kept, so no history is held whole."""
 
@@ -67,7 +88,7 @@ def advance(observations: DataFrame) -> DataFrame:
                 entity = nothing(r.entity_id)
                 if entity != now:
                     now, m, last = entity, Machine(), 0
-                for n, s, why in m.step(r.at, nothing(r.state), nothing(r.score), nothing(r.confidence)):
+                for n, s, why in m.step(r.at, *map(nothing, (r.state, r.score, r.confidence, r.decision, r.backward_transitions))):
                     sequence = sequence + 1 if n == last else 0
                     last = n
                     rows.append((entity, n, r.at, s, why, sequence))
@@ -75,11 +96,17 @@ def advance(observations: DataFrame) -> DataFrame:
             yield out.astype({"entity_id": pdf["entity_id"].dtype, "at": pdf["at"].dtype})
 
     kind = dict(observations.dtypes)
-    columns = ["entity_id", "at", "state", "score", "confidence"]
-    return observations.select(*columns).repartition("entity_id").sortWithinPartitions("entity_id", F.col("at").asc_nulls_last(), "state", "score", "confidence").mapInPandas(
+    columns = ["entity_id", "at", "state", "score", "confidence", "decision", "backward_transitions"]
+    return complete(observations).select(*columns).repartition("entity_id").sortWithinPartitions("entity_id", F.col("at").asc_nulls_last(), "state", "score", "confidence", "decision", "backward_transitions").mapInPandas(
         run, f"entity_id {kind['entity_id']}, case_number int, at {kind['at']}, status string, reason string, sequence_number int")
 
 
+def complete(observations: DataFrame) -> DataFrame:
+    """With null columns for what the observations lack."""
+    more = {"decision": "string", "backward_transitions": "int"}
+    return observations.withColumns({k: F.lit(None).cast(t) for k, t in more.items() if k not in observations.columns})
+
+
 def advance_stream(observations: DataFrame, watermark: str = "1 day") -> DataFrame:
     """The same machine on a stream, its state kept per entity."""
     kind = dict(observations.dtypes)
@@ -90,12 +117,12 @@ def advance_stream(observations: DataFrame, watermark: str = "1 day") -> DataFra
             m.since = pd.Timestamp(m.since)
         for pdf in batches:
             rows = []
-            for r in pdf.sort_values("at").itertuples():
+            for r in pdf.sort_values(["at", "state", "score", "confidence"]).itertuples():
                 nothing = lambda x: None if pd.isna(x) else x
-                rows += [(key[0], n, r.at, s, why) for n, s, why in m.step(r.at, nothing(r.state), nothing(r.score), nothing(r.confidence))]
+                rows += [(key[0], n, r.at, s, why) for n, s, why in m.step(r.at, *map(nothing, (r.state, r.score, r.confidence, r.decision, r.backward_transitions)))]
             yield pd.DataFrame(rows, columns=["entity_id", "case_number", "at", "status", "reason"])
-        state.update((m.number, m.stage, None if m.since is None else str(m.since)))
+        state.update((m.number, m.stage, None if m.since is None else str(m.since), m.backward))
 
-    return observations.withWatermark("at", watermark).groupBy("entity_id").applyInPandasWithState(
+    return complete(observations).withWatermark("at", watermark).groupBy("entity_id").applyInPandasWithState(
         run, f"entity_id {kind['entity_id']}, case_number int, at {kind['at']}, status string, reason string",
-        "number int, stage string, since string", "append", "NoTimeout")
+        "number int, stage string, since string, backward int", "append", "NoTimeout")

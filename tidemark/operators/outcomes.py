@@ -1,4 +1,4 @@
-"""Outcomes of cases: excursions inside a horizon, first crossings, status."""
+"""Outcomes of cases: excursions inside a horizon, first crossings, status, why a case failed."""
 
 from __future__ import annotations
 
@@ -6,34 +6,105 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET_ATR, STOP_ATR, HORIZON, MIN_BARS = 1.5, -0.75, 60, 2
+EXPANSION_ATR, BREAKDOWN_ATR, ILLIQUID, CATALYST_DAYS = 0.45, -2.25, 250_000.0, 5
+#: Ends of tracking for reasons outside price.
+INVALIDATIONS = ["invalidated", "gate_invalidated", "lost_eligibility", "ineligible"]
 
 
 def measure(cases: DataFrame, bars: DataFrame, *, horizon: int = HORIZON, target: float = TARGET_ATR, stop: float = STOP_ATR) -> DataFrame:
-    """Per case: entry, bars seen, MFE and MAE with the bars they took, realized return, and the first
-    bar that reached target or stop. The entry bar itself does not count.
+    """Per case: entry, bars seen, MFE and MAE with the bars they took, realized return, also relative to the
+    benchmark (column `market` of bars, if there) and over entry ATR, and the first bars that reached target
+    or stop. The entry bar is the first at or after detection and does not count itself.
 
-    Bars are numbered per entity once; a case then joins its entity's bars from its own number on."""
+    Bars are numbered per entity once. A case gets the number of its entry bar in the same ordered
+    window, and then joins exactly the `horizon` bars after it, by number."""
+    values = ["high", "low", "close", "atr"] + (["market"] if "market" in bars.columns else [])
     order = Window.partitionBy("entity_id").orderBy("event_time")
-    numbered = bars.withColumn("bar", F.row_number().over(order)).select("entity_id", F.col("event_time").alias("t"), "bar", "high", "low", "close", "atr")
-    entry = cases.join(numbered.select("entity_id", "t", F.col("bar").alias("bar0"), F.col("close").alias("entry"), F.col("atr").alias("atr0")), "entity_id").where(
-        F.col("t") >= F.col("detected_at"))
-    first = Window.partitionBy("case_id").orderBy("bar0")
-    entry = entry.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("case_id", "entity_id", "bar0", "entry", "atr0")
-    after = entry.join(numbered, "entity_id").where((F.col("bar") > F.col("bar0")) & (F.col("bar") <= F.col("bar0") + horizon))
+    numbered = bars.withColumn("bar", F.row_number().over(order)).select("entity_id", F.col("event_time").alias("_t"), "bar", *values)
+    b = numbered.select("entity_id", "_t", F.lit(1).alias("_kind"), F.struct("bar", "_t", *values).alias("_bar"))
+    c = cases.select("entity_id", F.col("detected_at").alias("_t"), F.lit(0).alias("_kind"), "case_id")
+    ahead = Window.partitionBy("entity_id").orderBy("_t", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    entry = b.unionByName(c, allowMissingColumns=True).withColumn("_first", F.first("_bar", ignorenulls=True).over(ahead)).where("_kind = 0 and _first is not null")
+    entry = entry.select(
+        "case_id", "entity_id", F.col("_first.bar").alias("bar0"), F.col("_first._t").alias("entry_at"), F.col("_first.close").alias("entry"), F.col("_first.atr").alias("atr0"),
+        *([F.col("_first.market").alias("market0")] if "market" in values else []))
+    steps = entry.withColumn("bar", F.explode(F.sequence(F.col("bar0") + 1, F.col("bar0") + horizon)))
+    after = steps.join(numbered, ["entity_id", "bar"])
     step = F.col("bar") - F.col("bar0")
     up, down = F.col("high") / F.col("entry") - 1, F.col("low") / F.col("entry") - 1
     goal, floor = target * F.col("atr0") / F.col("entry"), stop * F.col("atr0") / F.col("entry")
-    out = after.groupBy("case_id", "entity_id", "entry", "atr0").agg(
+    last = F.max_by("close", "bar") / F.col("entry") - 1
+    keys = ["case_id", "entity_id", "entry_at", "entry", "atr0"] + (["market0"] if "market" in values else [])
+    out = after.groupBy(*keys).agg(
         F.count("*").alias("bars"), F.max(up).alias("mfe"), F.min(down).alias("mae"),
-        F.min_by(step, F.struct(-up, step)).alias("bars_to_mfe"), F.min_by(step, F.struct(down, step)).alias("bars_to_mae"),
-        (F.max_by("close", "bar") / F.col("entry") - 1).alias("realized_return"),
-        F.min(F.when(up >= goal, step)).alias("target_bar"), F.min(F.when(down <= floor, step)).alias("stop_bar"))
-    return out.withColumn("status", status(horizon))
+        F.min_by(step, F.struct(-up, step)).alias("bars_to_mfe"), F.min_by(step, F.struct(down, step)).alias("bars_to_mae"), F.min_by("_t", F.struct(-up, step)).alias("peak_at"),
+        last.alias("realized_return"), F.max("_t").alias("window_end"),
+        F.min(F.when(up >= goal, step)).alias("target_bar"), F.min(F.when(down <= floor, step)).alias("stop_bar"),
+        *([(last - (F.max_by("market", "bar") / F.col("market0") - 1)).alias("relative_return")] if "market" in values else []))
+    atr = F.col("atr0") / F.nullif(F.col("entry"), F.lit(0.0))
+    return out.drop("market0").withColumns({"atr_fraction": atr, "volatility_adjusted": F.col("realized_return") / F.nullif(atr, F.lit(0.0))}).withColumn("status", status())
 
 
-def status(horizon: int = HORIZON) -> Column:
-    """A bar that reaches both counts as stopped."""
+def status(activated: Column | None = None, terminal: Column | None = None) -> Column:
+    """A bar that reaches both counts as stopped. terminal: the event that ended tracking, if known."""
     target, stop = F.col("target_bar"), F.col("stop_bar")
-    return (
-        F.when(F.col("bars") < MIN_BARS, "NO_VALID_OUTCOME").when(stop.isNotNull() & (target.isNull() | (stop <= target)), "FAILED")
-        .when(target.isNotNull(), "SUCCESS").when(F.col("bars") >= horizon, "EXPIRED").otherwise("OPEN"))
+    out = F.when(~F.coalesce(activated if activated is not None else F.lit(True), F.lit(False)) | F.col("bars").isNull() | (F.col("bars") < MIN_BARS), "NO_VALID_OUTCOME")
+    out = out.when(stop.isNotNull() & (target.isNull() | (stop <= target)), "FAILED").when(target.isNotNull(), "SUCCESS")
+    if terminal is not None:
+        out = out.when(terminal.isin(INVALIDATIONS), "INVALIDATED")
+    return out.otherwise("EXPIRED")
+
+
+def within(cases: DataFrame, events: DataFrame, time: str, *, start: str = "entry_at", end: str = "window_end") -> DataFrame:
+    """(case_id, the event's columns) of an entity's events inside each case's window, both ends included."""
+    e = events.select(F.col("entity_id").alias("_e"), *[c for c in events.columns if c != "entity_id"])
+    j = cases.join(e, (F.col("entity_id") == F.col("_e")) & (F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end)))
+    return j.select("case_id", *[c for c in events.columns if c != "entity_id"])
+
+
+def near_peak(cases: DataFrame, events: DataFrame, time: str, *, days: int = CATALYST_DAYS) -> DataFrame:
+    """case_ids with an event of their entity within `days` of the peak excursion."""
+    e = events.select(F.col("entity_id").alias("_e"), F.col(time).alias("_t"))
+    span = F.expr(f"INTERVAL {days} DAYS")
+    return cases.join(e, (F.col("entity_id") == F.col("_e")) & F.col("_t").between(F.col("peak_at") - span, F.col("peak_at") + span), "left_semi").select("case_id")
+
+
+def classify(measured: DataFrame, *, actions: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Adds false_positive (A to G, in order of precedence; null for a success or where no scale is known) and
+    review_confidence. Reads activated and avg_dollar_volume where the table has them."""
+    out = measured
+    has = set(out.columns)
+    activated = F.coalesce(F.col("activated"), F.lit(False)) if "activated" in has else F.lit(True)
+    volume = F.col("avg_dollar_volume") if "avg_dollar_volume" in has else F.lit(None).cast("double")
+
+    def mark(name: str, ids: DataFrame | None) -> Column:
+        nonlocal out
+        if ids is None:
+            return F.lit(False)
+        out = out.join(ids.select("case_id", F.lit(True).alias(name)).distinct(), "case_id", "left")
+        return F.coalesce(F.col(name), F.lit(False))
+
+    acted = mark("_acted", None if actions is None else within(measured, actions, "effective_date"))
+    catalyst = mark("_catalyst", None if events is None else near_peak(measured, events, "scheduled_for"))
+    atr = F.col("atr_fraction")
+    kind = (
+        F.when(F.col("status") == "SUCCESS", F.lit(None)).when(~activated, "A_NO_PATTERN").when(acted, "G_CORPORATE_ACTION_DISTORTION")
+        .when(volume < ILLIQUID, "F_ILLIQUID_DISTORTION").when(catalyst, "E_CATALYST_DRIVEN").when(atr.isNull(), F.lit(None))
+        .when(F.col("realized_return") <= BREAKDOWN_ATR * atr, "D_BREAKDOWN").when(F.col("mfe") >= EXPANSION_ATR * atr, "C_FALSE_BREAKOUT").otherwise("B_PATTERN_NO_EXPANSION")
+    )
+    out = out.withColumn("false_positive", kind)
+    missing = F.col("bars").isNull() | (F.col("bars") < MIN_BARS) | atr.isNull()
+    odd = F.coalesce(F.col("false_positive").substr(1, 1).isin("E", "F", "G"), F.lit(False))
+    review = F.when(missing & activated, "LOW").when(odd, "MEDIUM").when(F.col("status").isin("SUCCESS", "FAILED"), "HIGH").otherwise("MEDIUM")
+    return out.withColumn("review_confidence", review).drop("_acted", "_catalyst")
+
+
+def stage_checklist(events: DataFrame, stages: list[str], *, key: str = "case_id") -> DataFrame:
+    """Per case the first time of each stage and how many retreats were recorded."""
+    return events.groupBy(key).agg(
+        *[F.min(F.when(F.col("status") == s, F.col("at"))).alias(f"{s.lower()}_at") for s in stages], F.count_if(F.col("reason") == "retreat").alias("retreats"))
+
+
+def pending(concluded: DataFrame, outcomes: DataFrame, key: str = "case_id") -> DataFrame:
+    """Concluded cases without an outcome so far."""
+    return concluded.join(outcomes.select(key).distinct(), key, "left_anti")

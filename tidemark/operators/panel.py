@@ -44,6 +44,48 @@ def adjust_splits(bars: DataFrame, actions: DataFrame) -> DataFrame:
     return out.withColumn("close_raw", F.col("close")).withColumns({**prices, **volume}).drop("factor")
 
 
+def history_start(as_of, bars: int, period: str = "day"):
+    """The date from which `bars` bars before `as_of` are surely covered: calendar days at 1.5 per bar and ten more."""
+    from datetime import timedelta
+
+    return as_of - timedelta(days=int(bars * {"day": 1, "week": 5, "month": 21}[period] * 1.5) + 10)
+
+
+def adjust_all(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """Adds *_adjusted: prices times the factors of all splits (1 / ratio) and dividends ((c - amount) / c, c the last
+    close before) that take effect after the bar's day, volume times the ratios; six places.
+
+    actions: entity_id, action_type, effective_date, ratio, amount. An action without a usable ratio, amount or
+    close counts as none. Bars and actions pass two ordered windows of one partitioning; nothing is joined."""
+    b = bars.select("entity_id", F.to_date("event_time").alias("_d"), F.lit(0).alias("_kind"), F.struct(*bars.columns).alias("_bar"), F.col("close").cast("double").alias("_c"))
+    a = actions.select("entity_id", F.to_date("effective_date").alias("_d"), F.lit(1).alias("_kind"), "action_type", F.col("ratio").cast("double").alias("ratio"), F.col("amount").cast("double").alias("amount"))
+    both = b.unionByName(a, allowMissingColumns=True)
+    # an action looks at the closes of days before its own
+    before = Window.partitionBy("entity_id").orderBy(F.col("_d"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, -1)
+    close = F.last("_c", ignorenulls=True).over(before)
+    both = both.withColumn("_p", close)
+    split = (F.col("action_type") == "SPLIT") & (F.col("ratio") > 0)
+    paid = (F.col("action_type") == "DIVIDEND") & (F.col("amount") > 0) & (F.col("_p") > 0) & (F.col("amount") < F.col("_p"))
+    log = F.when(split, -F.log("ratio")).when(paid, F.log((F.col("_p") - F.col("amount")) / F.col("_p"))).otherwise(0.0)
+    both = both.withColumns({"_f": F.coalesce(log, F.lit(0.0)), "_g": F.coalesce(F.when(split, F.log("ratio")), F.lit(0.0))})
+    # a bar takes the factors of later days: from the end, bars of a day before its actions
+    later = Window.partitionBy("entity_id").orderBy(F.desc("_d"), F.asc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({"_pf": F.exp(F.sum("_f").over(later)), "_vf": F.exp(F.sum("_g").over(later))}).where("_kind = 0")
+    prices = [c for c in ("open", "high", "low", "close") if c in bars.columns]
+    return out.select("_bar.*", *[F.round(F.col(f"_bar.{c}").cast("double") * F.col("_pf"), 6).alias(f"{c}_adjusted") for c in prices],
+                      *([F.round(F.col("_bar.volume") * F.col("_vf"), 6).alias("volume_adjusted")] if "volume" in bars.columns else []))
+
+
+def attach_benchmarks(panel: DataFrame, benchmarks: DataFrame, groups: DataFrame, names: tuple[str, ...] = ("sector", "industry")) -> DataFrame:
+    """Adds market, sector and industry: closes of the benchmarks an entity is mapped to, on its own dates; null where
+    it has none. benchmarks: benchmark_id, event_time, close. groups: entity_id and a benchmark_id per name (and market)."""
+    out = panel.join(F.broadcast(groups), "entity_id", "left")
+    for name in ("market", *names):
+        b = benchmarks.select(F.col("benchmark_id").alias("_b"), F.col("event_time").alias("_t"), F.col("close").alias(f"_{name}"))
+        out = out.join(b, (F.col(f"{name}_id") == F.col("_b")) & (F.col("event_time") == F.col("_t")), "left").drop("_b", "_t").withColumnRenamed(f"_{name}", name)
+    return out.drop(*[f"{n}_id" for n in ("market", *names)])
+
+
 def resample(bars: DataFrame, period: str) -> DataFrame:
     """Weekly (ending Friday) or monthly bars; a last period whose label is not reached is dropped."""
     day = F.to_date("event_time")

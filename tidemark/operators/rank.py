@@ -9,22 +9,42 @@ from pyspark.sql import functions as F
 def percent_rank(df: DataFrame, col: str, out: str, *, descending: bool = False, by: list[str] | None = None) -> DataFrame:
     """Percentile rank with average ties over rows with a value; nulls stay null.
 
-    Counts per value are aggregated first, so the ordered window runs over distinct values."""
+    Counts per value are aggregated first. Without `by` the values are ranged over partitions and
+    each range starts at the count of the ranges before it, so no task sees all of them."""
     keys = by or []
     per = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
     order = F.col(col).desc() if descending else F.col(col).asc()
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    ranked = per.withColumn("_before", before).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    ranked = ranked.select(*keys, col, ((F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all")).alias(out))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(order)
+        up_to = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        ranked = per.withColumn("_to", up_to).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    else:
+        ranked = running(per, [order], _to=F.col("_n")).join(F.broadcast(per.agg(F.sum("_n").alias("_all"))))
+    ranked = ranked.select(*keys, col, ((F.col("_to") - F.col("_n") + (F.col("_n") + 1) / 2) / F.col("_all")).alias(out))
     return df.join(ranked, [*keys, col], "left")
 
 
+def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """Adds, by name, sums of the values so far in one global order. Ranges of rows are summed by
+    themselves and start at the sums of the ranges before them, so no task sees all rows.
+
+    The number of ranges is stated, so they are not merged, and the same whenever they are read."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranged.groupBy("_range").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values]).select(
+        "_range", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in values])
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({f"_v_{k}": F.sum(f"_v_{k}").over(w) for k in values}).join(F.broadcast(starts), "_range")
+    return out.withColumns({k: F.col(f"_s_{k}") + F.col(f"_v_{k}") for k in values}).drop("_range", *[f"_{x}_{k}" for k in values for x in "vs"])
+
+
 def top_fraction(df: DataFrame, col: str, fraction: float, tie: str) -> DataFrame:
     """The best max(1, half-even round(n * fraction)) rows; ties by id."""
     ranked = df.where(F.col(col).isNotNull())
-    n = ranked.count()
-    return ranked.orderBy(F.desc(col), tie).limit(max(1, round(n * fraction))) if n else ranked.limit(0)
+    n = F.greatest(F.lit(1), F.bround(F.count("*") * fraction)).alias("_k")
+    at = running(ranked, [F.desc(col), F.asc(tie)], _nth=F.lit(1))
+    return at.join(F.broadcast(ranked.agg(n))).where(F.col("_nth") <= F.col("_k")).drop("_nth", "_k")
 
 
 #: Components of candidate detection and whether small values rank high.

@@ -59,17 +59,21 @@ def mean_available(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts]) / F.nullif(n, F.lit(0))
 
 
+QUALITY_INPUTS = ["peak_to_trough_decline", "downside_momentum_reduction", "volatility_compression", "normalized_range_width", "volume_expansion", "resistance_pressure"]
+
+
 def quality(vectors: DataFrame) -> DataFrame:
-    """Adds quality (mean of the available of four components, null below 60 % of inputs) and advances (quality >= 0.6)."""
+    """Adds quality (mean of those of four components that are known: decline, stabilization, consolidation,
+    awakening), input_coverage, and advances (quality >= 0.6 on 60 % of the inputs or more)."""
     parts = [
-        mean_available([_ramp(-F.col("peak_to_trough_decline"), 0.60), _ramp(-F.col("drawdown_pct"), 0.60)]),
-        mean_available([_ramp(1 - F.col("volatility_compression"), 0.50), _ramp(1 - F.col("volume_contraction"), 0.50)]),
-        mean_available([_ramp(F.col("volatility_reexpansion"), 2.0), _ramp(F.col("volume_expansion"), 2.0)]),
-        mean_available([_ramp(F.col("resistance_pressure"), 1.0), _ramp(F.col("time_in_upper_range"), 1.0)]),
+        _ramp(-F.col("peak_to_trough_decline"), 0.60),
+        _ramp(F.col("downside_momentum_reduction"), 1.0),
+        mean_available([_ramp(1 - F.col("volatility_compression"), 0.50), _ramp(1 - F.col("normalized_range_width"), 1.0)]),
+        mean_available([_ramp(F.col("volume_expansion") - 1, 1.0), _ramp(F.col("resistance_pressure"), 1.0)]),
     ]
-    inputs = ["peak_to_trough_decline", "drawdown_pct", "volatility_compression", "volume_contraction", "volatility_reexpansion", "volume_expansion", "resistance_pressure", "time_in_upper_range"]
-    coverage = sum((F.col(i).isNotNull().cast("double") for i in inputs), F.lit(0.0)) / len(inputs)
-    return vectors.withColumn("quality", F.when(coverage >= MIN_EVIDENCE, mean_available(parts))).withColumn("advances", F.col("quality") >= 0.6)
+    coverage = reduce(lambda a, b: a + b, [F.col(i).isNotNull().cast("double") for i in QUALITY_INPUTS]) / len(QUALITY_INPUTS)
+    out = vectors.withColumn("quality", mean_available(parts)).withColumn("input_coverage", coverage)
+    return out.withColumn("advances", (F.col("quality") >= 0.6) & (F.col("input_coverage") >= MIN_EVIDENCE))
 
 
 def transitions(log: DataFrame, key: str, state: str, order: list[str], time: str) -> DataFrame:
@@ -104,6 +108,53 @@ def risk_flags(df: DataFrame) -> DataFrame:
     })
 
 
+def history_counts(log: DataFrame, key: str = "entity_id", cycle: list[str] = CYCLE) -> DataFrame:
+    """Per key from transitions: how many, how many entries into the first state of the cycle, how many backward moves, the last one."""
+    return log.groupBy(key).agg(
+        F.count("*").alias("transitions"), F.count_if(F.col("to_state") == cycle[0]).alias("cycles"), F.count_if(F.coalesce(is_backward(cycle), F.lit(False))).alias("backward"), F.max("at").alias("last_at"))
+
+
+def watchlists(latest: DataFrame, lists: dict[str, str], state: str = "state") -> DataFrame:
+    """Adds watchlist, the list of each row's state; rows of states without a list go."""
+    pairs = F.create_map(*[F.lit(x) for kv in lists.items() for x in kv])
+    return latest.withColumn("watchlist", F.try_element_at(pairs, F.col(state))).where("watchlist is not null")
+
+
+def marks(log: DataFrame) -> DataFrame:
+    """Chart marks of transitions: at, a label and a direction (up, down, or start for a first state)."""
+    order = F.array(*map(F.lit, CYCLE))
+    step = F.array_position(order, F.col("to_state")) - F.array_position(order, F.col("from_state"))
+    return log.withColumns({
+        "label": F.concat_ws(" > ", "from_state", "to_state"),
+        "direction": F.when(F.col("from_state").isNull(), "start").when(step >= 0, "up").otherwise("down")})
+
+
+def in_session(log: DataFrame, close: Column, time: str = "at") -> DataFrame:
+    """Rows from a session's close up to, without, one day later."""
+    return log.where((F.col(time) >= close) & (F.col(time) < close + F.expr("INTERVAL 1 DAY")))
+
+
+def outstanding(messages: DataFrame, receivers: DataFrame, sent: DataFrame, message: str, receiver: str, *, by: str | None = None) -> DataFrame:
+    """(message, receiver) pairs that are due and not sent: of equal `by`, or of all receivers, who are broadcast then."""
+    m, r = messages.select(message, *([by] if by else [])).distinct(), receivers.select(receiver, *([by] if by else [])).distinct()
+    due = m.join(r, by) if by else m.join(F.broadcast(r))
+    return due.select(message, receiver).distinct().join(sent.select(message, receiver), [message, receiver], "left_anti")
+
+
+def newly_failed(results: DataFrame) -> DataFrame:
+    """Per entity and run the gates that it failed and had not failed in its run before."""
+    runs = results.groupBy("entity_id", "run_at").agg(F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("gate")))).alias("failed"))
+    before = F.lag("failed").over(Window.partitionBy("entity_id").orderBy("run_at"))
+    return runs.withColumn("newly_failed", F.when(before.isNotNull(), F.array_except("failed", before)).otherwise(F.col("failed")))
+
+
+def risk_context(entities: DataFrame, flags: DataFrame, trend: DataFrame, counts: DataFrame) -> DataFrame:
+    """Flags, eligibility trend (NEVER_EVALUATED without results) and backward moves of each entity, and whether any of them invalidates."""
+    out = entities.join(flags, "entity_id", "left").join(trend, "entity_id", "left").join(counts, "entity_id", "left")
+    out = out.withColumns({"trend": F.coalesce("trend", F.lit("NEVER_EVALUATED")), "backward": F.coalesce("backward", F.lit(0))})
+    return out.withColumn("invalidates", (F.col("trend") == "LOST") | (F.col("backward") > 0))
+
+
 def eligibility_trend(results: DataFrame) -> DataFrame:
     """Per entity from gate results per run: NEVER_EVALUATED is left to a left join; PASSING, LOST or NEVER_ELIGIBLE."""
     runs = results.groupBy("entity_id", "run_at").agg(F.bool_and("passed").alias("ok"))

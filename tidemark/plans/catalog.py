@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, windows as w
-from ..operators import asof, evaluation, features, lifecycle, outcomes, panel, quality, rank, scoring, signals, similarity, states
+from ..operators import asof, evaluation, features, lifecycle, panel, quality, rank, scoring, signals, similarity, states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,10 +61,13 @@ bars AS (
 
 
 def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense bars with the market benchmark (mean close of the day)."""
-    b = panel.densify(bars(spark, sf))
-    market = b.groupBy("event_time").agg(F.avg("close").alias("market"))
-    return b.join(market, "event_time").withColumns({"close_raw": F.col("close"), "sector": F.lit(None).cast("double"), "industry": F.lit(None).cast("double")})
+    """Dense bars with benchmarks: mean closes of the day of all entities, and of those of one sector and industry (by id)."""
+    b = panel.densify(bars(spark, sf)).withColumn("close_raw", F.col("close"))
+    ids = {"market": F.lit("market"), "sector": F.concat(F.lit("s"), F.col("entity_id") % 2), "industry": F.concat(F.lit("i"), F.col("entity_id") % 3)}
+    each = b.select("event_time", "close", F.explode(F.array(*ids.values())).alias("benchmark_id"))
+    benchmarks = each.groupBy("benchmark_id", "event_time").agg(F.avg("close").alias("close"))
+    groups = b.select("entity_id").distinct().select("entity_id", *[v.alias(f"{k}_id") for k, v in ids.items()])
+    return panel.attach_benchmarks(b, benchmarks, groups)
 
 
 def r(c, digits: int = 4):
@@ -88,10 +91,8 @@ _TR = f"CASE WHEN high IS NOT NULL AND lag(close) OVER {_H}) IS NOT NULL THEN gr
 SELECT entity_id, event_time, round((close - top) / nullif(top, 0), 4) AS drawdown_pct, round(volume / nullif(vol, 0), 4) AS rvol, round(atr, 4) AS atr
 FROM b WHERE event_time = (SELECT max(event_time) FROM dense)""")
 def p12_last_vectors(spark, sf):
-    b = panel.densify(bars(spark, sf))
-    b = b.withColumns({"_tr": w.true_range(F.col("high"), F.col("low"), F.col("close")), "_top": w.highest(F.col("close"), 252), "_vol": w.mean(F.col("volume"), 20)})
-    b = b.withColumns({"drawdown_pct": w.ratio(F.col("close") - F.col("_top"), F.col("_top")), "rvol": w.ratio(F.col("volume"), F.col("_vol")), "atr": w.mean(F.col("_tr"), 20)})
-    return features.last_vectors(b).select("entity_id", "event_time", r("drawdown_pct"), r("rvol"), r("atr")).toDF("entity_id", "event_time", "drawdown_pct", "rvol", "atr")
+    last = features.last_vectors(features.feature_panel(dense_panel(spark, sf)))
+    return last.select("entity_id", "event_time", *[r(c).alias(c) for c in ("drawdown_pct", "rvol", "atr")])
 
 
 FLAGSHIP = p12_last_vectors
@@ -133,9 +134,71 @@ def w5_w6_extremes(spark, sf):
     return f.select("entity_id", "event_time", "decline_duration_bars", r("peak_to_trough_decline").alias("peak_to_trough_decline"))
 
 
-@query()
+def _lag(x: str, n: int = 1) -> str:
+    return f"lag({x}, {n}) OVER {_H})"
+
+
+def _by(a: str, b: str) -> str:
+    return f"({a}) / nullif({b}, 0)"
+
+
+def _slope(x: str, n: int) -> str:
+    rows = f"OVER {_H} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {rows} = {n} THEN regr_slope({x}, bar) {rows} END"
+
+
+def _flag(x: str) -> str:
+    return f"coalesce({x}, false)::INT::DOUBLE"
+
+
+def _cols(**columns: str) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in columns.items())
+
+
+_ATR_RANK = f"list(atr) OVER {_H} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+_HIGH = f"max(close) OVER {_H} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+#: All features by SQL, in stages, as a window may not hold a window.
+FEATURES_SQL = f"""{BARS}, f0 AS (
+  SELECT *, avg(close) OVER (PARTITION BY event_time) AS market, avg(close) OVER (PARTITION BY event_time, entity_id % 2) AS sector, avg(close) OVER (PARTITION BY event_time, entity_id % 3) AS industry FROM dense
+), f1 AS (SELECT *, {_cols(
+    lr=_LR, tr=_TR, pct=f"{_by('close', _lag('close', 20))} - 1", max_t=_full('close', 252, 'max'), hi=_full('high', 20, 'max'), lo=_full('low', 20, 'min'), vol=_full('volume', 20, 'avg'),
+    vol_s=_full('volume', 10, 'avg'), vol_l=_full('volume', 60, 'avg'), min_v=_full('close', 5, 'min'), low_v=_full('low', 5, 'min'), high_v=_full('high', 5, 'max'), low_s=_full('low', 10, 'min'),
+    rs_m=_by('close', 'market'), rs_s=_by('close', 'sector'), slope=_slope('close', 20), mlr=_LR.replace('close', 'market'), past=_L, mslope=_slope('market', 60), mmax=_full('market', 252, 'max'),
+    mpct=f"{_by('market', _lag('market', 20))} - 1", spct=f"{_by('sector', _lag('sector', 20))} - 1", ipct=f"{_by('industry', _lag('industry', 20))} - 1", top=_HIGH,
+    dv=_full('close * volume', 20, 'avg'), span=_full('high - low', 20, 'avg'))} FROM f0
+), f2 AS (SELECT *, {_cols(
+    sd=_full('lr', 20, 'stddev_samp'), sd_s=_full('lr', 10, 'stddev_samp'), sd_l=_full('lr', 60, 'stddev_samp'), msd=_full('mlr', 20, 'stddev_samp'), atr=_full('tr', 20, 'avg'), tr_s=_full('tr', 10, 'avg'), tr_l=_full('tr', 60, 'avg'),
+    rvol=_by('volume', 'vol'), below=_flag(f"close < {_lag('min_v')}"), hh=_flag(f"high > {_lag('high_v')}"), hl=_flag(f"low > {_lag('low_v')}"), res=_lag('hi'), sup=_lag('lo'),
+    p="list_position(past, list_max(past))", upper=_flag("close >= hi - 0.25 * (hi - lo)"), srm=_slope('rs_m', 20), srs=_slope('rs_s', 20), slv=_slope('low_v', 20))} FROM f1
+), f3 AS (SELECT *, {_cols(
+    lower_low_frequency=_full('below', 20, 'avg'), near_lo=_flag(f"{_by('abs(low - lo)', 'atr')} <= 0.25"), near_hi=_flag(f"{_by('abs(high - hi)', 'atr')} <= 0.25"), breakdown=_flag("low < sup AND close > sup"),
+    breakout=_flag("high > res AND close < res"), above=_flag("close > res"), ranks=_ATR_RANK)} FROM f2
+), feat AS (SELECT entity_id, event_time, {_cols(
+    peak_to_trough_decline=_by("coalesce(list_min(past[p + 1:]), list_max(past)) - max_t", "max_t"), decline_duration_bars="(252 - p)::DOUBLE",
+    drawdown_pct=_by("close - max_t", "max_t"), momentum_deterioration=f"pct - {_lag('pct', 20)}", rs_deterioration_vs_market=f"{_by('rs_m', _lag('rs_m', 252))} - 1", rs_deterioration_vs_sector=f"{_by('rs_s', _lag('rs_s', 252))} - 1",
+    distance_from_historical_high=_by("close - top", "top"), lower_low_frequency="lower_low_frequency", downside_momentum_reduction=f"{_lag('lower_low_frequency', 20)} - lower_low_frequency",
+    volatility_contraction_onset=_by("sd", _lag("sd", 20)), normalized_range_width=_by("hi - lo", "close"), atr="atr",
+    atr_percentile="CASE WHEN bar >= 252 THEN CASE WHEN atr IS NULL THEN 0 ELSE len(list_filter(ranks, lambda x: x <= atr)) / 252.0 END END", realized_volatility="sd * sqrt(252.0)", volatility_compression=_by("sd", _lag("sd", 20)),
+    volume_contraction=_by("vol", _lag("vol", 20)), rvol="rvol", support_test_count=f"CASE WHEN atr IS NOT NULL THEN {_full('near_lo', 20, 'sum')} END", resistance_test_count=f"CASE WHEN atr IS NOT NULL THEN {_full('near_hi', 20, 'sum')} END",
+    failed_breakdown_count=_full("breakdown", 20, "sum"), failed_breakout_count=_full("breakout", 20, "sum"), higher_low_development=_by("slv", "close"), structure_transition=_by("slope", "atr"),
+    volatility_reexpansion=_by("sd_s", "sd_l"), volume_expansion=_by("vol_s", "vol_l"), rvol_increase=f"rvol - {_lag('rvol', 10)}", range_expansion=_by("tr_s", "tr_l"), resistance_pressure=_by("close - lo", "hi - lo"),
+    higher_high_frequency=_full("hh", 20, "avg"), higher_low_frequency=_full("hl", 20, "avg"), momentum_improvement=f"pct - {_lag('pct', 20)}", rs_improvement_vs_market=_by("srm", "rs_m"), rs_improvement_vs_sector=_by("srs", "rs_s"),
+    time_in_upper_range=_full("upper", 20, "avg"), resistance_breakout_pct=_by("close - res", "res"), breakout_volume_ratio=_by("volume", "vol"), acceptance_followthrough=_full("above", 10, "avg"), retest_and_hold=_by("low_s - res", "res"),
+    higher_high_magnitude=_by(f"hi - {_lag('hi', 20)}", _lag("hi", 20)), rs_alignment_market=f"{_by('slope', 'close')} * {_by('srm', 'rs_m')}", rs_alignment_sector=f"{_by('slope', 'close')} * {_by('srs', 'rs_s')}",
+    rs_vs_market="pct - mpct", rs_vs_sector="pct - spct", rs_vs_industry="pct - ipct", market_regime_trend=_by("mslope", "market"), market_regime_volatility="msd * sqrt(252.0)", market_regime_drawdown=_by("market - mmax", "mmax"),
+    avg_dollar_volume="dv", spread_proxy=_by("span", "close"))} FROM f3)"""
+
+
+def _half_up(x: str) -> str:
+    return f"round(({x}) + 1e-9, 4) + 0.0"  # so that no exact half meets the rounding
+
+
+_SPEED = "peak_to_trough_decline / nullif(decline_duration_bars, 0)"
+
+
+@query(f"WITH {FEATURES_SQL} SELECT entity_id, event_time, {_half_up(_SPEED)} AS decline_speed, {', '.join(f'{_half_up(x)} AS {x}' for x in features.FEATURES if x != 'decline_speed')} FROM feat")
 def w12_feature_panel(spark, sf):
-    return features.feature_panel(dense_panel(spark, sf))
+    return features.feature_panel(dense_panel(spark, sf)).select("entity_id", "event_time", *[r(F.col(x) + 1e-9).alias(x) for x in features.FEATURES])
 
 
 @query(f"""WITH {BARS}, k AS (SELECT *, event_time::DATE AS d FROM bars WHERE close IS NOT NULL), m AS (
@@ -146,19 +209,81 @@ def p5_resample_month(spark, sf):
     return panel.resample(bars(spark, sf), "month")
 
 
-@query()
+_TESTS = {
+    "DISTRIBUTION": "momentum_improvement < 0 AND drawdown_pct BETWEEN -0.15 AND 0 AND higher_high_frequency < 0.40", "UPTREND": "resistance_breakout_pct > 0 AND acceptance_followthrough >= 0.40",
+    "BREAKOUT_READY": "resistance_pressure >= 0.85 AND time_in_upper_range >= 0.50 AND resistance_breakout_pct <= 0", "BREAKOUT_WATCH": "volatility_reexpansion >= 1.10 AND volume_expansion >= 1.15 AND resistance_pressure >= 0.60",
+    "ACCUMULATION": "volatility_compression <= 1.05 AND atr_percentile <= 0.40 AND normalized_range_width <= 0.25 AND higher_low_development > 0 AND support_test_count >= 2",
+    "CONSOLIDATION": "volatility_compression <= 1.05 AND atr_percentile <= 0.40 AND normalized_range_width <= 0.25", "BASE_FORMING": "downside_momentum_reduction > 0 AND volatility_contraction_onset < 1.0",
+    "DOWN_TREND": "structure_transition < 0 AND lower_low_frequency >= 0.20"}
+_KNOWN = {name: f"({' + '.join(f'({i} IS NOT NULL)::INT' for i in inputs)}) >= {0.6 * len(inputs)}" for name, inputs in states.STATES}
+_STATE = f"CASE {' '.join(f'WHEN {_KNOWN[n]} AND {_TESTS[n]} THEN {chr(39)}{n}{chr(39)}' for n, _ in states.STATES)} END"
+
+
+@query(f"WITH {FEATURES_SQL}, s AS (SELECT *, {_STATE} AS state FROM feat) SELECT entity_id, event_time, state, CASE WHEN state IS NULL THEN CASE WHEN {' OR '.join(_KNOWN.values())} THEN 'no_predicate' ELSE 'thin_evidence' END END AS unmatched FROM s")
 def c1_states(spark, sf):
     f = features.feature_panel(dense_panel(spark, sf))
     return states.classify(f).select("entity_id", "event_time", "state", "unmatched")
 
 
-@query()
+_SAT = lambda x, full: f"(least(1.0, greatest(0.0, ({x}) / {full})) + 0 * ({x}))"  # noqa: E731  null stays null
+
+
+def _mean(*parts: str) -> str:
+    return f"(SELECT avg(x) FROM (VALUES {', '.join(f'({p})' for p in parts)}) v(x))"
+
+
+_QUALITY = _mean(
+    _SAT("-peak_to_trough_decline", 0.6), _SAT("downside_momentum_reduction", 1.0), _mean(_SAT("1 - volatility_compression", 0.5), _SAT("1 - normalized_range_width", 1.0)),
+    _mean(_SAT("volume_expansion - 1", 1.0), _SAT("resistance_pressure", 1.0)))
+
+
+@query(f"WITH {FEATURES_SQL}, q AS (SELECT *, {_QUALITY} AS quality, ({' + '.join(f'({i} IS NOT NULL)::INT' for i in states.QUALITY_INPUTS)}) / 6.0 AS c FROM feat) SELECT entity_id, event_time, round(quality, 4) + 0.0 AS quality, quality >= 0.6 AND c >= 0.6 AS advances FROM q")
+def c10_quality(spark, sf):
+    f = states.quality(features.feature_panel(dense_panel(spark, sf)))
+    return f.select("entity_id", "event_time", r("quality").alias("quality"), "advances")
+
+
+def _ramp(name: str, x: str) -> str:
+    low, high, log = scoring.RAMPS[name]
+    if log:
+        x, low, high = f"CASE WHEN {x} > 0 THEN log10({x}) END", f"log10({low}::DOUBLE)", f"log10({high}::DOUBLE)"
+    return f"(100 * least(1.0, greatest(0.0, (({x}) - {low}) / ({high} - {low}))) + 0 * ({x}))"
+
+
+_N = 20.0
+_WIDE = f"{evaluation.Z95} / (1 + {evaluation.Z95 ** 2} / n) * sqrt(p * (1 - p) / n + {evaluation.Z95 ** 2} / (4 * n * n))"
+_MID = f"(p + {evaluation.Z95 ** 2} / (2 * n)) / (1 + {evaluation.Z95 ** 2} / n)"
+_PARTS = {
+    "pattern_quality": _ramp("pattern_quality", "quality"), "historical_evidence": _ramp("historical_failure", "up"),
+    "market_regime": _mean(_ramp("regime_trend", "market_regime_trend"), _ramp("regime_volatility", "market_regime_volatility"), _ramp("regime_drawdown", "market_regime_drawdown")),
+    "volume_liquidity": _mean(_ramp("dollar_volume", "avg_dollar_volume"), _ramp("spread_proxy", "spread_proxy")),
+    "volatility_structure": _mean(_ramp("volatility_compression", "volatility_compression"), _ramp("atr_percentile", "atr_percentile"), _ramp("range_width", "normalized_range_width")),
+    "risk_reward": "100 - risk_level"}
+_RISK = f"""({_ramp("risk_liquidity", "1 - least(1.0, greatest(0.0, avg_dollar_volume) / 1e6)")} + {_ramp("risk_volatility_expansion", "volatility_reexpansion")} + {_ramp("risk_event_proximity", "30.0")}) / 3"""
+_SHARE = {k: v for k, v in scoring.SHARES.items() if k in _PARTS}
+_HAVE = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {v} END" for k, v in _SHARE.items())
+_SUM = " + ".join(f"coalesce({k} * {v}, 0)" for k, v in _SHARE.items())
+
+
+@query(f"""WITH {FEATURES_SQL}, cases AS (SELECT n_regionkey AS entity_id, count(*) FILTER (o_orderkey % 7 IN (0, 1, 4, 5))::DOUBLE AS n, count(*) FILTER (o_orderkey % 7 IN (1, 5)) AS failures, count(*) AS sample, avg((o_orderkey % 97) / 97.0) AS mfe
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+q AS (SELECT *, {_QUALITY} AS quality FROM feat WHERE event_time = (SELECT max(event_time) FROM dense)), w AS (SELECT q.*, n, mfe, sample, failures / n AS p FROM q JOIN cases USING (entity_id)),
+v AS (SELECT *, least(1.0, {_MID} + {_WIDE}) AS up, greatest(0.0, {_MID} - {_WIDE}) AS down, {_RISK} AS risk_level FROM w), a AS (SELECT *, {_cols(**_PARTS)} FROM v),
+k AS (SELECT *, ({_HAVE}) / 0.9 AS weight_coverage, ({_SUM}) / nullif({_HAVE}, 0) AS composite_score, {_ramp('opportunity_mfe', 'mfe')} AS opportunity FROM a)
+SELECT entity_id, event_time, round(composite_score, 4) AS composite_score, round(risk_level, 4) AS risk_level, round(opportunity, 4) AS opportunity, round(weight_coverage, 4) AS weight_coverage,
+  round(0.30 * {_ramp('sample_size', 'sample')} + 0.20 * {_ramp('interval_width', 'up - down')} + 0.20 * 90 + 0.15 * {_ramp('weight_coverage', 'weight_coverage')} + 0.15 * {_ramp('event_clarity', '30.0')}, 4) AS confidence,
+  CASE WHEN risk_level IS NULL THEN 'risk_undetermined' WHEN weight_coverage < 0.85 THEN 'thin_evidence' WHEN opportunity IS NULL THEN 'no_opportunity' ELSE 'scored' END AS decision FROM k""")
 def e13_scores(spark, sf):
-    f = states.quality(features.last_vectors(features.feature_panel(dense_panel(spark, sf))))
-    more = {
-        "failures": F.lit(3), "resolved": F.lit(20), "sample_size": F.lit(20), "mean_mfe": F.lit(0.2), "features_known": F.lit(0.9),
-        "eligible": F.lit(True), "lost": F.lit(False), "days_to_event": F.lit(30), "events_covered": F.lit(True)}
-    return scoring.score(f.withColumns(more)).select("entity_id", "event_time", "composite_score", "confidence", "opportunity", "risk_level", "weight_coverage", "decision")
+    """Scores at the last date; failures, sample and mean excursion are those of the region's evaluated orders."""
+    from ..operators import evidence
+    from .catalog_reports import cases
+
+    region = t(spark, sf, "customer").join(F.broadcast(t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("entity_id"), F.col("n_regionkey").alias("region"))
+    seen = evidence.summarize(cases(spark, sf).join(region, "entity_id"), ["region"]).select(F.col("region").alias("entity_id"), "sample_size", "resolved", "failures", "mean_mfe")
+    f = states.quality(features.last_vectors(features.feature_panel(dense_panel(spark, sf)))).join(seen, "entity_id")
+    more = {"features_known": F.lit(0.9), "eligible": F.lit(True), "lost": F.lit(False), "days_to_event": F.lit(30), "events_covered": F.lit(True)}
+    out = scoring.score(f.withColumns(more))
+    return out.select("entity_id", "event_time", *[r(x).alias(x) for x in ("composite_score", "confidence", "opportunity", "risk_level", "weight_coverage")], "decision")
 
 
 _AS_OF = dt.datetime(1998, 1, 1)
@@ -324,7 +449,7 @@ def e7_radius_search(spark, sf):
     e = e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(names)])
     q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     m = similarity.radius_search(q, e.withColumnRenamed("vec_id", "case_id"), names)
-    return m.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
+    return m.groupBy("query_id").agg(F.count("*").alias("n"), r(F.min("distance"), 6).alias("nearest"))
 
 
 @query()
@@ -336,14 +461,6 @@ def e24_lifecycle(spark, sf):
     return lifecycle.advance(o)
 
 
-@query()
-def e27_outcomes(spark, sf):
-    f = features.feature_panel(dense_panel(spark, sf)).select("entity_id", "event_time", "atr")
-    b = panel.densify(bars(spark, sf)).join(f, ["entity_id", "event_time"]).where("close is not null and atr is not null")
-    cases = b.where("day(event_time) = 1").select(F.concat_ws("-", "entity_id", F.date_format("event_time", "yyyyMMdd")).alias("case_id"), "entity_id", F.col("event_time").alias("detected_at"))
-    return outcomes.measure(cases, b)
-
-
 @query(f"""WITH {BARS}, a AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY event_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bars)
 SELECT entity_id, event_time, coalesce(abs(close / before - 1) > 0.5, false) AS jump FROM a""")
 def q1_validate_bars(spark, sf):
@@ -363,9 +480,10 @@ def q2_gaps(spark, sf):
     return quality.gaps(t(spark, sf, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("d")), "o_orderpriority", "d", days)
 
 
-@query("""SELECT event_type, max(ts) AS latest, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT event_type, max(ts) AS latest, count(*) AS n, CASE WHEN epoch(TIMESTAMP '2024-02-02') - epoch(max(ts)) <= 26 * 3600 THEN 'FRESH' WHEN epoch(TIMESTAMP '2024-02-02') - epoch(max(ts)) <= 80 * 3600 THEN 'DELAYED' ELSE 'STALE' END AS status
+FROM events GROUP BY 1""")
 def q5_freshness(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.max("ts").alias("latest"), F.count("*").alias("n"))
+    return quality.freshness(t(spark, sf, "events"), "ts", "2024-02-02", ["event_type"])
 
 
 @query("""SELECT (SELECT count(*) FROM customer) AS members, count(DISTINCT c_custkey) AS delivered, round(count(DISTINCT c_custkey) / (SELECT count(*) FROM customer), 6) AS share,
@@ -377,8 +495,11 @@ def q10_coverage(spark, sf):
 
 
 def queries():
+    from . import catalog_records, catalog_reports  # noqa: F401  they add theirs
+
     return QUERIES
 
 
 def oracle_sql():
+    queries()
     return ORACLES
