@@ -184,6 +184,54 @@ def test_licenses(docs, empty):
     assert license_scan.scan(docs).count() == len(TEXTS) and license_scan.scan(empty).count() == 0
 
 
+def test_license_labels_survive_inserted_and_lost_words(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows, want = [], []
+    for n in range(8):
+        for label, text, keys in license_scan.TEMPLATES:
+            w = text.split()
+            kept = {i for k in keys for i in range(len(w) - len(k.split()) + 1) if w[i : i + len(k.split())] == k.split() for i in range(i, i + len(k.split()))}
+            free = [i for i in range(len(w)) if i not in kept]
+            gaps = [i for i in range(1, len(w)) if not (i in kept and i - 1 in kept)] or [len(w)]
+            change = rnd.choice(["insert", "lose", "none"]) if len(w) > 8 else "none"
+            if change == "insert":
+                for i in sorted(rnd.sample(gaps, min(2, len(gaps))), reverse=True):
+                    w.insert(i, "indeed")
+            elif change == "lose" and free:
+                del w[rnd.choice(free)]
+            rows.append((len(rows), " ".join([f"x{rnd.randrange(999)}" for _ in range(rnd.randrange(60))] + w + [f"y{rnd.randrange(999)}" for _ in range(rnd.randrange(60))])))
+            want.append(label)
+    plain = [(1000 + i, " ".join(rnd.choice("the work is free to use and modify under terms of a license version 2 public domain software".split()) for _ in range(120))) for i in range(60)]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame(rows + plain, "doc_id long, text string")).collect()}
+    assert sum(want[i] in got[i] for i in range(len(rows))) >= 0.9 * len(rows)
+    assert sum(got[i] != [""] for i, _ in plain) <= 1
+
+
+def test_license_base_is_brute_force_on_all_texts(spark):
+    import os
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    d = spark.read.parquet(path)
+
+    def want(t):
+        w = ALNUM.findall(low(t))
+        at = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in license_scan.PHRASES}
+        every = [i for v in at.values() for i in v]
+        return len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted({license_scan.PHRASES[p] for p, v in at.items() if v}))
+
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    rows = d.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and sum(r.n_base for r in got.values()) > 0
+    for r in rows:
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == want(r.text)
+        assert set(filter(None, g.base_labels.split(","))) <= set(g.labels.split(","))
+
+
 def test_secrets(docs, empty):
     forest = secret_scan.labelled_findings(docs.sparkSession)
     found = secret_scan.scan(docs, forest).collect()

@@ -3,8 +3,9 @@
 Base labels are phrases that stand consecutively. The method: every template is indexed by
 the words of its mandatory phrases with the highest inverse document frequency (counted over
 all documents) and their positions; words of a file are looked up there, matches of one template are intersected by
-relative position, and where enough agree the words around are compared with the whole
-template and its mandatory key phrases are verified.
+relative position, and where enough agree within a few words of each other (words may be
+inserted or lost between them) the words around are compared with the whole template and its
+mandatory key phrases are verified. A notice that lost or gained words may give spans that overlap.
 
 Defined results: a null or empty text has no words, no places and no labels; repeated rows
 each get their result; ties of inverse document frequency go to the earlier position; an
@@ -45,8 +46,10 @@ TEMPLATES = [
 INDEXED, AGREE, SHARE = 4, 2, 0.7
 #: How much more frequent than a template's rarest index word another may be.
 SPREAD = 10
-#: Words on either side of a match within which key phrases may stand.
-SLACK = 4
+#: Words on either side of a match within which its words and key phrases may stand.
+SLACK = 8
+#: Offsets of one template that count as one place: groups of so many, and again of so many half way between.
+DRIFT = 8
 
 
 def norm_words(text: Column) -> Column:
@@ -109,7 +112,7 @@ def scan(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
     hit = each.join(F.broadcast(known), F.col("c.x") == F.col("v"), "left")
     first = F.col("c.p") == -1
     start = F.col("c.p") - F.col("i")  # where the template would begin
-    inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
+    inside = (start >= -SLACK) & (start + F.col("len") <= F.size("w") + SLACK)
     hit = hit.where(first | inside)
     found = {p: places(F.col("w"), p) for p in PHRASES}
     everywhere = F.concat(*found.values())
@@ -117,24 +120,24 @@ def scan(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
     from_ = F.greatest(F.lit(0), start - SLACK)
     hit = hit.select(
         "d1", "d2", "t", "i", "template", "keys", "label", "need",
-        F.when(~first, start).alias("start"),
-        F.when(~first, F.slice("w", start + 1, F.col("len"))).alias("own"),
-        F.when(~first, F.concat(F.lit(" "), F.array_join(F.slice("w", from_ + 1, start + F.col("len") + SLACK - from_), " "), F.lit(" "))).alias("around"),
+        F.when(~first, start).alias("start"), F.when(~first, F.slice("w", from_ + 1, start + F.col("len") + SLACK - from_)).alias("around"),
         F.when(first, F.struct(
             F.col("row"), F.size("w").cast("bigint").alias("n_words"), F.size(everywhere).cast("bigint").alias("n_base"),
             F.array_min(everywhere).cast("bigint").alias("first_word"), F.array_max(everywhere).cast("bigint").alias("last_word"),
             names.alias("base"))).alias("doc"))
-    # intersection of a template's postings by relative position
-    votes = hit.groupBy("d1", "d2", "t", "start").agg(
-        F.size(F.collect_set("i")).alias("votes"), F.first("own").alias("own"), F.first("around").alias("around"),
+    # intersection of a template's postings by relative position, in two overlapping groupings of offsets
+    group = lambda shift: F.floor((F.col("start") + shift) / DRIFT)
+    groups = F.when(F.col("start").isNotNull(), F.array(F.struct(F.lit(0).alias("h"), group(0).alias("g")), F.struct(F.lit(1).alias("h"), group(DRIFT // 2).alias("g"))))
+    votes = hit.withColumn("at", F.explode_outer(groups)).groupBy("d1", "d2", "t", "at").agg(
+        F.size(F.collect_set("i")).alias("votes"), F.min_by("around", "start").alias("around"), F.min("start").alias("start"),
         F.first("doc").alias("doc"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("template", "keys", "label", "need")])
-    same = F.aggregate(F.zip_with("own", "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-    share = same / F.size("template").cast("double")
-    phrases = F.forall("keys", lambda k: F.contains(F.col("around"), F.concat(F.lit(" "), k, F.lit(" "))))
+    share = F.size(F.array_intersect("around", "template")) / F.size(F.array_distinct("template")).cast("double")
+    joined = F.concat(F.lit(" "), F.array_join("around", " "), F.lit(" "))
+    phrases = let(joined, lambda text: F.forall("keys", lambda k: F.contains(text, F.concat(F.lit(" "), k, F.lit(" ")))))
     match = (F.col("votes") >= F.col("need")) & phrases & (share >= SHARE)
     one = votes.where(F.col("t").isNull() | match).select(
         "d1", "d2", "doc", "n",
-        F.when(F.col("t").isNotNull(), F.struct(F.col("start").alias("first"), (F.col("start") + F.size("template")).alias("end"), F.col("label"))).alias("span"),
+        F.when(F.col("t").isNotNull(), F.struct(F.greatest(F.col("start"), F.lit(0)).alias("first"), (F.col("start") + F.size("template")).alias("end"), F.col("label"))).alias("span"),
         F.when(F.col("t").isNotNull(), share).alias("share"))
     out = one.groupBy("d1", "d2").agg(
         F.first("doc", ignorenulls=True).alias("doc"), F.max(F.when(F.col("span").isNull(), F.col("n"))).cast("int").alias("copies"),
