@@ -32,13 +32,27 @@ def test_kernel_is_the_sum_over_common_subsequences():
             assert abs(string_kernel.kernel(x[i : i + 1], z)[0] - slow_kernel(s, t)) < 1e-4
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.01", "0.1")), reason="no test tables here")
 def test_toxicity_held_out(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = toxicity.score(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    """Balanced, as a predictor of one label has 0.5."""
+    sf = SF.replace("0.01", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), labels)
     rows = got.join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
-    right = sum(r.predicted == r.toxic for r in rows) / len(rows)
-    assert right >= 0.85
+    caught = [r.predicted for r in rows if r.toxic]
+    clean = [1 - r.predicted for r in rows if not r.toxic]
+    assert len(caught) > 50 and sum(caught) >= 0.75 * len(caught) and sum(clean) >= 0.95 * len(clean)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_toxicity_of_odd_texts(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = [(10**9, None), (10**9 + 1, ""), (10**9 + 2, "\n\t "), (10**9 + 3, "the calm river " * 20_000), (10**9 + 4, "the calm river"), (10**9 + 4, "the calm river"), (None, "the calm river"), (10**9 + 5, "x" * 100_000)]
+    got = toxicity.score(docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string")), labels).where("doc_id is null or doc_id >= 1000000000").collect()
+    assert len(got) == len(odd) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert len({r.score for r in got if r.doc_id in (10**9 + 4, None)}) == 1  # the same text, the same score
+    assert toxicity.score(docs.where("false"), labels).count() == 0
 
 
 def test_model_is_a_distribution_and_learns():
