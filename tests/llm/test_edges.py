@@ -292,6 +292,21 @@ def test_warc(spark):
     assert warc_store.archive(pages.where("false")).count() == 0
 
 
+def test_decontamination_of_a_benchmark_in_parts(docs, spark):
+    bench = spark.createDataFrame([(i, PASSAGE) for i in (1, 10)] + [(2, "one TWO"), (3, NEAR)], "item_id bigint, text string")
+    whole, parts = (decontamination.hits(docs, bench, **o).select("row.doc_id", "n_words", "spans", "items") for o in ({}, {"most": 7}))
+    assert by_row(parts) == by_row(whole) and whole.where("size(items) > 0").count() > 3
+
+
+def test_columns_of_any_name_survive(docs, spark):
+    odd = docs.select("doc_id", "text", "source", F.lit(1).alias("a.b"), F.lit(2).alias("copy"), F.lit(3).alias("row"), F.lit(4).alias("_row"))
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    for out in (quality_rules.keep_good(odd, None), decontamination.clean(odd, bench), ngram_join.keep_one(odd), secret_scan.redact(odd)):
+        assert out.columns == odd.columns and {(r[3], r[4], r[5], r[6]) for r in out.collect()} == {(1, 2, 3, 4)}
+    out = source_mix.emit(odd)
+    assert out.columns == [*odd.columns, "copy_"] and out.count() > 0
+
+
 def test_benchmark_item_without_id_is_hit(spark):
     text = "one two three four five six seven eight nine ten eleven"
     d = spark.createDataFrame([(1, "so " + text)], "doc_id long, text string")

@@ -54,13 +54,15 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see. Where that
-    is unset (tests, a single machine) a temporary folder takes its place."""
+    """A new folder below spark.checkpoint.dir, which all executors see. Where that is unset
+    a temporary folder takes its place on a single machine; a cluster refuses to go on."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             base = kept.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(base)
@@ -101,6 +103,11 @@ def threshold(df: DataFrame, count: str, most: int) -> int:
     return least if least is not None else 1 << 62
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or a variant that no column of df has."""
     have = {c.lower() for c in df.columns}

@@ -8,16 +8,18 @@ window. Defined results: a null or empty text has no words, no hits and is clean
 or empty text of an item has no windows; an item with a null id counts for hits and spans, not for items; repeated rows each get their result; an empty benchmark
 leaves every document clean. Extra columns do no harm.
 
-The benchmark is broadcast only while its windows are below `MAX_BROADCAST` rows; beyond
-that the same join runs by shuffle.
+The benchmark is broadcast, `MAX_BROADCAST` windows at a time: a larger one is dealt by hash into
+parts that each pass over the documents once, with the same plan and result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, let, text_of, words
+from .common import ALNUM_WORD, ascii_lower, columns, let, store, text_of, words
 
 SIZE = 10
 #: Benchmark windows (a hash, a short string and item numbers each, some 200 bytes) that may be broadcast.
@@ -53,7 +55,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[str] | None = None) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[str] | None = None, most: int = MAX_BROADCAST) -> DataFrame:
     """Per document row: row (a struct of the columns in `keep`), n_words, spans (sorted (p, k) of hit windows) and items.
 
     Windows are generated, probed and dropped inside one pass; only one row per document
@@ -61,10 +63,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[
     result does not depend on row order; equal rows are counted and given back as often.
     """
     keep = keep or ["doc_id"]
-    bench = benchmark_windows(benchmark, size).persist()
+    bench = store(benchmark_windows(benchmark, size))
     sizes = [(r["k"], r["n"]) for r in bench.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()]
-    small = sum(n for _, n in sizes) <= MAX_BROADCAST
-    row, text = F.struct(*[F.col(c) for c in keep]), text_of()
+    parts = max(1, -(-sum(n for _, n in sizes) // most))
+    row, text = F.struct(*[c for c, name in zip(columns(docs), docs.columns) if name in keep]), text_of()
     base = docs.select(
         row.alias("row"),
         F.xxhash64(row, text).alias("d1"),
@@ -82,15 +84,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[
         & (F.col("c.k") == F.col("bk"))
         & (F.array_join(F.slice("w", F.greatest(F.col("c.p"), F.lit(0)) + 1, F.col("c.k")), " ") == F.col("window"))
     )
-    found = each.join(F.broadcast(b) if small else b, same, "left")
     first = F.col("c.p") == -1  # the one cell that stands for the document itself
-    found = found.where(F.col("items").isNotNull() | first).select(
-        "d1", "d2",
-        F.when(first, F.col("row")).alias("row"),
-        F.when(first, F.size("w")).cast("bigint").alias("n_words"),
-        F.when(~first, F.struct(F.col("c.p").alias("p"), F.col("c.k").alias("k"))).alias("span"),
-        "items",
-    )
+
+    def probed(i: int) -> DataFrame:
+        """Hits of one part of the windows; the documents' own cells come with the first."""
+        own = b if parts == 1 else b.where(F.pmod("bh", F.lit(parts)) == i)
+        return each.join(F.broadcast(own), same, "left").where(F.col("items").isNotNull() | (first if i == 0 else F.lit(False))).select(
+            "d1", "d2",
+            F.when(first, F.col("row")).alias("row"),
+            F.when(first, F.size("w")).cast("bigint").alias("n_words"),
+            F.when(~first, F.struct(F.col("c.p").alias("p"), F.col("c.k").alias("k"))).alias("span"),
+            "items",
+        )
+
+    found = reduce(DataFrame.unionByName, map(probed, range(parts)))
     out = found.groupBy("d1", "d2").agg(
         F.first("row", ignorenulls=True).alias("row"),
         F.max("n_words").alias("n_words"),

@@ -340,7 +340,7 @@ def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     group = store(marked.select(F.col("doc_id").alias("r"), "component_id").join(key, "r"))
     first = group.groupBy("component_id").agg(F.min("k").alias("k")).select(F.col("k.r").alias("r"))
     gone = group.select("r").join(first, "r", "left_anti").select(F.col("r").alias(number))
-    return rows.join(store(gone), number, "left_anti").select(*docs.columns)
+    return rows.join(store(gone), number, "left_anti").drop(number)
 
 
 ORACLE = """

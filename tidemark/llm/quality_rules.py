@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import decision_list
-from .common import free_name, let, text_of, windows, words
+from .common import columns, free_name, let, text_of, windows, words
 
 FEATURES = [
     "f_words", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_digits", "f_marks", "f_distinct",
@@ -124,6 +124,6 @@ def quality(docs: DataFrame, labels: DataFrame | None, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame | None, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    row = F.struct(*columns(docs)).alias("row")
     judged = judge(docs.select("doc_id", "text", row), learn_rules(docs, labels, **options))
     return judged.where(F.col("kept") & (F.col("_once") >= 0)).select(*[F.col("row")[c].alias(c) for c in docs.columns])

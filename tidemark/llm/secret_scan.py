@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import columns, text_of
 
 #: Characters on either side that are looked at.
 BEFORE, AFTER = 32, 12
@@ -209,7 +209,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The documents, with secrets replaced by a mark and n_chars brought into line."""
     forest = train_forest(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    row = F.struct(*columns(docs)).alias("row")
     out = findings(docs.select("text", row), forest)
     clean = F.concat(
         F.array_join(F.transform("found", lambda x, i: F.concat(F.get("parts", i), F.when(x["score"] >= 0.5, F.lit(REDACTED)).otherwise(x["value"]))), ""),

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, store, text_of, words
+from .common import SPACE_WORD, columns, free_name, store, text_of, words
 
 WEIGHTS = (3, 1, 2)
 BUCKETS = 64
@@ -109,18 +109,20 @@ def mix(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
 
 
 def emit(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document once per copy, with its columns and copy (from 1).
+    """The mix itself: each document once per copy, with its columns and copy (from 1; another
+    free name where the documents have such a column).
 
     Copies per row are found from ids, sources and sizes alone; equal triples may swap
-    copies, so rows meet them again by triple and number of copies."""
+    copies, so rows meet them again by triple and a number within it."""
     key = ["doc_id", "source", "size"]
-    taken = copies(sizes_of(docs), seed=seed).groupBy(*key).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    taken = taken.select(*[F.col(c).alias("k_" + c) for c in key], "_copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64(text_of()).alias("_h"))
-    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy(*key).orderBy("_h")))
-    on = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size"))
-    out = rows.join(taken, on).withColumn("_n", F.element_at("_copies", F.col("_no")).cast("int")).where("_n > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("row.*", F.col("_copy").alias("copy"))
+    number = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    taken = copies(sizes_of(docs), seed=seed).withColumn("_no", number("copies")).select(*[F.col(c).alias("k_" + c) for c in [*key, "_no"]], "copies")
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), "doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64(text_of()).alias("_h"))
+    rows = rows.withColumn("_no", number("_h"))
+    on = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size")) & (F.col("_no") == F.col("k__no"))
+    out = rows.join(taken, on).where("copies > 0")
+    each = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return each.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("_copy").alias(free_name(docs, "copy")))
 
 
 ORACLE = """
