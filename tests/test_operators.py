@@ -192,3 +192,104 @@ def test_first_write_wins(spark, tmp_path):
 def test_envelopes(spark):
     df = spark.createDataFrame([('{"data": [{"a": 1}, {"a": 2}]}',), ('[{"a": 3}]',), ('{"Error Message": "no"}',)], "j string")
     assert sorted(r.a for r in io.unwrap(df, "j", "a int").collect()) == [1, 2, 3]
+
+
+def test_wilson_without_trials_is_everything(spark):
+    from tidemark.operators.evaluation import wilson
+
+    low, high = wilson(F.col("s"), F.col("n"))
+    got = spark.createDataFrame([(0, 0), (5, 10)], "s long, n long").select(low.alias("l"), high.alias("h")).collect()
+    assert tuple(got[0]) == (0.0, 1.0) and 0.2 < got[1].l < 0.5 < got[1].h < 0.8
+
+
+def test_validate_bars_knows_actions_and_duplicates(spark):
+    import datetime as dt
+
+    from tidemark.operators.quality import validate_bars
+
+    day = lambda d: dt.datetime(2024, 1, d)
+    rows = [(1, day(1), 10.0), (1, day(2), 20.0), (1, day(3), 5.0), (1, day(3), 5.0)]
+    bars = spark.createDataFrame([(e, t, c, c, c, c, 1) for e, t, c in rows], "entity_id int, event_time timestamp, open double, high double, low double, close double, volume long")
+    actions = spark.createDataFrame([(1, day(2))], "entity_id int, effective_date timestamp")
+    got = validate_bars(bars, actions).orderBy("event_time", "accepted").collect()
+    assert [r.jump for r in got] == [False, False, False, True] and [list(r.fatal) for r in got] == [[], [], ["duplicate"], []]
+
+
+def test_lifecycle_gates_and_retreats(spark):
+    import datetime as dt
+
+    from tidemark.operators import lifecycle
+
+    steps = [("CONSOLIDATION", 70.0, 60.0, None, 0), ("CONSOLIDATION", None, 60.0, None, 0), ("CONSOLIDATION", 70.0, 60.0, None, 0), ("BREAKOUT_READY", 70.0, 60.0, None, 1),
+             ("CONSOLIDATION", 70.0, 60.0, None, 2), ("CONSOLIDATION", 70.0, 60.0, None, 2), ("CONSOLIDATION", 70.0, 60.0, "LOST_ELIGIBILITY", 2), ("ACCUMULATION", 70.0, 60.0, "INELIGIBLE", 2)]
+    rows = [(1, dt.datetime(2024, 1, 1 + i), *s) for i, s in enumerate(steps)]
+    schema = "entity_id int, at timestamp, state string, score double, confidence double, decision string, backward_transitions int"
+    got = [(r.at.day, r.status, r.reason) for r in lifecycle.advance(spark.createDataFrame(rows, schema)).orderBy("at").collect()]
+    assert got == [(1, "DETECTION", "consolidation"), (3, "QUALIFICATION", "score"), (4, "ACTIVE", "breakout_ready"), (5, "ACTIVE", "retreat"), (7, "CONCLUDED", "lost_eligibility")]
+
+
+def test_lifecycle_stream_gives_what_the_batch_gives(spark, tmp_path):
+    import datetime as dt
+
+    from tidemark.operators import lifecycle
+
+    states = ["CONSOLIDATION", "CONSOLIDATION", "BREAKOUT_READY", "UPTREND", "ACCUMULATION"]
+    rows = [(e, dt.datetime(2024, 1, 1 + i), s, 70.0, 60.0) for e in (1, 2) for i, s in enumerate(states)]
+    df = spark.createDataFrame(rows, "entity_id int, at timestamp, state string, score double, confidence double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lifecycle.advance_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    columns = ["entity_id", "case_number", "at", "status", "reason"]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()))
+    assert got == sorted(map(tuple, lifecycle.advance(df).select(*columns).collect())) and len(got) == 10
+
+
+def test_exchanges_and_codes(spark):
+    from tidemark.functions import normalize
+
+    names = {"NYSE ARCA": "NYSE_ARCA", "American Stock Exchange": "NYSE_AMERICAN", "Pink": "OTC", "NDQ": "NASDAQ", " new  york stock exchange": "NYSE", "Moon": "UNKNOWN"}
+    df = spark.createDataFrame([(k,) for k in names], "n string")
+    assert {r.n: r.x for r in df.select("n", normalize.exchange(F.col("n")).alias("x")).collect()} == names
+
+
+def test_terminal_and_event_records(spark):
+    from tidemark.functions import translate
+
+    raw = spark.createDataFrame([('{"symbol":"aa","date":"2024-01-02","gradingCompany":"X","newGrade":"Buy"}',), ('{"symbol":"bb","gradingCompany":"Y"}',)], "payload string")
+    good, bad = translate.quarantine(translate.terminal(raw, "grade"))
+    assert [(r.symbol, r.firm, r.after) for r in good.collect()] == [("AA", "X", "Buy")] and [r.rejected for r in bad.collect()] == ["no_time"]
+    insider = spark.createDataFrame([('{"symbol":"aa","transactionDate":"2024-01-02","transactionType":"P-Purchase","securitiesTransacted":"5"}',)], "payload string")
+    r = translate.insider_trades(insider).first()
+    assert (r.transaction_code, r.quantity, str(r.observation_time), r.rejected) == ("P", 5.0, "2024-01-04 00:00:00", None)
+    held = spark.createDataFrame([('{"symbol":"aa","year":2024,"quarter":1,"investorsHolding":7}',), ('{"symbol":"aa","year":2024,"quarter":9}',)], "payload string")
+    h = translate.holdings(held).collect()
+    assert str(h[0].observation_time) == "2024-05-15 00:00:00" and h[0].investors == 7 and h[1].rejected == "no_quarter"
+    filing = spark.createDataFrame([('{"symbol":"aa","acceptedDate":"2024-01-02 10:00:00","items":"Item 5.02, Item 1.01 and 5.02"}',)], "payload string")
+    assert translate.filings(filing).first().items == ["5.02", "1.01"]
+
+
+def test_sinks(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    s = spark.createDataFrame([(1, "2024-01-01", "v1", None), (1, "2024-01-01", "v1", None), (2, "2024-01-01", "v1", 7)], "entity_id int, scan_date string, version string, supersedes int")
+    assert sinks.append_signals(spark, s, str(tmp_path / "s")) == 2 and sinks.append_signals(spark, s, str(tmp_path / "s")) == 0
+    f = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z"), (None, "z")], "link string, title string")
+    assert sinks.append_linked(spark, f, str(tmp_path / "f"), "link", ["link"], ["title"]) == 2
+    v = spark.createDataFrame([(1, 1, 0.5, None), (2, 1, None, None)], "entity_id int, event_time int, x double, y double")
+    assert [r.features for r in sinks.vector_rows(v, ["x", "y"], "1").collect()] == ['{"x":0.5}']
+    p = spark.createDataFrame([("a", 1), ("b", 2)], "chart string, n int")
+    sinks.replace_partition(p, str(tmp_path / "p"), "chart")
+    sinks.replace_partition(p.where("chart = 'a'").withColumn("n", F.lit(9)), str(tmp_path / "p"), "chart")
+    assert {(r.chart, r.n) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {("a", 9), ("b", 2)}
+
+
+def test_as_of_dispatch(spark):
+    import datetime as dt
+
+    from tidemark.operators import identity
+
+    day = lambda d: dt.datetime(2024, 1, d)
+    bars = spark.createDataFrame([(1, day(1), day(2), 10.0), (1, day(1), day(5), 11.0)], "entity_id int, event_time timestamp, availability_time timestamp, close double")
+    at = lambda d: identity.as_of({"bar": bars}, "bar", [1], day(d)).collect()
+    assert [r.close for r in at(3)] == [10.0] and [r.close for r in at(6)] == [11.0] and at(1) == []
