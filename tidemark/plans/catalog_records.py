@@ -295,3 +295,59 @@ SELECT user_id, count(*) FILTER (event_type <> 'purchase' AND (last IS NULL OR t
 def g31_failures_since_success(spark, sf):
     e = t(spark, sf, "events").withColumn("ok", F.col("event_type") == "purchase")
     return reads.failures_since_success(e, "user_id", "ts", "ok", F.lit("2024-01-05").cast("timestamp_ntz"))
+
+
+@query("""SELECT l_linestatus, round(quantile_cont(epoch(l_shipdate) - epoch(o_orderdate), 0.5), 2) AS median_s, max(epoch(l_shipdate) - epoch(o_orderdate))::BIGINT AS max_s, count(*) AS n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def q6_lag(spark, sf):
+    j = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return quality.lag_summary(j, "o_orderdate", "l_shipdate", ["l_linestatus"]).withColumn("median_s", F.round(F.col("median_s").cast("double"), 2))
+
+
+@query("""SELECT k AS o_custkey, arg_min(src, (src, o_orderkey)) AS first_source FROM (SELECT o_custkey AS k, 0 AS src, o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")
+def g25_first_source(spark, sf):
+    from ..operators import evaluation
+
+    o = t(spark, sf, "orders")
+    a, b = (o.where(F.col("o_orderstatus") == s).select("o_custkey", F.lit(i).alias("first_source")).distinct() for i, s in enumerate("FO"))
+    return evaluation.first_source(a, b, key="o_custkey")
+
+
+@query(f"""WITH {_CHANGES} SELECT e.event_id, k.symbol FROM events e LEFT JOIN tickers k ON k.entity_id = e.user_id AND k.valid_from <= e.ts - INTERVAL 6 HOUR AND (k.valid_to IS NULL OR k.valid_to > e.ts - INTERVAL 6 HOUR)""")
+def a12_labels(spark, sf):
+    from ..operators import asof
+
+    e = t(spark, sf, "events").select("event_id", F.col("user_id").alias("entity_id"), (F.col("ts") - F.expr("INTERVAL 6 HOURS")).alias("before"))
+    return asof.label_as_of(e, tickers(spark, sf), "entity_id", "before").select("event_id", "symbol")
+
+
+@query("""SELECT CASE WHEN count(*) = 0 THEN 'never_ingested' WHEN count(*) FILTER (o_orderdate <= TIMESTAMP '1990-01-01') = 0 THEN 'not_yet_available' ELSE 'available' END AS reason, count(*) AS n,
+count(*) FILTER (o_orderdate <= TIMESTAMP '1990-01-01') AS n_known FROM orders""")
+def a17_why_empty(spark, sf):
+    from ..operators import asof
+
+    return asof.why_empty(t(spark, sf, "orders"), F.lit("1990-01-01").cast("timestamp_ntz"), availability="o_orderdate")
+
+
+@query("""SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1, 2""")
+def a18_earliest_knowledge(spark, sf):
+    from ..operators import asof
+
+    e = t(spark, sf, "events")
+    return asof.earliest_knowledge(e, ["user_id", "event_type"], F.lit("2024-01-20").cast("timestamp_ntz"), availability="ts").select("user_id", "event_type", "event_id")
+
+
+@query("""WITH i AS (SELECT o_custkey AS k, o_orderdate AS a, o_orderdate + INTERVAL 90 DAY AS b, o_orderkey FROM orders),
+r AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i) SELECT k, a AS valid_from, b AS valid_to FROM r WHERE a < reach""")
+def a9_overlaps(spark, sf):
+    from ..operators import asof
+
+    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("valid_from"), (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("valid_to"))
+    return asof.overlaps(o, "k").select("k", "valid_from", "valid_to")
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d, make_date(year(o_orderdate), 4, 1) AS a, make_date(year(o_orderdate), 10, 31) AS o FROM orders)
+SELECT o_orderkey, CASE WHEN d >= a + ((7 - dayofweek(a)) % 7)::INT AND d < o - dayofweek(o)::INT THEN 20 ELSE 21 END AS utc_hour FROM d""")  # the summer time of 1987 to 2006
+def n1_session_close(spark, sf):
+    at = normalize.session_close(F.to_date("o_orderdate"))
+    return t(spark, sf, "orders").select("o_orderkey", F.hour(at).alias("utc_hour"))

@@ -260,3 +260,17 @@ def s3_peers(spark, sf):
 ) SELECT * FROM m WHERE period_end <= (SELECT max(event_time)::DATE FROM bars)""")
 def p5_resample_week(spark, sf):
     return panel.resample(bars(spark, sf), "week")
+
+
+@query(f"""WITH {CASES}, b AS (SELECT {_BUCKET} AS bucket, avg((status = 'SUCCESS')::INT) AS rate FROM cases WHERE {_BUCKET} IS NOT NULL GROUP BY 1), v AS (SELECT *, rate < lag(rate) OVER (ORDER BY bucket) - 0.02 AS bad, rank() OVER (ORDER BY bucket) AS x, rank() OVER (ORDER BY rate) + (count(*) OVER (PARTITION BY rate) - 1) / 2 AS y FROM b)
+SELECT count(*) FILTER (bad) AS violations, round(arg_max(rate, bucket) - arg_min(rate, bucket), 6) AS top_less_bottom, round(corr(x, y), 6) AS spearman FROM v""")
+def g16_monotonicity(spark, sf):
+    c = cases(spark, sf).withColumn("bucket", evaluation.score_bucket(F.col("score"))).where("bucket is not null")
+    m = evaluation.monotonicity(c.groupBy("bucket").agg(F.avg((F.col("status") == "SUCCESS").cast("int")).alias("rate")), "bucket", "rate")
+    return m.select("violations", r("top_less_bottom", 6).alias("top_less_bottom"), r("spearman", 6).alias("spearman"))
+
+
+@query(f"""WITH {CASES} SELECT least(9, floor(score / 10))::INT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, CASE WHEN count(*) >= 10 THEN round(avg((status = 'SUCCESS')::INT), 6) END AS rate FROM cases GROUP BY 1""")
+def g17_calibration(spark, sf):
+    out = evaluation.calibration(cases(spark, sf), "score", F.col("status") == "SUCCESS")
+    return out.select("bin", "n", r("mean_score", 6).alias("mean_score"), r("rate", 6).alias("rate"))
