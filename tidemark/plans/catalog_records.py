@@ -351,3 +351,67 @@ SELECT o_orderkey, CASE WHEN d >= a + ((7 - dayofweek(a)) % 7)::INT AND d < o -
 def n1_session_close(spark, sf):
     at = normalize.session_close(F.to_date("o_orderdate"))
     return t(spark, sf, "orders").select("o_orderkey", F.hour(at).alias("utc_hour"))
+
+
+_GATE_ROWS = """g AS (SELECT p_partkey AS entity_id, p_retailprice * 50 AS adv, p_partkey % 9 AS analogues, p_partkey % 4 AS distress, (['LISTED', 'SUSPENDED', 'DELISTED'])[1 + p_partkey % 3] AS st, p_size / 40.0 AS history,
+CASE WHEN p_partkey % 5 <> 0 THEN 1.0 END AS drawdown_pct, CASE WHEN p_partkey % 7 <> 0 THEN 1.0 END AS atr FROM part),
+r AS (SELECT entity_id, unnest(['DATA_HISTORY', 'DATA_QUALITY', 'LIQUIDITY', 'BANKRUPTCY', 'MIN_ANALOGUES', 'VALID_IDENTITY']) AS gate,
+  unnest([history >= 1, drawdown_pct IS NOT NULL AND atr IS NOT NULL, adv >= 50000, distress < 2, analogues >= 5, st IN ('LISTED', 'SUSPENDED')]) AS passed FROM g)"""
+
+
+def gate_results(spark, sf):
+    from ..operators import rank
+
+    k = F.col("p_partkey")
+    rows = t(spark, sf, "part").select(
+        k.alias("entity_id"), (F.col("p_retailprice") * 50).alias("avg_dollar_volume"), (k % 9).alias("analogues"), (k % 4).alias("distress"), F.lit(True).alias("evidence_known"),
+        F.element_at(F.array(*map(F.lit, ["LISTED", "SUSPENDED", "DELISTED"])), (k % 3 + 1).cast("int")).alias("listing_status"), (F.col("p_size") / 40.0).alias("history_coverage"),
+        F.when(k % 5 != 0, 1.0).alias("drawdown_pct"), F.when(k % 7 != 0, 1.0).alias("atr"), F.lit(1.0).alias("realized_volatility"), F.lit(1.0).alias("rvol"))
+    return rank.gates(rows, features=["drawdown_pct", "atr", "realized_volatility", "rvol", "avg_dollar_volume"])
+
+
+@query(f"WITH {_GATE_ROWS} SELECT * FROM r")
+def r5_gates(spark, sf):
+    return gate_results(spark, sf)
+
+
+@query(f"WITH {_GATE_ROWS} SELECT gate, count(*) AS failures FROM r WHERE NOT passed GROUP BY 1")
+def r11_gate_failures(spark, sf):
+    from ..operators import rank
+
+    return rank.gate_failures(gate_results(spark, sf))
+
+
+@query("""WITH f AS (SELECT p_partkey AS entity_id, (p_partkey % 11) - 3 AS equity, (p_partkey % 7) - 3 AS ocf, p_partkey % 13 AS cash, p_partkey % 10 AS debt, 10 AS assets, p_size AS shares, p_partkey % 17 AS ago FROM part)
+SELECT entity_id, (equity < 0)::INT + coalesce((ocf < 0 AND cash / abs(ocf) < 4)::INT, 0) + (debt / assets > 0.9)::INT + coalesce((shares / nullif(ago, 0) - 1 > 1)::INT, 0) AS distress FROM f""")
+def r8_distress(spark, sf):
+    from ..operators import rank
+
+    k = F.col("p_partkey").cast("double")
+    f = t(spark, sf, "part").select(
+        F.col("p_partkey").alias("entity_id"), (k % 11 - 3).alias("equity"), (k % 7 - 3).alias("operating_cash_flow"), (k % 13).alias("cash"), (k % 10).alias("total_debt"), F.lit(10.0).alias("total_assets"),
+        F.col("p_size").cast("double").alias("shares"), (k % 17).alias("shares_year_ago"))
+    return rank.distress_signals(f).select("entity_id", "distress")
+
+
+@query("""WITH m AS (SELECT c_custkey AS entity_id, (['hot', 'warm', 'cold'])[1 + c_custkey % 3] AS tier FROM customer), l AS (SELECT o_custkey AS entity_id, max(o_orderdate)::DATE AS refreshed_on, (['hot', 'warm', 'cold'])[1 + max(o_orderkey) % 3] AS last_tier FROM orders GROUP BY 1),
+d AS (SELECT m.entity_id, tier, last_tier, refreshed_on, CASE tier WHEN 'hot' THEN 1 WHEN 'warm' THEN 30 ELSE 300 END AS i, CASE last_tier WHEN 'hot' THEN 1 WHEN 'warm' THEN 30 ELSE 300 END AS j FROM m LEFT JOIN l USING (entity_id))
+SELECT entity_id, CASE WHEN refreshed_on IS NULL THEN 'never' WHEN i < j THEN 'escalation' WHEN DATE '2001-08-02' - refreshed_on >= i THEN 'elapsed' ELSE 'current' END AS decision FROM d""")
+def r16_refresh_due(spark, sf):
+    from ..operators import rank
+
+    tier = lambda k: F.element_at(F.array(*map(F.lit, ["hot", "warm", "cold"])), (k % 3 + 1).cast("int"))
+    m = t(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), tier(F.col("c_custkey")).alias("tier"))
+    last = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.to_date(F.max("o_orderdate")).alias("refreshed_on"), F.max("o_orderkey").alias("k"))
+    last = last.select("entity_id", "refreshed_on", tier(F.col("k")).alias("tier"))
+    return rank.refresh_due(m, last, F.lit("2001-08-02").cast("date"), {"hot": 1, "warm": 30, "cold": 300}).select("entity_id", "decision")
+
+
+@query("""SELECT p_partkey AS entity_id, round(1 - least(1.0, greatest(0.0, p_retailprice * 700) / 1e6), 8) AS liquidity_shortfall, CASE WHEN p_partkey % 4 <> 0 THEN p_size / 50.0 >= 0.9 AND (p_partkey % 30) / 10.0 >= 1.5 WHEN (p_partkey % 30) / 10.0 < 1.5 THEN false END AS volatility_spike,
+CASE WHEN p_partkey % 3 <> 0 THEN coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 40 END <= 14, false) END AS event_near FROM part""")
+def c19_risk_flags(spark, sf):
+    k = F.col("p_partkey")
+    p = t(spark, sf, "part").select(
+        k.alias("entity_id"), (F.col("p_retailprice") * 700).alias("avg_dollar_volume"), F.when(k % 4 != 0, F.col("p_size") / 50.0).alias("atr_percentile"), ((k % 30) / 10.0).alias("volatility_reexpansion"),
+        (k % 3 != 0).alias("events_covered"), F.when(k % 5 != 0, k % 40).alias("days_to_event"))
+    return states.risk_flags(p).select("entity_id", F.round("liquidity_shortfall", 8).alias("liquidity_shortfall"), "volatility_spike", "event_near")
