@@ -452,13 +452,23 @@ def e7_radius_search(spark, sf):
     return m.groupBy("query_id").agg(F.count("*").alias("n"), r(F.min("distance"), 6).alias("nearest"))
 
 
-@query()
+_NEXT = f"""SELECT m.entity_id, e.i, number, stage, since, e.t, e.state, CASE WHEN stage IS NULL THEN CASE WHEN e.state IN ('CONSOLIDATION', 'ACCUMULATION') THEN 'DETECTION' END
+  WHEN e.t - since >= INTERVAL 1 DAY * (1 + CASE stage WHEN 'ACTIVE' THEN 180 ELSE 365 END) THEN 'EXPIRED' WHEN e.state IN ('UPTREND', 'DISTRIBUTION', 'DOWN_TREND') THEN 'ENDED'
+  WHEN stage = 'DETECTION' AND score >= 60 THEN 'QUALIFICATION' WHEN stage = 'QUALIFICATION' AND e.state IN ('BREAKOUT_WATCH', 'BREAKOUT_READY') THEN 'ACTIVE' END AS act
+  FROM m JOIN e ON e.entity_id = m.entity_id AND e.i = m.i + 1"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY t, state, score) AS i FROM (SELECT user_id AS entity_id, ts AS t, ({states.CYCLE})[1 + event_id % 8] AS state, value AS score FROM events)),
+m AS (SELECT DISTINCT entity_id, 0::BIGINT AS i, 0 AS number, NULL::VARCHAR AS stage, NULL::TIMESTAMP AS since, NULL::TIMESTAMP AS t, NULL::VARCHAR AS state, NULL::VARCHAR AS act FROM e
+UNION ALL SELECT entity_id, i, number + (coalesce(act, '') = 'DETECTION')::INT, CASE WHEN act IN ('EXPIRED', 'ENDED') THEN NULL ELSE coalesce(act, stage) END, CASE WHEN act IN ('DETECTION', 'QUALIFICATION', 'ACTIVE') THEN t ELSE since END, t, state, act FROM ({_NEXT}))
+SELECT entity_id, number AS case_number, t AS "at", CASE WHEN act IN ('EXPIRED', 'ENDED') THEN 'CONCLUDED' ELSE act END AS status, CASE act WHEN 'EXPIRED' THEN 'expired' WHEN 'QUALIFICATION' THEN 'score' ELSE lower(state) END AS reason,
+  (row_number() OVER (PARTITION BY entity_id, number ORDER BY i) - 1)::INT AS sequence_number FROM m WHERE act IS NOT NULL""")
 def e24_lifecycle(spark, sf):
     cycle = F.array(*map(F.lit, states.CYCLE))
     o = t(spark, sf, "events").select(
         F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("at"),
         F.element_at(cycle, (F.pmod("event_id", F.lit(8)) + 1).cast("int")).alias("state"), F.col("value").alias("score"), F.lit(60.0).alias("confidence"))
-    return lifecycle.advance(o)
+    return lifecycle.advance(o).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY event_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bars)
