@@ -54,4 +54,4 @@ QUERIES = {
         op1_quality_rules, op2_secret_scan, op3_decontamination, op4_toxicity, op5_warc, op6_ngram_join, op7_license_scan, op8_lm_score,
         op9_source_mix, op10_token_counts)
 }
-ORACLES = {"op6_ngram_join": ngram_join.ORACLE, "op5_warc": warc_store.ORACLE, "op9_source_mix": source_mix.ORACLE}
+ORACLES = {"op3_decontamination": decontamination.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op5_warc": warc_store.ORACLE, "op9_source_mix": source_mix.ORACLE}
