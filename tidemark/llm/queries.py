@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, lm_score, ngram_join, quality_rules, secret_scan, source_mix, token_counts, toxicity, warc_store
+from . import (
+    decontamination, license_scan, lm_score, ngram_join, quality_rules, secret_scan, source_mix, spelling, token_align, token_counts, toxicity, warc_store,
+    weighted_sampling,
+)
 from .common import table
 
 
@@ -48,10 +51,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_secret_scan, op3_decontamination, op4_toxicity, op5_warc, op6_ngram_join, op7_license_scan, op8_lm_score,
-        op9_source_mix, op10_token_counts)
+        op9_source_mix, op10_token_counts, op11_weighted_sampling, op12_spelling, op13_token_align)
 }
-ORACLES = {"op3_decontamination": decontamination.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op5_warc": warc_store.ORACLE, "op9_source_mix": source_mix.ORACLE}
+ORACLES = {"op3_decontamination": decontamination.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op5_warc": warc_store.ORACLE, "op9_source_mix": source_mix.ORACLE, "op12_spelling": spelling.ORACLE}
