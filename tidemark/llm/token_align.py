@@ -38,7 +38,7 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Pairs that every task gets, at most: 17 bytes each.
 MAX_BROADCAST = 1_000_000
 #: Pairs that a task collects before it sums them.
-GATHER = 4_000_000
+GATHER = 500_000
 #: Bits of a B id inside a pair.
 SHIFT = 20
 MASK = (1 << SHIFT) - 1
@@ -92,9 +92,8 @@ def encoded(docs: DataFrame, path_a: str | None, path_b: str | None) -> DataFram
                 sides = [pa.array([pair[k] for pair in ids], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sides], names=["row", "doc_id", "a", "b"])
 
-    with small_batches(docs.sparkSession):
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        return store(rows.mapInArrow(run, "row bigint, doc_id bigint, a binary, b binary"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return store(rows.mapInArrow(run, "row bigint, doc_id bigint, a binary, b binary"))
 
 
 def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,13 +138,13 @@ class Aligned:
 @lru_cache(maxsize=2)
 def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The decimal digits of all ids below n, left-aligned with a free place behind, and their number."""
-    text = np.arange(n).astype("S")
+    text = np.arange(n).astype(f"S{len(str(n - 1))}")
     cells = np.zeros((n, text.dtype.itemsize + 1), np.uint8)
     cells[:, :-1] = text.view(np.uint8).reshape(n, -1)
     return cells, (cells != 0).sum(1)
 
 
-def group_texts(x: Aligned, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def group_texts(x: Aligned, n_rows: int, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """`a1,a2|b1;a3|b2,b3` of all rows end to end, as bytes, and where each row's begins (and the end)."""
     n_groups = int(x.closes.sum())
     in_a, in_b = np.bincount(x.group_a, minlength=n_groups), np.bincount(x.group_b, minlength=n_groups)
@@ -157,7 +156,7 @@ def group_texts(x: Aligned, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     ids[at_a], ids[at_b], doc[at_a], doc[at_b] = x.a, x.b, x.doc_a, x.doc_b
     sep[at_a] = np.where(x.closes, ord("|"), ord(","))
     sep[at_b] = np.where(last_row, 0, np.where(last_b, ord(";"), ord(",")))
-    digits, width = decimals(1 << SHIFT)
+    digits, width = decimals(n_ids)
     cells, width = digits[ids], width[ids]
     cells[np.arange(len(ids)), width] = sep
     used = np.arange(cells.shape[1]) < (width + (sep != 0))[:, None]
@@ -184,19 +183,21 @@ def pair_counts(ids: DataFrame, path_a: str | None, path_b: str | None) -> DataF
         held, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            key = np.concatenate([held, *waiting])
-            pair, where = np.unique(key, return_inverse=True)
-            weight = np.concatenate([counts, np.ones(len(key) - len(held), np.int64)])
-            return pair, np.bincount(where, weight, len(pair)).astype(np.int64)
+            pair, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (held, counts * 0)
+            both = np.union1d(held, pair)
+            total = np.zeros(len(both), np.int64)
+            total[np.searchsorted(both, held)] += counts
+            total[np.searchsorted(both, pair)] += n
+            return both, total
 
         for batch in batches:
             for part in pieces(batch, 2):
                 x, _, _ = aligned(part, *size)
                 pair, row = x.pairs(), x.link_rows()
-                order = np.lexsort((pair, row))
-                pair, row = pair[order], row[order]
-                new = np.append(True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])) if len(pair) else np.zeros(0, bool)
-                waiting.append(pair[new])
+                key = (row << (2 * SHIFT)) | pair  # a batch has fewer than 2^23 rows
+                key.sort()
+                new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+                waiting.append(key[new] & ((1 << (2 * SHIFT)) - 1))
                 if sum(map(len, waiting)) > GATHER:
                     held, counts = merged()
                     waiting = []
@@ -217,8 +218,9 @@ def align(docs: DataFrame, *, path_a: str | None = None, path_b: str | None = No
 
     `path_a` names a vocabulary as ranks, `path_b` a sentencepiece model; both are opened on the executors."""
     spark = docs.sparkSession
-    ids = encoded(docs, path_a, path_b)
-    pairs = store(pair_counts(ids, path_a, path_b))
+    with small_batches(spark, 500):
+        ids = encoded(docs, path_a, path_b)
+        pairs = store(pair_counts(ids, path_a, path_b))
     least = threshold(pairs, "n", max_broadcast)
     often = pairs.where(F.col("n") >= least).toArrow().combine_chunks().sort_by("pair")
     shared = spark.sparkContext.broadcast(tuple(often[c].to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")))
@@ -243,7 +245,7 @@ def align(docs: DataFrame, *, path_a: str | None = None, path_b: str | None = No
                     for (r, p), t in zip(*map(np.ndarray.tolist, (lambda u, c: (u.T, c))(*np.unique(left, axis=1, return_counts=True)))):
                         rare[0][r].append(p)
                         rare[1][r].append(t)
-                text, begins = group_texts(x, n)
+                text, begins = group_texts(x, n, max(map(len, size)))
                 text, begins = text.tobytes(), begins.tolist()
                 digest = [hashlib.sha256(text[s:e]).hexdigest() if e > s else "" for s, e in zip(begins, begins[1:])]
                 groups = np.bincount(x.doc_a[x.closes], minlength=n)
@@ -253,7 +255,8 @@ def align(docs: DataFrame, *, path_a: str | None = None, path_b: str | None = No
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kinds = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, rare array<bigint>, times array<bigint>"
-    out = store(ids.mapInArrow(run, kinds))
+    with small_batches(spark, 500):
+        out = store(ids.mapInArrow(run, kinds))
     each = out.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("pair"), F.col("x.times").alias("times"))
     more = each.join(pairs.where(F.col("n") < least), "pair").groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum")
