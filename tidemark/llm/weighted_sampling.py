@@ -166,7 +166,8 @@ def successors(keys: DataFrame) -> DataFrame:
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, kid, hash, n_kid, n_hash, n_chars, text and edited of each row."""
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
+    # both joins take the same three columns, so that one shuffle of the texts serves them
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
     keys = docs.select(
         F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash"),
         F.char_length(text_of()).cast("bigint").alias("n_chars"),
@@ -178,7 +179,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     heads = nexts.join(givers, ["n_kid", "n_hash"]).select("kid", "hash", "n_kid", "n_hash", "n_chars", F.substring("next_text", F.lit(1), third).alias("head"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
-    return texts.join(heads, ["kid", "hash"]).select("doc_id", "kid", "hash", "n_kid", "n_hash", "n_chars", "text", F.concat(kept, "head").alias("edited"))
+    doc_id = F.when(F.col("kid") != "null", F.col("kid")).cast("bigint").alias("doc_id")
+    return texts.join(heads, ["kid", "hash"]).select(doc_id, "kid", "hash", "n_kid", "n_hash", "n_chars", "text", F.concat(kept, "head").alias("edited"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
