@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import drawdown, percentiles, with_percentiles
+
 Z95 = 1.959963984540054
 
 
@@ -21,9 +23,10 @@ def distribution(df: DataFrame, col: str, by: list[str] | None = None) -> DataFr
     x = F.col(col)
     n, mean = F.count(x), F.avg(x)
     half = F.when(n >= 2, Z95 * F.stddev_samp(x) / F.sqrt(n)).otherwise(0.0)
-    q = [(f"p{p}", F.percentile(x, p / 100)) for p in (10, 25, 50, 75, 90)]
-    return df.groupBy(*(by or [])).agg(
-        n.alias("n"), mean.alias("mean"), (mean - half).alias("mean_low"), (mean + half).alias("mean_high"), *[v.alias(k) for k, v in q])
+    points = (10, 25, 50, 75, 90)
+    groups = df.groupBy(*(by or [])).agg(n.alias("n"), mean.alias("mean"), (mean - half).alias("mean_low"), (mean + half).alias("mean_high"))
+    found = percentiles(df.select(*(by or []), x.alias("_q")), ["_q"], [p / 100 for p in points], by)
+    return with_percentiles(groups, found, by or [], **{f"p{p}": F.get("_q", F.lit(i)) for i, p in enumerate(points)})
 
 
 def sufficiency(n: Column, least: int = 5, preferred: int = 30) -> Column:
@@ -45,9 +48,7 @@ def rates(confused: DataFrame) -> DataFrame:
 
 def max_drawdown(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
     """Largest fall of the running sum below its running maximum, which starts at the first value."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_sum", F.sum(value).over(w)).withColumn("_peak", F.max("_sum").over(w))
-    return out.groupBy(*by).agg(F.min(F.col("_sum") - F.col("_peak")).alias("max_drawdown"))
+    return drawdown(df, value, order, by)
 
 
 EDGES = [20, 40, 60, 80, 90, 100]
@@ -81,9 +82,9 @@ def calibration(df: DataFrame, score: str, outcome: Column, bins: int = 10, high
 def walk_forward(df: DataFrame, time: str, start: str, end: str, *, train: int = 730, test: int = 365, step: int = 365) -> DataFrame:
     """Each row once per window and split it falls in; both ends belong to a split."""
     spark = df.sparkSession
+    days = f"datediff(DATE '{end}', DATE '{start}') - {train + test}"  # of the last window's start
     rows = spark.sql(
-        f"SELECT CAST(i AS INT) AS window, DATE '{start}' + CAST(i * {step} AS INT) AS a FROM (SELECT explode(sequence(0, 10000)) AS i)"
-    ).where(f"a + {train + test} <= DATE '{end}'").limit(1000)
+        f"SELECT CAST(i AS INT) AS window, DATE '{start}' + CAST(i * {step} AS INT) AS a FROM (SELECT explode(sequence(0, greatest(0, {days}) DIV {step})) AS i WHERE {days} >= 0)")
     splits = rows.select("window", F.inline(F.array(
         F.struct(F.lit("train").alias("split"), F.col("a").alias("lo"), F.date_add("a", train).alias("hi")),
         F.struct(F.lit("test").alias("split"), F.date_add("a", train).alias("lo"), F.date_add("a", train + test).alias("hi")))))

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles, with_percentiles
+
 
 def validate_bars(bars: DataFrame, actions: DataFrame | None = None, *, jump: float = 0.5) -> DataFrame:
     """Adds fatal (array of issues), jump (a change of over `jump` against the previous accepted close, unless an
@@ -66,7 +68,9 @@ def freshness(df: DataFrame, time: str, now, by: list[str] | None = None, **limi
 
 def lag_summary(df: DataFrame, start: str, end: str, by: list[str] | None = None) -> DataFrame:
     seconds = F.unix_timestamp(F.col(end).cast("timestamp")) - F.unix_timestamp(F.col(start).cast("timestamp"))
-    return df.groupBy(*(by or [])).agg(F.percentile(seconds, 0.5).alias("median_s"), F.max(seconds).alias("max_s"), F.count(seconds).alias("n"))
+    rows = df.select(*(by or []), seconds.alias("_q"))
+    g = rows.groupBy(*(by or [])).agg(F.max("_q").alias("max_s"), F.count("_q").alias("n"))
+    return with_percentiles(g, percentiles(rows, ["_q"], [0.5], by), by or [], median_s=F.get("_q", F.lit(0)))
 
 
 def coverage(members: DataFrame, delivered: DataFrame, key: str, least: float = 0.80) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import store
+from .quantiles import percentiles
+
 
 def percent_rank(df: DataFrame, col: str, out: str, *, descending: bool = False, by: list[str] | None = None) -> DataFrame:
     """Percentile rank with average ties over rows with a value; nulls stay null.
@@ -28,9 +31,9 @@ def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
     """Adds, by name, sums of the values so far in one global order. Ranges of rows are summed by
     themselves and start at the sums of the ranges before them, so no task sees all rows.
 
-    The number of ranges is stated, so they are not merged, and the same whenever they are read."""
+    Ranges are stored with their numbers, as they are read twice and bounds drawn anew might differ."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    ranged = store(df.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = ranged.groupBy("_range").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values]).select(
         "_range", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in values])
@@ -106,7 +109,8 @@ def distress_signals(f: DataFrame) -> DataFrame:
 
 def quantile_buckets(df: DataFrame, col: str, out: str, probabilities=(0.25, 0.5, 0.75)) -> DataFrame:
     """Right-closed quantile buckets from 0, equal edges merged; null stays null."""
-    edges = df.agg(F.array_distinct(F.percentile(col, F.array(*[F.lit(p) for p in (0.0, *probabilities, 1.0)]))).alias("_e"))
+    found = percentiles(df.select(F.col(col).alias("_q")), ["_q"], [0.0, *probabilities, 1.0])
+    edges = found.agg(F.array_distinct(F.any_value("_q")).alias("_e"))  # a row in any case
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     bucket = F.size(F.filter(inner, lambda e: F.col(col) > e))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(col).isNotNull(), bucket)).drop("_e")

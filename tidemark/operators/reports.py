@@ -5,15 +5,16 @@ committed to), score, status, mfe, mae, relative_return, regime."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import store
 from .evaluation import Z95, score_bucket, wilson
 from .evidence import RESOLVED, evidence_scope
+from .quantiles import drawdown, join_on, percentiles
 from .rank import running
 
+MEDIANS = ["relative_return", "mfe", "mae"]
 STATUSES = ["SUCCESS", "FAILED", "EXPIRED", "INVALIDATED", "NO_VALID_OUTCOME"]
 FLOOR, PUBLIC_FLOOR, POINTS, TOP, TOP_RETURN = 20, 30, 2000, 20, 0.5
 
@@ -26,18 +27,19 @@ def metric_suite(cases: DataFrame, by: list[str] | None = None, *, floor: int =
     resolved, won = F.col("status").isin(RESOLVED), F.col("status") == "SUCCESS"
     rel = F.when(took, F.col("relative_return"))
     mfe, mae = F.when(took, F.col("mfe")), F.when(took, F.col("mae"))
-    order = Window.partitionBy(*by).orderBy("detected_at", "case_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = cases.withColumn("_sum", F.sum(F.when(took, F.coalesce("relative_return", F.lit(0.0)))).over(order)) if by else cases.withColumn("_sum", F.lit(None).cast("double"))
-    run = run.withColumn("_peak", F.max("_sum").over(order)) if by else run.withColumn("_peak", F.lit(None).cast("double"))
-    d = run.groupBy(*by).agg(
+    medians = percentiles(cases.where(took).select(*by, *[F.col(c).alias("_q_" + c) for c in MEDIANS]), ["_q_" + c for c in MEDIANS], [0.5], by)
+    line = cases.where(took).select(*by, "detected_at", "case_id", F.coalesce("relative_return", F.lit(0.0)).alias("_x"))
+    falls = drawdown(line, "_x", ["detected_at", "case_id"], by)
+    d = cases.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count_if(resolved & took & won).alias("tp"), F.count_if(resolved & took & ~won).alias("fp"),
         F.count_if(resolved & ~took & won).alias("fn"), F.count_if(resolved & ~took & ~won).alias("tn"),
         *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUSES],
         F.count(rel).alias("_k"), F.count_if(rel > 0).alias("_hits"), F.avg(rel).alias("expectancy"), F.stddev_samp(rel).alias("_sd"),
-        F.percentile(rel, 0.5).alias("median_relative_return"), F.avg(mfe).alias("mean_mfe"), F.avg(mae).alias("mean_mae"),
-        F.percentile(mfe, 0.5).alias("median_mfe"), F.percentile(mae, 0.5).alias("median_mae"), F.min(mae).alias("worst_mae"),
-        F.min(F.col("_sum") - F.col("_peak")).alias("max_drawdown"))
+        F.avg(mfe).alias("mean_mfe"), F.avg(mae).alias("mean_mae"), F.min(mae).alias("worst_mae"))
+    for found in (medians, falls):
+        d = join_on(d, found, by, "left") if by else d.join(F.broadcast(found), F.lit(True), "left")
+    d = d.withColumns({f"median_{c}": F.get("_q_" + c, F.lit(0)) for c in MEDIANS})
     div = lambda a, b: a / F.nullif(b, F.lit(0))
     half = F.when(F.col("_k") >= 2, Z95 * F.col("_sd") / F.sqrt("_k")).otherwise(0.0)
     tp, fp, fn, tn, k, hits = (F.col(c) for c in ("tp", "fp", "fn", "tn", "_k", "_hits"))
@@ -69,14 +71,18 @@ def by_regime_and_bucket(cases: DataFrame, **options) -> DataFrame:
 
 
 def report(cases: DataFrame, **options) -> DataFrame:
-    """All splits in one long table: dimension, key and the suite."""
-    parts = {
-        "all": metric_suite(cases.withColumn("key", F.lit("all")), ["key"], **options),
-        "regime": by_regime(cases, **options).withColumnRenamed("regime", "key"),
-        "evidence_scope": by_evidence_scope(cases, **options).withColumnRenamed("evidence_scope", "key"),
-        "bucket": metric_suite(cases.withColumn("key", score_bucket(F.col("score")).cast("string")).where("key is not null"), ["key"], **options),
+    """All splits in one long table: dimension, key and the suite.
+
+    The cases are read once: each goes to its group of every dimension, and the rows that this gives, with the
+    columns a suite needs, are stored for its aggregations."""
+    keys = {
+        "all": F.lit("all"), "regime": F.coalesce("regime", F.lit("UNRECORDED")), "evidence_scope": F.col("evidence_scope"),
+        "bucket": score_bucket(F.col("score")).cast("string"),
     }
-    return reduce(DataFrame.unionByName, [p.select(F.lit(k).alias("dimension"), *p.columns) for k, p in parts.items()])
+    groups = F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("key")) for k, v in keys.items()])
+    needed = ["case_id", "detected_at", "signal_id", "status", *MEDIANS]
+    rows = evidence_scope(cases).select(*needed, F.inline(groups)).where("key is not null")
+    return metric_suite(store(rows), ["dimension", "key"], **options)
 
 
 def win_rate(cases: DataFrame, *, floor: int = PUBLIC_FLOOR) -> DataFrame:

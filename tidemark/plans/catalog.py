@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, windows as w
-from ..operators import asof, evaluation, features, lifecycle, panel, quality, rank, scoring, signals, similarity, states
+from ..operators import asof, evaluation, features, lifecycle, panel, quality, quantiles, rank, scoring, signals, similarity, states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -365,6 +365,26 @@ def g7_distribution(spark, sf):
     return d.select("o_orderpriority", "n", r("mean", 2).alias("mean"), r("p10").alias("p10"), r("p50").alias("p50"), r("p90").alias("p90"))
 
 
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 4) AS price_p01, round(quantile_cont(l_extendedprice, 0.5), 4) AS price_p50,
+round(quantile_cont(l_extendedprice, 0.999), 4) AS price_p999, round(quantile_cont(l_quantity, 0.5), 4) AS quantity_p50, round(quantile_cont(l_quantity, 0.9), 4) AS quantity_p90
+FROM (SELECT l_returnflag, l_extendedprice, l_quantity FROM lineitem UNION ALL SELECT 'all', l_extendedprice, l_quantity FROM lineitem) GROUP BY 1""")
+def g5_percentiles(spark, sf):
+    """Per return flag and over all lines as one group; groups beyond 1,000 values are narrowed."""
+    li = t(spark, sf, "lineitem").select(F.explode(F.array("l_returnflag", F.lit("all"))).alias("l_returnflag"), "l_extendedprice", "l_quantity")
+    q = quantiles.percentiles(li, ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.9, 0.999], ["l_returnflag"], gather=1000)
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    return q.select("l_returnflag", r(price[0]).alias("price_p01"), r(price[1]).alias("price_p50"), r(price[3]).alias("price_p999"), r(quantity[1]).alias("quantity_p50"), r(quantity[2]).alias("quantity_p90"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, sum(l_quantity - 25.5) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS c FROM lineitem),
+p AS (SELECT c - max(c) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS d FROM (SELECT c, l_shipdate, l_orderkey, l_linenumber FROM s JOIN lineitem USING (l_orderkey, l_linenumber)))
+SELECT round(min(d), 4) AS max_drawdown FROM p""")
+def g14_drawdown_of_all(spark, sf):
+    """One running sum over all lines, ranged over all tasks."""
+    li = t(spark, sf, "lineitem").withColumn("x", F.col("l_quantity") - 25.5)
+    return quantiles.drawdown(li, "x", ["l_shipdate", "l_orderkey", "l_linenumber"]).select(r("max_drawdown").alias("max_drawdown"))
+
+
 _Z = evaluation.Z95
 
 
