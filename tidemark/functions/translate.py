@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import interval_join
 from .normalize import field, fingerprint, item_numbers, session_close, split_ratio, symbol, timestamp, transaction_code
 
 END_OF_DAY = "INTERVAL '23:59:59' HOUR TO SECOND"
@@ -121,6 +122,6 @@ def terminal(raw: DataFrame, kind: str) -> DataFrame:
 
 def resolved(rows: DataFrame, identities: DataFrame, at: str = "observation_time") -> DataFrame:
     """Rows with the entity that had their symbol then; without one they are rejected."""
-    i = identities.select(F.col("symbol").alias("_s"), "entity_id", F.col("valid_from").alias("_a"), F.col("valid_to").alias("_b"))
-    out = rows.join(i, (F.col("symbol") == F.col("_s")) & (F.col("_a") <= F.col(at)) & (F.col("_b").isNull() | (F.col("_b") > F.col(at))), "left").drop("_s", "_a", "_b")
+    i = identities.select("symbol", "entity_id", F.col("valid_from").alias("_a"), F.col("valid_to").alias("_b"))
+    out = interval_join(rows, i, ["symbol"], at, "_a", "_b", how="left").drop("_a", "_b")
     return out.withColumn("rejected", F.coalesce(F.col("rejected"), F.when(F.col("entity_id").isNull(), "unresolved_identity")))

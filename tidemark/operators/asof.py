@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import interval_join
+
 
 def _instant(t) -> Column:
     return t if isinstance(t, Column) else F.lit(t)
@@ -36,8 +38,9 @@ def newest(df: DataFrame, keys: list[str], n: int, as_of=None, **kwargs) -> Data
 
 
 def earliest_knowledge(df: DataFrame, keys: list[str], as_of, *, availability: str = "availability_time") -> DataFrame:
-    """Per key the version that was known first."""
-    w = Window.partitionBy(*keys).orderBy(availability)
+    """Per key the version that was known first; of several known at once the first in order of its columns."""
+    others = [c for c in df.columns if c not in (*keys, availability)]
+    w = Window.partitionBy(*keys).orderBy(availability, *others)
     return knowable(df, as_of, availability=availability).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
@@ -50,23 +53,41 @@ def valid_at(df: DataFrame, t, *, start: str = "valid_from", end: str = "valid_t
 
 
 def label_as_of(facts: DataFrame, intervals: DataFrame, key: str, time: str, *, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Left join of each fact to the interval of its key that holds its time."""
-    i = intervals.withColumnRenamed(key, "_key")
-    return facts.join(i, (F.col(key) == F.col("_key")) & covers(start, end, F.col(time)), "left").drop("_key")
+    """Left join of each fact to the intervals of its key that hold its time."""
+    return interval_join(facts, intervals, [key], time, start, end, how="left")
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, ties=(), *, slices: int = 1) -> DataFrame:
+    """Each left row with the newest right row of its key at or before its time (null if none)."""
+    return bitemporal_join(left, right, key, left_time, right_time, right_time, ties, slices=slices)
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, ties=()) -> DataFrame:
-    """Each left row with the newest right row of its key at or before its time (null if none).
+def bitemporal_join(left: DataFrame, right: DataFrame, key: str, left_time: str, event: str, availability: str, ties=(), *, slices: int = 1) -> DataFrame:
+    """Each left row with the right row of its key that has the newest event among those whose event and availability
+    both are at or before its time (null if none); of one event the version that became available last, then ties.
 
-    Both sides go through one shuffle by key and one ordered window: no left row meets more
-    than one right row, so a key with many rows on both sides stays linear."""
+    A right row is seen from the later of its two times on. So both sides go through one shuffle by key and one window
+    in that order, in which the newest event so far is a running maximum: versions that come late or restate an older
+    event need no second pass, and no left row meets more than one right row. With `slices` time is cut at
+    quantiles, a key's slices are tasks of their own, and what a slice has seen last is handed to all later ones."""
     values = [c for c in right.columns if c != key]
-    r = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_r"), *[F.col(c).alias("_tie_" + c) for c in ties])
-    kind = right.select(F.struct(*values)).schema[0].dataType
+    ranks = F.struct(F.col(event).alias("event"), F.col(availability).alias("availability"), *[F.col(c).alias(f"tie{i}") for i, c in enumerate(ties)])
+    usable = F.col(key).isNotNull() & F.col(event).isNotNull() & F.col(availability).isNotNull()
+    r = right.where(usable).select(F.col(key), F.greatest(event, availability).alias("_t") if event != availability else F.col(event).alias("_t"), F.lit(0).alias("_side"), ranks.alias("_rank"), F.struct(*values).alias("_r"))
+    kind = r.schema["_r"].dataType
     l = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))  # noqa: E741
+    parts = [key]
+    if slices > 1:
+        bounds = r.agg(F.percentile_approx("_t", [i / slices for i in range(1, slices)], 1000).alias("_bounds"))
+        later = sum((F.coalesce(F.col("_t") > F.get("_bounds", F.lit(i)), F.lit(False)).cast("int") for i in range(slices - 1)), F.lit(0))
+        r, l = (x.crossJoin(F.broadcast(bounds)).withColumn("_slice", later).drop("_bounds") for x in (r, l))  # noqa: E741
+        seen = r.where(F.col("_slice") < slices - 1).groupBy(key, "_slice").agg(F.max_by("_r", "_rank").alias("_r"), F.max("_rank").alias("_rank"))
+        handed = seen.select(key, F.explode(F.sequence(F.col("_slice") + 1, F.lit(slices - 1))).alias("_slice"), F.lit(0).alias("_side"), "_rank", "_r")
+        r = r.unionByName(handed, allowMissingColumns=True)
+        parts.append("_slice")
     both = r.unionByName(l, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_side", *["_tie_" + c for c in ties]).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w).cast(kind)).where("_side = 1")
+    w = Window.partitionBy(*parts).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_r", F.max_by("_r", "_rank").over(w).cast(kind)).where("_side = 1")
     return out.select("_l.*", *[F.col("_r")[c].alias(c if c not in left.columns else c + "_right") for c in values])
 
 

@@ -28,27 +28,25 @@ def densify(bars: DataFrame) -> DataFrame:
 def adjust_splits(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """Divides prices (and multiplies volume) by the ratios of splits that take effect after
     the bar's day. Restatements of an action count once, in their latest version."""
-    newest = Window.partitionBy("entity_id", "effective_date").orderBy(F.desc("availability_time"))
-    splits = (
-        actions.where("ratio > 0").withColumn("_r", F.row_number().over(newest)).where("_r = 1")
-        .select(F.col("entity_id").alias("e"), F.to_date("effective_date").alias("d"), F.col("ratio").cast("double").alias("ratio"))
-    )
-    factor = (
-        bars.select("entity_id", "event_time").join(splits, (F.col("entity_id") == F.col("e")) & (F.to_date("event_time") < F.col("d")))
-        .groupBy("entity_id", "event_time").agg(F.product(1 / F.col("ratio")).alias("factor"))
-    )
-    f = F.coalesce("factor", F.lit(1.0))
-    out = bars.join(factor, ["entity_id", "event_time"], "left")
+    newest = F.max_by(F.col("ratio").cast("double"), F.struct("availability_time", "ratio"))
+    splits = actions.where("ratio > 0").groupBy("entity_id", "effective_date").agg(newest.alias("_ratio"))
+    splits = splits.select("entity_id", F.to_date("effective_date").alias("_d"), F.lit(1).alias("_kind"), "_ratio")
+    dated = bars.select("entity_id", F.to_date("event_time").alias("_d"), F.lit(0).alias("_kind"), F.struct(*bars.columns).alias("_bar"))
+    # from the last day back; bars of a day come before its splits
+    later = Window.partitionBy("entity_id").orderBy(F.desc("_d"), F.asc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    factor = F.coalesce(F.product(1 / F.col("_ratio")).over(later), F.lit(1.0))
+    out = dated.unionByName(splits, allowMissingColumns=True).withColumn("factor", factor).where("_kind = 0").select("_bar.*", "factor")
+    f = F.col("factor")
     prices = {c: F.col(c) * f for c in ("open", "high", "low", "close") if c in bars.columns}
     volume = {"volume": F.col("volume") / f} if "volume" in bars.columns else {}
     return out.withColumn("close_raw", F.col("close")).withColumns({**prices, **volume}).drop("factor")
 
 
 def history_start(as_of, bars: int, period: str = "day"):
-    """The date from which `bars` bars before `as_of` are surely covered: calendar days at 1.5 per bar and ten more."""
+    """The date from which `bars` bars before `as_of` are surely covered: calendar days at 1.75 per bar and ten more."""
     from datetime import timedelta
 
-    return as_of - timedelta(days=int(bars * {"day": 1, "week": 5, "month": 21}[period] * 1.5) + 10)
+    return as_of - timedelta(days=int(bars * {"day": 1, "week": 5, "month": 21}[period] * 1.75) + 10)
 
 
 def adjust_all(bars: DataFrame, actions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, windows as w
-from ..operators import asof, evaluation, features, lifecycle, panel, quality, quantiles, rank, scoring, signals, similarity, states
+from ..operators import asof, evaluation, features, intervals, lifecycle, panel, quality, quantiles, rank, scoring, signals, similarity, states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -325,6 +325,32 @@ def j4_asof_join(spark, sf):
     return asof.asof_join(e, o, "user_id", "at", "od", ties=["o_orderkey"]).select("event_id", "user_id", "o_orderkey")
 
 
+@query("""WITH v AS (SELECT l_suppkey AS entity_id, l_shipdate AS event_time, l_shipdate + INTERVAL 1 DAY * ((l_orderkey * 7 + l_linenumber * 13) % 60) AS availability_time, l_orderkey * 10 + l_linenumber AS version FROM lineitem),
+o AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) + 1 AS entity_id, o_orderdate AS t FROM orders)
+SELECT o_orderkey, arg_max(version, (event_time, availability_time, version)) AS version, max(event_time) AS event_time FROM o LEFT JOIN v ON v.entity_id = o.entity_id AND event_time <= t AND availability_time <= t GROUP BY 1""")
+def a10_vectors_as_of(spark, sf):
+    """The newest vector known at each order's date; facts become available up to 60 days late, out of order."""
+    n = t(spark, sf, "supplier").agg(F.count("*").alias("n"))
+    late = F.expr("make_dt_interval(CAST((l_orderkey * 7 + l_linenumber * 13) % 60 AS INT))")
+    v = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_shipdate").alias("event_time"), (F.col("l_shipdate") + late).alias("availability_time"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"))
+    o = t(spark, sf, "orders").join(F.broadcast(n)).select("o_orderkey", (F.col("o_custkey") % F.col("n") + 1).alias("entity_id"), F.col("o_orderdate").alias("at"))
+    return asof.bitemporal_join(o, v, "entity_id", "at", "event_time", "availability_time", ["version"], slices=4).select("o_orderkey", "version", "event_time")
+
+
+@query("""WITH i AS (SELECT l_suppkey AS k, l_shipdate AS a, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN l_shipdate + INTERVAL 900 DAY ELSE l_shipdate + INTERVAL 1 DAY * (l_orderkey % 20) END AS b, l_quantity AS q FROM lineitem),
+o AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) + 1 AS k, o_orderdate AS t FROM orders)
+SELECT o_orderkey, count(i.k) AS held, round(coalesce(sum(q), 0), 2) AS quantity FROM o LEFT JOIN i ON i.k = o.k AND a <= t AND (b IS NULL OR b > t) GROUP BY 1""")
+def j3_interval_join(spark, sf):
+    """How many shipments are under way, for 0 to 19 days, 900 days or without an end, at each order's date."""
+    n = t(spark, sf, "supplier").agg(F.count("*").alias("n"))
+    days = F.when(F.col("l_linenumber") == 6, 900).otherwise(F.col("l_orderkey") % 20).cast("int")
+    i = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("a"), "l_linenumber", days.alias("d"), F.col("l_quantity").alias("q"))
+    i = i.select("k", "a", F.when(F.col("l_linenumber") != 7, F.col("a") + F.expr("make_dt_interval(d)")).alias("b"), "q")
+    o = t(spark, sf, "orders").join(F.broadcast(n)).select("o_orderkey", (F.col("o_custkey") % F.col("n") + 1).alias("k"), F.col("o_orderdate").alias("t"))
+    pairs = intervals.interval_join(o, i, ["k"], "t", "a", "b", how="left")
+    return pairs.groupBy("o_orderkey").agg(F.count("a").alias("held"), r(F.coalesce(F.sum("q"), F.lit(0.0)), 2).alias("quantity"))
+
+
 @query("""WITH v AS (SELECT c_custkey, nullif(round(c_acctbal, -2), 0) AS x FROM customer)
 SELECT c_custkey, x, CASE WHEN x IS NOT NULL THEN round((rank() OVER (ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY x) - 1) / 2.0) / count(x) OVER (), 8) END AS pct FROM v""")
 def r2_percent_rank(spark, sf):

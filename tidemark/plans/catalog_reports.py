@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, evidence, outcomes, panel, reads, reports
 from ..functions import windows as w
+from ..sources.shared import store
 from .catalog import BARS, ORACLES, _full, _H, _TR, bars, dense_panel, query, r, t
 from .catalog_records import log  # noqa: F401  its queries come with it
 
@@ -189,8 +190,8 @@ def _measured(spark, sf):
 _OUTCOME = f"""{BARS}, m AS (SELECT event_time, avg(close) AS market FROM dense GROUP BY 1), a AS (SELECT d.*, market, {_TR} AS tr FROM dense d JOIN m USING (event_time)),
 b AS (SELECT *, {_full('tr', 20, 'avg')} AS atr FROM a), n AS (SELECT *, row_number() OVER {_H}) AS i FROM b WHERE close IS NOT NULL AND atr IS NOT NULL),
 e AS (SELECT concat_ws('-', entity_id, strftime(event_time, '%Y%m%d')) AS case_id, entity_id, i AS i0, close AS entry, atr AS atr0, market AS market0, event_time AS entry_at FROM n WHERE day(event_time) = 1),
-x AS (SELECT case_id, e.entity_id, entry, atr0, entry_at, i - i0 AS step, event_time, high / entry - 1 AS up, low / entry - 1 AS down, close / entry - 1 AS ret, close / entry - market / market0 AS rel FROM e JOIN n ON n.entity_id = e.entity_id AND n.i > i0 AND n.i <= i0 + 60),
-o AS (SELECT case_id, entity_id, entry, atr0, entry_at, count(*) AS bars, max(up) AS mfe, min(down) AS mae, arg_max(ret, step) AS realized, arg_max(rel, step) AS rel, max(event_time) AS window_end, arg_max(event_time, (up, -step)) AS peak_at,
+x AS (SELECT case_id, e.entity_id, entry, atr0, entry_at, i - i0 AS step, event_time, high / entry - 1 AS up, low / entry - 1 AS down, close / entry - 1 AS ret, close / entry - market / market0 AS rel FROM e LEFT JOIN n ON n.entity_id = e.entity_id AND n.i > i0 AND n.i <= i0 + 60),
+o AS (SELECT case_id, entity_id, entry, atr0, entry_at, count(step) AS bars, max(up) AS mfe, min(down) AS mae, arg_max(ret, step) AS realized, arg_max(rel, step) AS rel, max(event_time) AS window_end, arg_max(event_time, (up, -step)) AS peak_at,
   min(step) FILTER (up >= 1.5 * atr0 / entry) AS tb, min(step) FILTER (down <= -0.75 * atr0 / entry) AS sb FROM x GROUP BY ALL),
 st AS (SELECT *, CASE WHEN bars < 2 THEN 'NO_VALID_OUTCOME' WHEN sb IS NOT NULL AND (tb IS NULL OR sb <= tb) THEN 'FAILED' WHEN tb IS NOT NULL THEN 'SUCCESS' ELSE 'EXPIRED' END AS status FROM o)"""
 
@@ -203,6 +204,45 @@ def e27_outcomes(spark, sf):
                     F.col("stop_bar").cast("bigint").alias("stop_bar"), "status")
 
 
+_MARKED = """bars AS (
+  SELECT n_regionkey AS entity_id, l_shipdate AS event_time, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_extendedprice)) AS close
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL
+), ranged AS (SELECT *, CASE WHEN lag(close) OVER e IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER e), abs(low - lag(close) OVER e)) END AS tr, ln(close / lag(close) OVER e) AS lr FROM bars WINDOW e AS (PARTITION BY entity_id ORDER BY event_time)),
+b AS (SELECT *, CASE WHEN count(tr) OVER w = 20 THEN avg(tr) OVER w END AS atr FROM ranged WINDOW w AS (PARTITION BY entity_id ORDER BY event_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+market AS (SELECT event_time, avg(close) AS close FROM bars GROUP BY 1), cal AS (SELECT DISTINCT event_time::DATE AS day FROM bars WHERE isodow(event_time) <= 5), numbered AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM cal),
+c AS (SELECT o_orderkey AS case_id, n_regionkey AS entity_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate + INTERVAL 20 HOUR END AS entry_at, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 140) AS terminal_at,
+  ['invalidated', 'expired', 'completed', 'lost_eligibility'][1 + o_orderkey % 4] AS terminal_event FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+h AS (SELECT c.*, (SELECT max(n) FROM numbered WHERE day <= entry_at::DATE) AS passed FROM c),
+w AS (SELECT h.*, CASE WHEN entry_at IS NOT NULL THEN CASE WHEN m.day IS NULL OR terminal_at <= m.day + INTERVAL 20 HOUR THEN terminal_at ELSE m.day + INTERVAL 20 HOUR END END AS ends_at,
+  CASE WHEN entry_at IS NOT NULL THEN CASE WHEN m.day IS NULL OR terminal_at <= m.day + INTERVAL 20 HOUR THEN 'terminal_event' ELSE 'horizon' END END AS ends_because FROM h LEFT JOIN numbered m ON m.n = h.passed + 60),
+e AS (SELECT w.*, b.event_time AS t0, b.close AS entry, b.atr FROM w ASOF LEFT JOIN b ON b.entity_id = w.entity_id AND b.event_time <= w.entry_at),
+x AS (SELECT e.case_id, count(*) AS bars, max(high / entry - 1) FILTER (event_time > t0) AS mfe, min(low / entry - 1) FILTER (event_time > t0) AS mae, arg_max(close, event_time) / any_value(entry) - 1 AS realized, stddev_samp(lr) FILTER (event_time > t0) AS sd,
+  min(event_time) FILTER (event_time > t0 AND high / entry - 1 >= 1.5 * e.atr / entry) AS target_at, min(event_time) FILTER (event_time > t0 AND low / entry - 1 <= -0.75 * e.atr / entry) AS stop_at
+  FROM e JOIN b ON b.entity_id = e.entity_id AND event_time BETWEEN t0 AND ends_at GROUP BY 1),
+k AS (SELECT case_id, CASE WHEN count(*) >= 2 THEN arg_max(market.close, event_time) / arg_min(market.close, event_time) - 1 END AS market FROM e JOIN market ON event_time BETWEEN entry_at AND ends_at GROUP BY 1)"""
+
+
+@query(f"""WITH {_MARKED} SELECT case_id, ends_at, ends_because, coalesce(bars, 0) AS bars, CASE WHEN ends_at IS NULL THEN 'no_entry_event' WHEN bars IS NULL THEN 'no_bars' WHEN bars < 2 THEN 'too_few_bars' END AS unavailable,
+CASE WHEN bars >= 2 THEN round(mfe, 6) + 0.0 END AS mfe, CASE WHEN bars >= 2 THEN round(mae, 6) + 0.0 END AS mae, CASE WHEN bars >= 2 THEN round(realized, 6) + 0.0 END AS realized_return, CASE WHEN bars >= 2 THEN round(realized - market, 6) + 0.0 END AS relative_return,
+CASE WHEN bars >= 2 AND sd > 0 THEN round(realized / (sd * sqrt(252.0)), 4) + 0.0 END AS volatility_adjusted, CASE WHEN bars >= 2 THEN target_at END AS target_at, CASE WHEN bars >= 2 THEN stop_at END AS stop_at,
+CASE WHEN ends_at IS NULL OR bars IS NULL OR bars < 2 THEN 'NO_VALID_OUTCOME' WHEN stop_at IS NOT NULL AND (target_at IS NULL OR stop_at <= target_at) THEN 'FAILED' WHEN target_at IS NOT NULL THEN 'SUCCESS'
+  WHEN terminal_event IN ('invalidated', 'lost_eligibility') THEN 'INVALIDATED' ELSE 'EXPIRED' END AS status FROM e LEFT JOIN x USING (case_id) LEFT JOIN k USING (case_id)""")
+def e26_outcome_windows(spark, sf):
+    """Every order as a case: entered at its date unless its key divides by 11, ended up to 139 days later, measured on its region's bars."""
+    b = store(bars(spark, sf).select("entity_id", "event_time", "high", "low", "close"))
+    b = b.withColumn("atr", w.mean(w.true_range(F.col("high"), F.col("low"), F.col("close")), 20))
+    market = b.groupBy("event_time").agg(F.avg("close").alias("close")).withColumn("benchmark_id", F.lit("market"))
+    calendar = b.where("weekday(event_time) < 5").select(F.to_date("event_time").alias("day")).distinct()
+    o = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, ends = F.col("o_orderkey"), ["invalidated", "expired", "completed", "lost_eligibility"]
+    c = o.select(
+        key.alias("case_id"), F.col("n_regionkey").alias("entity_id"), F.when(key % 11 != 0, F.col("o_orderdate") + F.expr("INTERVAL 20 HOURS")).alias("entry_at"),
+        (F.col("o_orderdate") + F.expr("make_dt_interval(CAST(o_orderkey % 140 AS INT))")).alias("terminal_at"), F.element_at(F.array(*map(F.lit, ends)), (key % 4 + 1).cast("int")).alias("terminal_event"), F.lit("market").alias("benchmark_id"))
+    x = outcomes.excursions(c, b, calendar, market)
+    return x.select("case_id", "ends_at", "ends_because", F.col("bars").cast("bigint").alias("bars"), "unavailable", *[r(n, 6).alias(n) for n in ("mfe", "mae", "realized_return", "relative_return")],
+                    r("volatility_adjusted").alias("volatility_adjusted"), "target_at", "stop_at", "status")
+
+
 _EVENTS = """ev AS (SELECT s_nationkey % 5 AS entity_id, (DATE '1995-01-15' + (s_suppkey * 17 % 2300)::INT)::TIMESTAMP AS t, s_suppkey % 2 = 0 AS action FROM supplier)"""
 
 
