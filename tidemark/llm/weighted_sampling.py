@@ -123,27 +123,27 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     return out
 
 
-def hexes(texts: pa.Array) -> list[str]:
+def prints(texts: pa.Array) -> pa.Array:
     raw, size = signatures(texts).astype(">u2").tobytes(), 2 * SAMPLES
-    return [raw[i : i + size].hex() for i in range(0, len(raw), size)]
+    return pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal samples of two fingerprints."""
-    same = lambda i: F.when(F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4), 1.0).otherwise(0.0)
+    """The share of equal samples of two fingerprints (binary)."""
+    same = lambda i: F.when(F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2), 1.0).otherwise(0.0)
     return F.aggregate(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), F.lit(0.0), lambda s, i: s + same(i)) / SAMPLES
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """The rows with the fingerprint of their texts beside them (another free name where taken)."""
+    """The rows with the fingerprint of their texts beside them (binary; another free name where taken)."""
     name = free_name(docs, name)
-    schema = docs.select(*columns(docs), F.lit("").alias(name)).schema
+    schema = docs.select(*columns(docs), F.lit(b"").alias(name)).schema
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, at, SLICE):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hexes(part.column(at)), pa.string())], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*part.columns, prints(part.column(at))], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
@@ -184,22 +184,22 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Per row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """Per row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Digests and
+    fingerprints travel as bytes and are spelled out at the end."""
     names = ["doc_id", "kid", "hash", "n_kid", "n_hash", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
-    kinds = "doc_id bigint, kid string, hash bigint, n_kid string, n_hash bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string"
+    kinds = "doc_id bigint, kid string, hash bigint, n_kid string, n_hash bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 7, SLICE):
-                prints = [pa.array(hexes(part.column(i)), pa.string()) for i in (7, 8)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:7], *prints], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], *(prints(part.column(i)) for i in (7, 8))], names=names)
 
     with small_batches(docs.sparkSession):
         rows = with_edits(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
-        rows = rows.select("doc_id", "kid", "hash", "n_kid", "n_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+        rows = rows.select("doc_id", "kid", "hash", "n_kid", "n_hash", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited")
         out = store(rows.mapInArrow(run, kinds))
     near = out.select(F.col("kid").alias("n_kid"), F.col("hash").alias("n_hash"), F.col("fingerprint").alias("next_print")).dropDuplicates(["n_kid", "n_hash"])
     return out.join(near, ["n_kid", "n_hash"]).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
     )
