@@ -199,7 +199,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         rows = rows.select("doc_id", "kid", "hash", "n_kid", "n_hash", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited")
         out = store(rows.mapInArrow(run, kinds))
     near = out.select(F.col("kid").alias("n_kid"), F.col("hash").alias("n_hash"), F.col("fingerprint").alias("next_print")).dropDuplicates(["n_kid", "n_hash"])
-    return out.join(near, ["n_kid", "n_hash"]).select(
-        "doc_id", "n_chars", *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
-    )
+    # compared before they are spelled out: inside a lambda the names would mean the new columns
+    compared = out.join(near, ["n_kid", "n_hash"]).withColumns({
+        "near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_print"))})
+    return compared.select(
+        "doc_id", "n_chars", *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], "near_edited", "near_next")
