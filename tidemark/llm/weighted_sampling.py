@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, free_name, small_batches, store, text_of
+from .common import columns, free_name, store, text_of
 from .textvec import _PLACE, Words, mix, pieces
 
 SAMPLES = 64
@@ -165,42 +165,29 @@ def successors(keys: DataFrame) -> DataFrame:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, kid, hash, n_kid, n_hash, n_chars, text and edited of each row."""
-    # both joins take the same three columns, so that one shuffle of the texts serves them
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
-    keys = docs.select(
-        F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash"),
-        F.char_length(text_of()).cast("bigint").alias("n_chars"),
-    )
+    """kid, n_chars, edited, fingerprint and next_print (that of the next document) of each row."""
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash")]
+    keys = docs.select(F.col("doc_id").alias("id"), *key, F.char_length(text_of()).cast("bigint").alias("n_chars"))
     nexts = store(successors(keys))
+    # both joins take the same four columns, so that one shuffle of the texts serves them
+    texts = fingerprints(docs.select(*key, text_of().alias("text")))
     # one row per key: a running sum, as a rank filter would be moved below the shuffle, which then could not be shared
     once = F.sum(F.lit(1)).over(Window.partitionBy("kid", "hash").orderBy("kid", "hash").rowsBetween(Window.unboundedPreceding, 0))
-    givers = texts.withColumn("no", once).where("no = 1").select(F.col("kid").alias("n_kid"), F.col("hash").alias("n_hash"), F.col("text").alias("next_text"))
+    givers = texts.withColumn("no", once).where("no = 1").select(
+        F.col("kid").alias("n_kid"), F.col("hash").alias("n_hash"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    heads = nexts.join(givers, ["n_kid", "n_hash"]).select("kid", "hash", "n_kid", "n_hash", "n_chars", F.substring("next_text", F.lit(1), third).alias("head"))
+    heads = nexts.join(givers, ["n_kid", "n_hash"]).select("kid", "hash", "n_chars", F.substring("next_text", F.lit(1), third).alias("head"), "next_print")
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
-    doc_id = F.when(F.col("kid") != "null", F.col("kid")).cast("bigint").alias("doc_id")
-    return texts.join(heads, ["kid", "hash"]).select(doc_id, "kid", "hash", "n_kid", "n_hash", "n_chars", "text", F.concat(kept, "head").alias("edited"))
+    return texts.join(heads, ["kid", "hash"]).select("kid", "n_chars", F.concat(kept, "head").alias("edited"), "fingerprint", "next_print")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Per row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Digests and
-    fingerprints travel as bytes and are spelled out at the end."""
-    names = ["doc_id", "kid", "hash", "n_kid", "n_hash", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
-    kinds = "doc_id bigint, kid string, hash bigint, n_kid string, n_hash bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, 7, SLICE):
-                yield pa.RecordBatch.from_arrays([*part.columns[:7], *(prints(part.column(i)) for i in (7, 8))], names=names)
-
-    with small_batches(docs.sparkSession):
-        rows = with_edits(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
-        rows = rows.select("doc_id", "kid", "hash", "n_kid", "n_hash", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited")
-        out = store(rows.mapInArrow(run, kinds))
-    near = out.select(F.col("kid").alias("n_kid"), F.col("hash").alias("n_hash"), F.col("fingerprint").alias("next_print")).dropDuplicates(["n_kid", "n_hash"])
+    """Per row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Fingerprints
+    travel as bytes, with their texts to the next document, and are spelled out at the end."""
+    rows = fingerprints(with_edits(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))), "edited", "edited_fingerprint")
     # compared before they are spelled out: inside a lambda the names would mean the new columns
-    compared = out.join(near, ["n_kid", "n_hash"]).withColumns({
+    compared = rows.withColumns({
         "near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_print"))})
     return compared.select(
-        "doc_id", "n_chars", *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], "near_edited", "near_next")
+        F.when(F.col("kid") != "null", F.col("kid")).cast("bigint").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        *[F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")], "near_edited", "near_next")
