@@ -19,10 +19,11 @@ def load_panel(bars: DataFrame, as_of, *, actions: DataFrame | None = None, star
 def densify(bars: DataFrame) -> DataFrame:
     """One row per entity and event time of the panel; what an entity lacks is null.
 
-    Entities are few next to bars; their list is joined to the list of dates."""
-    dates = bars.select("event_time").distinct()
+    The dates, which the calendar bounds, go to all entities as one array."""
+    dates = bars.agg(F.collect_set("event_time").alias("_dates"))
     entities = bars.select("entity_id").distinct()
-    return entities.join(dates).join(bars, ["entity_id", "event_time"], "left")
+    every = entities.join(F.broadcast(dates)).select("entity_id", F.explode("_dates").alias("event_time"))
+    return every.join(bars, ["entity_id", "event_time"], "left")
 
 
 def adjust_splits(bars: DataFrame, actions: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def adjust_all(bars: DataFrame, actions: DataFrame) -> DataFrame:
 def attach_benchmarks(panel: DataFrame, benchmarks: DataFrame, groups: DataFrame, names: tuple[str, ...] = ("sector", "industry")) -> DataFrame:
     """Adds market, sector and industry: closes of the benchmarks an entity is mapped to, on its own dates; null where
     it has none. benchmarks: benchmark_id, event_time, close. groups: entity_id and a benchmark_id per name (and market)."""
-    out = panel.join(F.broadcast(groups), "entity_id", "left")
+    out = panel.join(groups, "entity_id", "left")
     for name in ("market", *names):
         b = benchmarks.select(F.col("benchmark_id").alias("_b"), F.col("event_time").alias("_t"), F.col("close").alias(f"_{name}"))
         out = out.join(b, (F.col(f"{name}_id") == F.col("_b")) & (F.col("event_time") == F.col("_t")), "left").drop("_b", "_t").withColumnRenamed(f"_{name}", name)

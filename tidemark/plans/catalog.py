@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, windows as w
-from ..operators import asof, evaluation, features, intervals, lifecycle, panel, quality, quantiles, rank, scoring, signals, similarity, states
+from ..sources.shared import store
+from ..operators import asof, evaluation, evidence, features, intervals, lifecycle, panel, quality, quantiles, rank, scoring, signals, similarity, states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +63,8 @@ bars AS (
 
 def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Dense bars with benchmarks: mean closes of the day of all entities, and of those of one sector and industry (by id)."""
-    b = panel.densify(bars(spark, sf)).withColumn("close_raw", F.col("close"))
+    # lineitem is read once: dates, entities, benchmarks and groups all come from the stored bars
+    b = store(panel.densify(store(bars(spark, sf))).withColumn("close_raw", F.col("close")))
     ids = {"market": F.lit("market"), "sector": F.concat(F.lit("s"), F.col("entity_id") % 2), "industry": F.concat(F.lit("i"), F.col("entity_id") % 3)}
     each = b.select("event_time", "close", F.explode(F.array(*ids.values())).alias("benchmark_id"))
     benchmarks = each.groupBy("benchmark_id", "event_time").agg(F.avg("close").alias("close"))
@@ -275,7 +277,6 @@ SELECT entity_id, event_time, round(composite_score, 4) AS composite_score, roun
   CASE WHEN risk_level IS NULL THEN 'risk_undetermined' WHEN weight_coverage < 0.85 THEN 'thin_evidence' WHEN opportunity IS NULL THEN 'no_opportunity' ELSE 'scored' END AS decision FROM k""")
 def e13_scores(spark, sf):
     """Scores at the last date; failures, sample and mean excursion are those of the region's evaluated orders."""
-    from ..operators import evidence
     from .catalog_reports import cases
 
     region = t(spark, sf, "customer").join(F.broadcast(t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("entity_id"), F.col("n_regionkey").alias("region"))
@@ -498,6 +499,25 @@ def e7_radius_search(spark, sf):
     return m.groupBy("query_id").agg(F.count("*").alias("n"), r(F.min("distance"), 6).alias("nearest"))
 
 
+_METRIC = evidence.metric_features()
+_SPREAD = ", ".join(f"CASE WHEN quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) > 1e-9 THEN quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) ELSE 1 END AS {f}" for f in _METRIC)
+_SHARED = " + ".join(f"(q.{f} IS NOT NULL AND c.{f} IS NOT NULL)::INT" for f in _METRIC)
+_SQUARES = " + ".join(f"coalesce(((q.{f} - c.{f}) / s.{f}) ** 2, 0)" for f in _METRIC)
+
+
+@query(f"""WITH {FEATURES_SQL}, v AS (SELECT *, {_SPEED} AS decline_speed FROM feat WHERE day(event_time) = 1), s AS (SELECT {_SPREAD} FROM v v0),
+d AS (SELECT q.entity_id, q.event_time, c.entity_id AS other, c.event_time AS at, {_SHARED} AS shared, sqrt(({_SQUARES}) / nullif({_SHARED}, 0)) AS distance FROM v q JOIN v c ON q.entity_id <> c.entity_id CROSS JOIN s WHERE month(q.event_time) IN (1, 7))
+SELECT entity_id, event_time, count(*) AS analogues, round(min(distance), 4) AS nearest, round(max(distance), 4) AS farthest FROM d WHERE shared >= 0.6 * {len(_METRIC)} AND distance <= 1.25 GROUP BY 1, 2""")
+def e6_metric_search(spark, sf):
+    """Half-yearly vectors against the monthly ones of other entities over the metric features, of which early vectors lack some."""
+    f = features.feature_panel(dense_panel(spark, sf)).where("day(event_time) = 1").select("entity_id", "event_time", *_METRIC)
+    v = store(f.withColumn("case_id", F.concat_ws("/", "entity_id", "event_time")))
+    m = similarity.radius_search(v.where("month(event_time) in (1, 7)").withColumnRenamed("case_id", "query_id"), v, _METRIC, entity="entity_id")
+    at = F.split("query_id", "/")
+    out = m.groupBy("query_id").agg(F.count("*").alias("analogues"), r(F.min("distance")).alias("nearest"), r(F.max("distance")).alias("farthest"))
+    return out.select(at[0].cast(v.schema["entity_id"].dataType).alias("entity_id"), at[1].cast(v.schema["event_time"].dataType).alias("event_time"), "analogues", "nearest", "farthest")
+
+
 _NEXT = f"""SELECT m.entity_id, e.i, number, stage, since, e.t, e.state, CASE WHEN stage IS NULL THEN CASE WHEN e.state IN ('CONSOLIDATION', 'ACCUMULATION') THEN 'DETECTION' END
   WHEN e.t - since >= INTERVAL 1 DAY * (1 + CASE stage WHEN 'ACTIVE' THEN 180 ELSE 365 END) THEN 'EXPIRED' WHEN e.state IN ('UPTREND', 'DISTRIBUTION', 'DOWN_TREND') THEN 'ENDED'
   WHEN stage = 'DETECTION' AND score >= 60 THEN 'QUALIFICATION' WHEN stage = 'QUALIFICATION' AND e.state IN ('BREAKOUT_WATCH', 'BREAKOUT_READY') THEN 'ACTIVE' END AS act
