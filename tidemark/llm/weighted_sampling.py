@@ -25,6 +25,7 @@ has itself as next. An empty table gives no rows. No text is cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -164,30 +165,70 @@ def successors(keys: DataFrame) -> DataFrame:
     return linked.select("kid", "hash", "n_chars", follower["kid"].alias("n_kid"), follower["hash"].alias("n_hash"))
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """kid, hash, the compressed text with its size in bytes, and its fingerprint."""
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            for part in pieces(batch, 2, SLICE):
+                raw = [t.encode() for t in part.column(2).to_pylist()]
+                small = pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), small, pa.array(list(map(len, raw)), pa.int64()), prints(part.column(2))],
+                    names=["kid", "hash", "packed", "size", "fingerprint"])
+
+    return docs.select(*key, text_of().alias("text")).mapInArrow(run, "kid string, hash bigint, packed binary, size bigint, fingerprint binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> list[str]:
+    codec = pa.Codec("zstd")
+    rows = zip(batch.column("packed").to_pylist(), batch.column("size").to_pylist())
+    return [codec.decompress(p, size, asbytes=True).decode() for p, size in rows]
+
+
 def with_edits(docs: DataFrame) -> DataFrame:
-    """kid, n_chars, edited, fingerprint and next_print (that of the next document) of each row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint and next_print (that of the next document) of each row."""
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("kid"), F.xxhash64(text_of()).alias("hash")]
     keys = docs.select(F.col("doc_id").alias("id"), *key, F.char_length(text_of()).cast("bigint").alias("n_chars"))
     nexts = store(successors(keys))
-    # both joins take the same four columns, so that one shuffle of the texts serves them
-    texts = fingerprints(docs.select(*key, text_of().alias("text")))
+    # both joins take the same columns, so that one shuffle of the texts serves them
+    texts = packed_texts(docs)
     # one row per key: a running sum, as a rank filter would be moved below the shuffle, which then could not be shared
     once = F.sum(F.lit(1)).over(Window.partitionBy("kid", "hash").orderBy("kid", "hash").rowsBetween(Window.unboundedPreceding, 0))
     givers = texts.withColumn("no", once).where("no = 1").select(
-        F.col("kid").alias("n_kid"), F.col("hash").alias("n_hash"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    heads = nexts.join(givers, ["n_kid", "n_hash"]).select("kid", "hash", "n_chars", F.substring("next_text", F.lit(1), third).alias("head"), "next_print")
-    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
-    return texts.join(heads, ["kid", "hash"]).select("kid", "n_chars", F.concat(kept, "head").alias("edited"), "fingerprint", "next_print")
+        F.col("kid").alias("n_kid"), F.col("hash").alias("n_hash"), "packed", "size", F.col("fingerprint").alias("next_print"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 3, SLICE):
+                heads = [t[: n // 3] for t, n in zip(unpacked(batch), batch.column("n_chars").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(heads, pa.string()), batch.column("next_print")], names=["kid", "hash", "n_chars", "head", "next_print"])
+
+    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 2, SLICE):
+                rows = zip(unpacked(batch), batch.column("n_chars").to_pylist(), batch.column("head").to_pylist())
+                edited = [t[: n - n // 3] + head for t, n, head in rows]
+                digest = pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], digest, batch.column("fingerprint"), prints(pa.array(edited, pa.string())), batch.column("next_print")],
+                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_print"])
+
+    asked = nexts.join(givers, ["n_kid", "n_hash"]).select("kid", "hash", "n_chars", "packed", "size", "next_print")
+    heads = asked.mapInArrow(cut, "kid string, hash bigint, n_chars bigint, head string, next_print binary")
+    doc_id = F.when(F.col("kid") != "null", F.col("kid")).cast("bigint").alias("doc_id")
+    return texts.join(heads, ["kid", "hash"]).select(doc_id, "n_chars", "packed", "size", "head", "fingerprint", "next_print").mapInArrow(
+        edit, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, next_print binary")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Per row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Fingerprints
-    travel as bytes, with their texts to the next document, and are spelled out at the end."""
-    rows = fingerprints(with_edits(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))), "edited", "edited_fingerprint")
+    """Per row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Texts travel
+    compressed, with their fingerprints, which go to the next document as bytes and are spelled out at the end."""
+    rows = with_edits(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
     # compared before they are spelled out: inside a lambda the names would mean the new columns
     compared = rows.withColumns({
         "near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_print"))})
-    return compared.select(
-        F.when(F.col("kid") != "null", F.col("kid")).cast("bigint").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        *[F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")], "near_edited", "near_next")
+    return compared.select("doc_id", "n_chars", "edited_sha256", *[F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")], "near_edited", "near_next")
