@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STAGES = ["DETECTION", "QUALIFICATION", "ACTIVE", "CONCLUDED"]
 OPENS, ACTIVATES, ENDS = {"CONSOLIDATION", "ACCUMULATION"}, {"BREAKOUT_WATCH", "BREAKOUT_READY"}, {"UPTREND", "DISTRIBUTION", "DOWN_TREND"}
@@ -39,6 +40,18 @@ class Machine:
     def __init__(self, number: int = 0, stage: str | None = None, since: pd.Timestamp | None = None, backward: int | None = None):
         self.number, self.stage, self.since, self.backward = number, stage, since, backward
 
+    def due(self) -> pd.Timestamp | None:
+        """When the open case expires if nothing changes: the first instant that is more whole days away than its stage allows."""
+        return self.since + pd.Timedelta(days=(ACTIVE_DAYS if self.stage == "ACTIVE" else DETECTION_DAYS) + 1) if self.stage else None
+
+    def expire(self, now: pd.Timestamp | None) -> list[tuple[pd.Timestamp, int, str, str]]:
+        """The expiry that lies at or before `now`, at its own instant."""
+        due = self.due()
+        if due is None or now is None or pd.isna(now) or due > now:
+            return []
+        self.stage = None
+        return [(due, self.number, "CONCLUDED", "expired")]
+
     def step(self, at: pd.Timestamp, state: str | None, score: float | None, confidence: float | None, decision: str | None = None,
              backward: int | None = None) -> list[tuple[int, str, str]]:
         if decision in INVALIDATES:
@@ -73,27 +86,47 @@ class Machine:
         return [(self.number, "ACTIVE", "retreat")]
 
 
-def advance(observations: DataFrame) -> DataFrame:
+def advance(observations: DataFrame, *, until=None) -> DataFrame:
     """Case events of rows (entity_id, at, state, score, confidence, and where there are such columns decision
     and backward_transitions), each entity in order of time.
 
+    An overdue case expires with its entity's next row. With `until` it expires at its own instant instead, rows
+    that come later find it closed, and cases that are due by `until` expire without any row.
+
     Rows are stepped through in sorted batches; only the current entity's state is kept, so no history is held whole."""
+    until = None if until is None else pd.Timestamp(until)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, m, last, sequence = object(), Machine(), 0, 0
+        now, m, last, sequence, like = object(), Machine(), 0, 0, None
+        rows: list[tuple] = []
+
+        def add(events: list[tuple]) -> None:
+            nonlocal last, sequence
+            for t, n, s, why in events:
+                sequence = sequence + 1 if n == last else 0
+                last = n
+                rows.append((now, n, t, s, why, sequence))
+
+        def table() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["entity_id", "case_number", "at", "status", "reason", "sequence_number"])
+            rows.clear()
+            return out.astype(like)
+
         for pdf in batches:
-            rows = []
+            like = {"entity_id": pdf["entity_id"].dtype, "at": pdf["at"].dtype}
             for r in pdf.itertuples():
                 nothing = lambda x: None if pd.isna(x) else x
                 entity = nothing(r.entity_id)
                 if entity != now:
+                    add(m.expire(until))
                     now, m, last = entity, Machine(), 0
-                for n, s, why in m.step(r.at, *map(nothing, (r.state, r.score, r.confidence, r.decision, r.backward_transitions))):
-                    sequence = sequence + 1 if n == last else 0
-                    last = n
-                    rows.append((entity, n, r.at, s, why, sequence))
-            out = pd.DataFrame(rows, columns=["entity_id", "case_number", "at", "status", "reason", "sequence_number"])
-            yield out.astype({"entity_id": pdf["entity_id"].dtype, "at": pdf["at"].dtype})
+                if until is not None:
+                    add(m.expire(r.at))
+                add([(r.at, *e) for e in m.step(r.at, *map(nothing, (r.state, r.score, r.confidence, r.decision, r.backward_transitions)))])
+            yield table()
+        add(m.expire(until))
+        if rows:
+            yield table()
 
     kind = dict(observations.dtypes)
     columns = ["entity_id", "at", "state", "score", "confidence", "decision", "backward_transitions"]
@@ -126,3 +159,61 @@ def advance_stream(observations: DataFrame, watermark: str = "1 day") -> DataFra
     return complete(observations).withWatermark("at", watermark).groupBy("entity_id").applyInPandasWithState(
         run, f"entity_id {kind['entity_id']}, case_number int, at {kind['at']}, status string, reason string",
         "number int, stage string, since string, backward int", "append", "NoTimeout")
+
+
+class CaseProcessor(StatefulProcessor):
+    """The machine of one entity on a stream, with one event-time timer: when its open case is due."""
+
+    KIND = "number int, stage string, since bigint, backward int"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.case = handle.getValueState("case", self.KIND)
+
+    def _load(self) -> Machine:
+        kept = self.case.get() if self.case.exists() else None
+        return Machine(kept[0], kept[1], None if kept[2] is None else pd.Timestamp(kept[2], unit="ms"), kept[3]) if kept else Machine()
+
+    def _keep(self, m: Machine, before: pd.Timestamp | None) -> None:
+        millis = lambda t: int(t.value // 1_000_000)
+        if before != m.due():
+            if before is not None:
+                self.handle.deleteTimer(millis(before))
+            if m.due() is not None:
+                self.handle.registerTimer(millis(m.due()))
+        self.case.update((m.number, m.stage, None if m.since is None else millis(m.since), m.backward))
+
+    @staticmethod
+    def _table(entity, events: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(entity, n, at, s, why) for at, n, s, why in events], columns=["entity_id", "case_number", "at", "status", "reason"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        nothing = lambda x: None if pd.isna(x) else x
+        m, events = self._load(), []
+        before = m.due()
+        # of one trigger in order of time
+        for r in pd.concat(list(rows)).sort_values(["at", "state", "score", "confidence"]).itertuples():
+            events += m.expire(r.at)
+            events += [(r.at, *e) for e in m.step(r.at, *map(nothing, (r.state, r.score, r.confidence, r.decision, r.backward_transitions)))]
+        self._keep(m, before)
+        yield self._table(key[0], events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        m = self._load()
+        before = m.due()
+        events = m.expire(pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))
+        if events:
+            # the timer that fired is gone; nothing is left to wait for
+            self.case.update((m.number, None, None, m.backward))
+        yield self._table(key[0], events if before is not None else [])
+
+    def close(self) -> None:
+        pass
+
+
+def advance_with_timers(observations: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Like advance(until=...) on a stream: a case expires when the watermark passes its due instant, whether its
+    entity is heard of again or not. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
+    kind = dict(observations.dtypes)["entity_id"]
+    return complete(observations).withWatermark("at", watermark).groupBy("entity_id").transformWithStateInPandas(
+        CaseProcessor(), f"entity_id {kind}, case_number int, at timestamp, status string, reason string", "append", "eventTime")

@@ -8,14 +8,41 @@ from pyspark.sql import functions as F
 from .asof import knowable, latest
 
 
-def load_panel(bars: DataFrame, as_of, *, actions: DataFrame | None = None, start=None) -> DataFrame:
-    """Latest knowable version of each bar, on the union of all dates of the panel."""
+def load_panel(bars: DataFrame, as_of, *, actions: DataFrame | None = None, start=None, lookback: int | None = None, period: str = "day") -> DataFrame:
+    """Latest knowable version of each bar, on the union of all dates of the panel. With `lookback` only what that many
+    bars before as_of (a datetime) can need is read."""
+    if start is None and lookback is not None:
+        start = history_start(as_of, lookback, period)
     known = bars if start is None else bars.where(F.col("event_time") >= start)
     known = latest(known, ["entity_id", "event_time"], as_of)
     dense = densify(known)
     return adjust_splits(dense, knowable(actions, as_of)) if actions is not None else dense
 
 
+def load_panel_at(bars: DataFrame, instants: list, *, actions: DataFrame | None = None, lookback: int | None = None, period: str = "day") -> DataFrame:
+    """The knowable bars at each of many instants, in one pass: as_of and the columns of bars; with `actions` adjusted for the splits known then.
+
+    A version of a bar is the newest from when it is available until the next one is. So versions are put in order
+    once, and each goes to the instants of its span; with `lookback` to those that reach back to it. Of versions available
+    at once the last in order of their columns counts."""
+    kind = dict(bars.dtypes)["availability_time"]
+    others = [c for c in bars.columns if c not in ("entity_id", "event_time", "availability_time")]
+    order = Window.partitionBy("entity_id", "event_time").orderBy("availability_time", *others)
+    versions = bars.where("availability_time is not null").withColumn("_until", F.lead("availability_time").over(order))
+    days = None if lookback is None else F.expr(f"INTERVAL {(instants[0] - history_start(instants[0], lookback, period)).days if instants else 0} DAYS")
+    times = F.array(*[F.lit(t).cast(kind) for t in instants]).cast(f"array<{kind}>")
+
+    def sees(t):
+        newest = (F.col("availability_time") <= t) & (F.col("_until").isNull() | (F.col("_until") > t))
+        return newest if days is None else newest & (F.col("event_time") >= t - days)
+
+    out = versions.withColumn("as_of", F.explode(F.filter(times, sees))).drop("_until")
+    if actions is None:
+        return out
+    known = actions.withColumn("as_of", F.explode(F.filter(times, lambda t: F.col("availability_time") <= t)))
+    return adjust_splits(out, known, keys=["as_of", "entity_id"])
+
+
 def densify(bars: DataFrame) -> DataFrame:
     """One row per entity and event time of the panel; what an entity lacks is null.
 
@@ -26,15 +53,15 @@ def densify(bars: DataFrame) -> DataFrame:
     return every.join(bars, ["entity_id", "event_time"], "left")
 
 
-def adjust_splits(bars: DataFrame, actions: DataFrame) -> DataFrame:
+def adjust_splits(bars: DataFrame, actions: DataFrame, *, keys=("entity_id",)) -> DataFrame:
     """Divides prices (and multiplies volume) by the ratios of splits that take effect after
     the bar's day. Restatements of an action count once, in their latest version."""
     newest = F.max_by(F.col("ratio").cast("double"), F.struct("availability_time", "ratio"))
-    splits = actions.where("ratio > 0").groupBy("entity_id", "effective_date").agg(newest.alias("_ratio"))
-    splits = splits.select("entity_id", F.to_date("effective_date").alias("_d"), F.lit(1).alias("_kind"), "_ratio")
-    dated = bars.select("entity_id", F.to_date("event_time").alias("_d"), F.lit(0).alias("_kind"), F.struct(*bars.columns).alias("_bar"))
+    splits = actions.where("ratio > 0").groupBy(*keys, "effective_date").agg(newest.alias("_ratio"))
+    splits = splits.select(*keys, F.to_date("effective_date").alias("_d"), F.lit(1).alias("_kind"), "_ratio")
+    dated = bars.select(*keys, F.to_date("event_time").alias("_d"), F.lit(0).alias("_kind"), F.struct(*bars.columns).alias("_bar"))
     # from the last day back; bars of a day come before its splits
-    later = Window.partitionBy("entity_id").orderBy(F.desc("_d"), F.asc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_d"), F.asc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     factor = F.coalesce(F.product(1 / F.col("_ratio")).over(later), F.lit(1.0))
     out = dated.unionByName(splits, allowMissingColumns=True).withColumn("factor", factor).where("_kind = 0").select("_bar.*", "factor")
     f = F.col("factor")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, windows as w
 from ..sources.shared import store
-from ..operators import asof, evaluation, evidence, features, intervals, lifecycle, panel, quality, quantiles, rank, scoring, signals, similarity, states
+from ..operators import asof, evaluation, evidence, features, intervals, lifecycle, panel, pending, quality, quantiles, rank, scoring, signals, similarity, states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -352,6 +352,37 @@ def j3_interval_join(spark, sf):
     return pairs.groupBy("o_orderkey").agg(F.count("a").alias("held"), r(F.coalesce(F.sum("q"), F.lit(0.0)), 2).alias("quantity"))
 
 
+_INSTANTS = [dt.datetime(1996, 3, 1), dt.datetime(1997, 7, 15, 12), dt.datetime(1999, 1, 1)]
+_SINGLE = """SELECT TIMESTAMP '{t}' AS as_of, entity_id, event_time, price FROM (SELECT * FROM v WHERE availability_time <= TIMESTAMP '{t}' AND event_time >= TIMESTAMP '{t}' - INTERVAL 451 DAY
+  QUALIFY row_number() OVER (PARTITION BY entity_id, event_time ORDER BY availability_time DESC, price DESC) = 1)"""
+
+
+@query(f"""WITH v AS (SELECT l_suppkey AS entity_id, date_trunc('week', l_shipdate)::TIMESTAMP AS event_time, l_shipdate + INTERVAL 1 DAY * (l_orderkey % 30) AS availability_time, l_extendedprice AS price FROM lineitem)
+{' UNION ALL '.join(_SINGLE.format(t=t) for t in _INSTANTS)}""")
+def p1_panel_at_instants(spark, sf):
+    """Weekly bars that every shipment restates, as known at three instants, 252 bars back."""
+    late = F.expr("make_dt_interval(CAST(l_orderkey % 30 AS INT))")
+    v = t(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("entity_id"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("event_time"), (F.col("l_shipdate") + late).alias("availability_time"), F.col("l_extendedprice").alias("price"))
+    return panel.load_panel_at(v, _INSTANTS, lookback=252).select("as_of", "entity_id", "event_time", "price")
+
+
+@query("""WITH e AS (SELECT o_custkey AS entity_id, o_orderpriority AS event_type, date_trunc('day', o_orderdate) + INTERVAL 1 DAY * (o_orderkey % 90) AS scheduled_for, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 7) AS availability_time FROM orders),
+a AS (SELECT c_custkey AS ask_id, c_custkey AS entity_id, TIMESTAMP '1995-06-01' + INTERVAL 1 DAY * (c_custkey * 37 % 2200) AS as_of FROM customer),
+k AS (SELECT entity_id, event_type, scheduled_for, min(availability_time) AS known_from FROM e GROUP BY ALL), s AS (SELECT entity_id, min(availability_time) AS first FROM e GROUP BY 1),
+p AS (SELECT ask_id, count(*) AS n, min(scheduled_for) AS next_at, arg_min(event_type, (scheduled_for, event_type)) AS next_type FROM a JOIN k ON k.entity_id = a.entity_id AND known_from <= as_of AND scheduled_for BETWEEN as_of AND as_of + INTERVAL 45 DAY GROUP BY 1)
+SELECT ask_id, CASE WHEN first IS NULL OR first > as_of THEN 'UNAVAILABLE' WHEN n > 0 THEN 'KNOWN' ELSE 'NONE_SCHEDULED' END AS coverage, CASE WHEN first IS NULL THEN 'never_ingested' WHEN first > as_of THEN 'not_yet_available' END AS miss_reason,
+coalesce(n, 0) AS pending, next_at, next_type, (SELECT max(availability_time) FROM e WHERE e.entity_id = a.entity_id AND availability_time <= as_of) AS observed_at FROM a LEFT JOIN s USING (entity_id) LEFT JOIN p USING (ask_id)""")
+def a18_pending_events(spark, sf):
+    """What is scheduled within 45 days for each customer, seen from a day of its own."""
+    days = lambda x: F.expr(f"make_dt_interval(CAST({x} AS INT))")
+    e = t(spark, sf, "orders").select(
+        F.col("o_custkey").alias("entity_id"), F.col("o_orderpriority").alias("event_type"), (F.date_trunc("day", "o_orderdate").cast("timestamp_ntz") + days("o_orderkey % 90")).alias("scheduled_for"),
+        (F.col("o_orderdate") + days("o_orderkey % 7")).alias("availability_time"))
+    a = t(spark, sf, "customer").select(F.col("c_custkey").alias("ask_id"), F.col("c_custkey").alias("entity_id"), (F.lit("1995-06-01").cast("timestamp_ntz") + days("c_custkey * 37 % 2200")).alias("as_of"))
+    return pending.pending_events(e, a).select("ask_id", "coverage", "miss_reason", "pending", "next_at", "next_type", "observed_at")
+
+
 @query("""WITH v AS (SELECT c_custkey, nullif(round(c_acctbal, -2), 0) AS x FROM customer)
 SELECT c_custkey, x, CASE WHEN x IS NOT NULL THEN round((rank() OVER (ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY x) - 1) / 2.0) / count(x) OVER (), 8) END AS pct FROM v""")
 def r2_percent_rank(spark, sf):
