@@ -602,7 +602,7 @@ def q10_coverage(spark, sf):
 
 
 def queries():
-    from . import catalog_records, catalog_reports, catalog_states  # noqa: F401  they add theirs
+    from . import catalog_records, catalog_reports, catalog_serving, catalog_states  # noqa: F401  they add theirs
 
     return QUERIES
 
