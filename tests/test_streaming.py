@@ -49,3 +49,13 @@ def test_cases_expire_on_the_watermark_alone(spark, tmp_path):
     want = lifecycle.advance(every, until=day(899)).drop("sequence_number").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert {(r.entity_id, r["at"]) for r in want if r.reason == "expired"} == {(1, day(190)), (1, day(566)), (2, day(369))}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_backfill_goes_on_where_it_ended(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    shutil.copy(f"{SF}/events.parquet", tmp_path / "in")
+    stream = ev.deduplicated(ev.read_events(spark, str(tmp_path / "in")))
+    n = spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct().count()
+    for _ in range(2):
+        assert ev.backfill(stream, str(tmp_path / "out"), str(tmp_path / "at")).count() == n

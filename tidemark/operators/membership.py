@@ -9,9 +9,10 @@ from ..functions.normalize import suffix
 
 #: Venues that are admitted, and symbol suffixes of venues elsewhere.
 VENUES = ["NYSE", "NASDAQ"]
-FOREIGN_SUFFIXES = (
-    "AS AX BO BR CO DE F HE HK IR JK KS KQ L LS MC MI MX NS NZ OL PA SA SI SS ST SW SZ T TA TO TW V VI WA"
-).split()
+FOREIGN_SUFFIXES = [
+    "AS", "AX", "BO", "BR", "CO", "DE", "F", "HE", "HK", "IR", "JK", "KS", "KQ", "L", "LS", "MC", "MI", "MX", "NS", "NZ", "OL", "PA", "SA", "SI", "SS", "ST",
+    "SW", "SZ", "T", "TA", "TO", "TW", "V", "VI", "WA",
+]
 
 
 def exclusion_reason(exchange: Column, symbol: Column) -> Column:

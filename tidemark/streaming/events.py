@@ -29,10 +29,16 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Processes what is there and gives the result table (for tests and backfills)."""
+    """Processes what is there and gives the result table, which the driver holds: for tests. Backfills take backfill()."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     query = writer.start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def backfill(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Processes what is there into a table that executors write, and gives it; with its checkpoint a second call goes on where the first ended."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
