@@ -298,6 +298,35 @@ def test_decontamination_of_a_benchmark_in_parts(docs, spark):
     assert by_row(parts) == by_row(whole) and whole.where("size(items) > 0").count() > 3
 
 
+def test_one_part_of_a_benchmark_is_broadcast_at_a_time(docs, spark):
+    many = spark.range(40).select(F.col("id").alias("item_id"), F.lit(PASSAGE).alias("text"))  # windows that all items share
+    for most in (decontamination.MAX_BROADCAST, 50):
+        found = decontamination.hits(docs, many, most=most)
+        assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+        assert set(found.where("size(spans) > 0").select(F.size("items").alias("n")).toPandas().n) == {40}
+
+
+def test_conflicting_labels_count_as_bad_whatever_their_order(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    texts = {i: " ".join(["you stupid fool" if i % 2 else "a kind word"] + [f"w{i % 7}"] * 25) for i in ids}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clear = [(i, 1 - i % 2, i % 2) for i in ids]
+    other = [(i, 1, 0) for i in ids if i % 2]
+    tables = [spark.createDataFrame(rows, "doc_id long, quality int, toxic int") for rows in (clear, clear + other, other + clear)]
+    assert len({str(quality_rules.learn_rules(d, t)) for t in tables}) == 1
+    assert len({tuple(toxicity.training_words(d, t)[1]) for t in tables}) == 1
+
+
+def test_a_lost_payload_fails_the_read(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "v", "y")], "page_id bigint, url string, html string")
+    path = warc_store.write_archive(pages)
+    left = warc_store.read_payloads(spark, path).where("payload <> cast('x' as binary)").toPandas()
+    spark.createDataFrame(left).write.mode("overwrite").parquet(f"{path}/payloads")
+    for read in (warc_store.describe, warc_store.reconstruct):
+        with pytest.raises(Exception, match="payload is lost"):
+            read(spark, path).collect()
+
+
 def test_columns_of_any_name_survive(docs, spark):
     odd = docs.select("doc_id", "text", "source", F.lit(1).alias("a.b"), F.lit(2).alias("copy"), F.lit(3).alias("row"), F.lit(4).alias("_row"))
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")

@@ -8,8 +8,9 @@ window. Defined results: a null or empty text has no words, no hits and is clean
 or empty text of an item has no windows; an item with a null id counts for hits and spans, not for items; repeated rows each get their result; an empty benchmark
 leaves every document clean. Extra columns do no harm.
 
-The benchmark is broadcast, `MAX_BROADCAST` windows at a time: a larger one is dealt by hash into
-parts that each pass over the documents once, with the same plan and result.
+The benchmark is broadcast. One of more than `MAX_BROADCAST` windows, counted once for each item that has
+them, is dealt by hash into parts. Each part but the first passes over the documents in a job of its own that
+stores its hits, so no plan holds more than one part, and a window that very many items share is split too.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORD, ascii_lower, columns, let, store, text_of, words
 
 SIZE = 10
-#: Benchmark windows (a hash, a short string and item numbers each, some 200 bytes) that may be broadcast.
+#: Pairs of a benchmark window and an item (a hash, a short string and an id, some 200 bytes) that may be broadcast.
 MAX_BROADCAST = 500_000
 
 
@@ -55,6 +56,20 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
+def _part(b: DataFrame, i: int, parts: int) -> DataFrame:
+    """Part i of the windows: each pair of a window and an item is in one part, a window without items too."""
+    mine = F.filter("items", lambda x: F.pmod(F.xxhash64("bh", x), F.lit(parts)) == i)
+    return b.withColumn("items", mine).where((F.size("items") > 0) | (F.pmod("bh", F.lit(parts)) == i))
+
+
+def _alone(df: DataFrame) -> DataFrame:
+    """df by a job of its own. Its broadcast is released with the plan, which the collector has to notice
+    before the next one is sent."""
+    out = store(df)
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[str] | None = None, most: int = MAX_BROADCAST) -> DataFrame:
     """Per document row: row (a struct of the columns in `keep`), n_words, spans (sorted (p, k) of hit windows) and items.
 
@@ -64,7 +79,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[
     """
     keep = keep or ["doc_id"]
     bench = store(benchmark_windows(benchmark, size))
-    sizes = [(r["k"], r["n"]) for r in bench.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()]
+    pairs = F.sum(F.greatest(F.size("items"), F.lit(1)))  # at most `size` rows, whatever the benchmark
+    sizes = [(r["k"], r["n"]) for r in bench.groupBy("k").agg(pairs.alias("n")).orderBy("k").collect()]
     parts = max(1, -(-sum(n for _, n in sizes) // most))
     row, text = F.struct(*[c for c, name in zip(columns(docs), docs.columns) if name in keep]), text_of()
     base = docs.select(
@@ -88,7 +104,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[
 
     def probed(i: int) -> DataFrame:
         """Hits of one part of the windows; the documents' own cells come with the first."""
-        own = b if parts == 1 else b.where(F.pmod("bh", F.lit(parts)) == i)
+        own = b if parts == 1 else _part(b, i, parts)
         return each.join(F.broadcast(own), same, "left").where(F.col("items").isNotNull() | (first if i == 0 else F.lit(False))).select(
             "d1", "d2",
             F.when(first, F.col("row")).alias("row"),
@@ -97,7 +113,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, keep: list[
             "items",
         )
 
-    found = reduce(DataFrame.unionByName, map(probed, range(parts)))
+    found = reduce(DataFrame.unionByName, [_alone(probed(i)) for i in range(1, parts)], probed(0))
     out = found.groupBy("d1", "d2").agg(
         F.first("row", ignorenulls=True).alias("row"),
         F.max("n_words").alias("n_words"),

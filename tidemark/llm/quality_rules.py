@@ -82,13 +82,14 @@ def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame | None, *, max_labelled: int = MAX_LABELLED, **limits) -> list:
-    """The decision list for bad quality, from at most `max_labelled` labelled rows."""
+    """The decision list for bad quality, from at most `max_labelled` labelled rows. A document with
+    several labels is bad if one says so."""
     if labels is None:
         return []
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )

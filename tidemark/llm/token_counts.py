@@ -281,6 +281,8 @@ class Transducer:
         values = []
         for cell in cells:
             after, d = self.step(marshal.loads(self.states[cell // WIDTH]), *self.symbols[cell % WIDTH])
+            if not -32 <= d < 32:
+                raise ValueError(f"a transition changes the count by {d}, which six bits do not hold")
             values.append(self.number(after) * 64 + d + 32)
         self.insert(cells, values)
 

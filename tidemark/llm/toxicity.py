@@ -12,7 +12,7 @@ Units: words (A-Z in lower case, without punctuation at their ends); words of ov
 four or more one-letter words, joined. Every word of a text is looked at.
 
 Defined results: a null or empty text has the lowest margin and is not toxic; without labels of
-both kinds every score is 0; rows are scored one by one, so repeated rows, null ids and extra
+both kinds every score is 0; a document with several labels is toxic if one says so; rows are scored one by one, so repeated rows, null ids and extra
 columns need no rule. Ties among candidate words go to the word itself, in byte order.
 """
 
@@ -58,8 +58,8 @@ def training_words(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None
 
     A sentence is a line or ends with a full stop; a word counts once per labelled text."""
     chosen = (
-        labels.where(F.col("toxic").isNotNull() & (remainder() != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+        labels.where(F.col("toxic").isNotNull() & (remainder() != 0))
+        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -234,8 +234,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if machine is None:
         return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     chosen = (
-        labels.where(F.col("toxic").isNotNull() & (remainder() != 0)).select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("toxic"))
-        .dropDuplicates(["i"]).orderBy(F.xxhash64("i"), "i").limit(MAX_LABELLED // 4)
+        labels.where(F.col("toxic").isNotNull() & (remainder() != 0))
+        .groupBy(F.col("doc_id").alias("i")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("i"), "i").limit(MAX_LABELLED // 4)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).select("text", "toxic")
     seen = margins(sample, machine, "toxic").toPandas()

@@ -10,7 +10,8 @@ Of records with equal payloads the one with the largest page_id is `response`, t
 are `revisit` and refer to it. Defined results: null html is an empty payload; empty
 payloads are equal like any others; of rows that repeat a page_id and payload the same
 record is written each time, one of them stores the payload; a null page_id is below all
-others; an empty table gives empty archives.
+others; an empty table gives empty archives; line breaks in a url become blanks, as a header
+line may hold none; reading a record whose payload is not in the store fails.
 """
 
 from __future__ import annotations
@@ -105,10 +106,16 @@ def read_payloads(spark, path: str) -> DataFrame:
     )
 
 
+def _there(col: str) -> Column:
+    """The column of a payload row; a record whose payload is not in the store fails the job."""
+    lost = F.raise_error(F.concat(F.lit("payload is lost: "), F.col("digest")))
+    return F.when(F.col(col).isNull(), lost).otherwise(F.col(col))
+
+
 def reconstruct(spark, path: str) -> DataFrame:
     """Every original record: its header fields, exact header and full payload."""
     payloads = read_payloads(spark, path).dropDuplicates(["digest"])
-    return read_headers(spark, path).join(payloads, "digest")
+    return read_headers(spark, path).join(payloads, "digest", "left").withColumn("payload", _there("payload"))
 
 
 def describe(spark, path: str) -> DataFrame:
@@ -117,8 +124,8 @@ def describe(spark, path: str) -> DataFrame:
     stored = read_payloads(spark, path).select(
         "digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32(F.sha1("payload")).alias("actual")
     ).distinct()
-    return read_headers(spark, path).join(stored, "digest").select(
-        "page_id", "payload_bytes",
+    return read_headers(spark, path).join(stored, "digest", "left").select(
+        "page_id", _there("payload_bytes").alias("payload_bytes"),
         F.when(F.col("actual") == F.col("payload_digest"), F.col("actual")).otherwise(
             F.raise_error(F.concat(F.lit("payload digest differs: "), F.col("header"))).cast("string")
         ).alias("payload_digest"),
