@@ -37,10 +37,25 @@ def test_comparison_with_null_is_false(spark):
 
 
 def test_extremes_take_the_first_tie(spark):
-    p = panel_of(spark, [5, 1, 5, 2])
-    assert values(p, w.bars_since_max(F.col("x"), 4))[-1] == 3
-    assert values(p, w.min_after_max(F.col("x"), 4))[-1] == 1
-    assert values(panel_of(spark, [1, 2, 3]), w.min_after_max(F.col("x"), 3))[-1] == 3
+    p = w.extremes(panel_of(spark, [5, 1, 5, 2]), "x", 4)
+    assert values(p, F.col("_since_max"))[-1] == 3
+    assert values(p, F.col("_after_max"))[-1] == 1
+    assert values(w.extremes(panel_of(spark, [1, 2, 3]), "x", 3), F.col("_after_max"))[-1] == 3
+
+
+def test_extremes_equal_a_look_at_every_window(spark):
+    rng = np.random.default_rng(5)
+    x = [None if i in (40, 41, 90) else int(v) for i, v in enumerate(rng.integers(0, 6, 160))]  # few values, so many ties
+    p = panel_of(spark, x)
+    for n in (1, 2, 3, 7, 8, 21):
+        got = w.extremes(p, "x", n).orderBy("event_time").select("_highest", "_lowest", "_since_max", "_since_min", "_after_max").collect()
+        for i, r in enumerate(got):
+            v = x[i - n + 1 : i + 1] if i >= n - 1 else [None]
+            if None in v:
+                assert tuple(r) == (None,) * 5
+                continue
+            top, bottom = v.index(max(v)), v.index(min(v))
+            assert tuple(r) == (max(v), min(v), n - 1 - top, n - 1 - bottom, min(v[top + 1 :], default=max(v)))
 
 
 def test_percentile_rank_divides_by_the_window(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ENTITY, TIME = "entity_id", "event_time"
@@ -85,25 +85,47 @@ def true_range(high: Column, low: Column, close: Column) -> Column:
     return F.when(high.isNotNull() & low.isNotNull() & before.isNotNull(), F.greatest(*parts))
 
 
-def _values(col: Column, n: int) -> Column:
-    return F.when(F.count(col).over(rows(n)) == n, F.collect_list(col).over(rows(n)))
-
-
-def bars_since_max(col: Column, n: int) -> Column:
-    v = _values(col, n)
-    return (F.lit(n) - F.array_position(v, F.array_max(v))).cast("double")
-
-
-def bars_since_min(col: Column, n: int) -> Column:
-    v = _values(col, n)
-    return (F.lit(n) - F.array_position(v, F.array_min(v))).cast("double")
-
-
-def min_after_max(col: Column, n: int) -> Column:
-    """Lowest value strictly after the window's first maximum; the maximum if that is last."""
-    v = _values(col, n)
-    after = F.slice(v, (F.array_position(v, F.array_max(v)) + 1).cast("int"), F.lit(n))
-    return F.coalesce(F.array_min(after), F.array_max(v))
+def _join(older: Column, newer: Column) -> Column:
+    """Extremes of two runs of rows, of which the newer begins no later than a row after the older ends.
+
+    The runs may overlap: if both have the same first maximum it lies in the newer one, which knows all that follows it."""
+    higher, lower = newer["hi"] > older["hi"], newer["lo"] < older["lo"]
+    after = F.least(older["after"], newer["lo"])  # least skips nulls
+    return F.struct(
+        F.greatest(older["hi"], newer["hi"]).alias("hi"),
+        F.when(higher, newer["hi_at"]).otherwise(older["hi_at"]).alias("hi_at"),
+        F.when(higher | (newer["hi_at"] == older["hi_at"]), newer["after"]).otherwise(after).alias("after"),
+        F.least(older["lo"], newer["lo"]).alias("lo"),
+        F.when(lower, newer["lo_at"]).otherwise(older["lo_at"]).alias("lo_at"),
+    )
+
+
+def extremes(df: DataFrame, col: str, n: int) -> DataFrame:
+    """Adds, over the last n rows and null unless all have a value: `_highest`, `_lowest`, `_since_max` and
+    `_since_min` (rows since the first of them), and `_after_max`, the lowest value strictly after the first
+    maximum, or the maximum if that is last. The panel has the row's number as `_bar`.
+
+    By doubling: each step joins what a row knows of the 2^k rows up to it with what the row 2^k before knows of
+    its own, and the last step lets the two overlap. So a row holds five numbers and costs log2(n) joins."""
+    value = F.col(col)
+    one = F.struct(
+        value.alias("hi"), F.col("_bar").alias("hi_at"), F.lit(None).cast(df.schema[col].dataType).alias("after"), value.alias("lo"),
+        F.col("_bar").alias("lo_at"),
+    )
+    out = df.withColumn("_run", one).withColumn("_seen", F.count(value).over(history()))
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        out = out.withColumn("_older", shift(F.col("_run"), step)).withColumn("_run", _join(F.col("_older"), F.col("_run")))
+        size += step
+    out = out.withColumn("_before", F.coalesce(shift(F.col("_seen"), n), F.lit(0)))
+    whole, run = F.col("_seen") - F.col("_before") == n, F.col("_run")
+    return out.withColumns({
+        "_highest": F.when(whole, run["hi"]), "_lowest": F.when(whole, run["lo"]),
+        "_since_max": F.when(whole, (F.col("_bar") - run["hi_at"]).cast("double")),
+        "_since_min": F.when(whole, (F.col("_bar") - run["lo_at"]).cast("double")),
+        "_after_max": F.when(whole, F.coalesce(run["after"], run["hi"])),
+    }).drop("_run", "_older", "_seen", "_before")
 
 
 def percentile_rank(col: Column, n: int) -> Column:

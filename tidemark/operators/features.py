@@ -48,12 +48,12 @@ def feature_panel(panel: DataFrame, *, period: str = "day", short: int = SHORT,
     c = F.col
     close, high, low, volume = c("close"), c("high"), c("low"), c("volume")
     year = F.lit(float(PERIODS[period]) ** 0.5)
-    out = panel.withColumn("_bar", F.row_number().over(w.history()).cast("double"))
+    out = w.extremes(panel.withColumn("_bar", F.row_number().over(w.history()).cast("double")), "close", T)
     # each step may use what the steps before it made
     steps: list[dict[str, Column]] = [
         {
             "_lr": w.log_return(close), "_tr": w.true_range(high, low, close), "_pct": w.change(close, M),
-            "_max_t": w.highest(close, T), "_hi": w.highest(high, M), "_lo": w.lowest(low, M),
+            "_hi": w.highest(high, M), "_lo": w.lowest(low, M),
             "_vol_m": w.mean(volume, M), "_min_v": w.lowest(close, V), "_low_v": w.lowest(low, V), "_high_v": w.highest(high, V),
             "_rs_m": w.ratio(close, c("market")), "_rs_s": w.ratio(close, c("sector")), "_slope": w.slope(close, M),
             "_mkt_lr": w.log_return(c("market")),
@@ -61,12 +61,12 @@ def feature_panel(panel: DataFrame, *, period: str = "day", short: int = SHORT,
         {
             "_std": w.std(c("_lr"), M), "atr": w.mean(c("_tr"), M), "rvol": w.ratio(volume, c("_vol_m")),
             "lower_low_frequency": w.share(close < w.shift(c("_min_v")), M), "_r": w.shift(c("_hi")), "_s": w.shift(c("_lo")),
-            "_trough": w.min_after_max(close, T), "decline_duration_bars": w.bars_since_max(close, T),
             "_slope_rs_m": w.slope(c("_rs_m"), M), "_slope_rs_s": w.slope(c("_rs_s"), M),
         },
         {
-            "peak_to_trough_decline": w.ratio(c("_trough") - c("_max_t"), c("_max_t")),
-            "drawdown_pct": w.ratio(close - c("_max_t"), c("_max_t")),
+            "decline_duration_bars": c("_since_max"),
+            "peak_to_trough_decline": w.ratio(c("_after_max") - c("_highest"), c("_highest")),
+            "drawdown_pct": w.ratio(close - c("_highest"), c("_highest")),
             "momentum_deterioration": c("_pct") - w.shift(c("_pct"), M),
             "rs_deterioration_vs_market": w.change(c("_rs_m"), T), "rs_deterioration_vs_sector": w.change(c("_rs_s"), T),
             "distance_from_historical_high": w.ratio(close - w.expanding_max(close), w.expanding_max(close)),
