@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import normalize, windows as w
-from tidemark.operators import asof, evaluation, lifecycle, outcomes, panel, quality, rank, states
-from tidemark.sources import io
+from tidemark.operators import asof, evaluation, lifecycle, outcomes, panel, quality, rank, reads, states
+from tidemark.sources import io, sinks
 
 T = lambda d, h=0: dt.datetime(2024, 1, d, h)
 
@@ -308,3 +308,25 @@ def test_as_of_dispatch(spark):
     bars = spark.createDataFrame([(1, day(1), day(2), 10.0), (1, day(1), day(5), 11.0)], "entity_id int, event_time timestamp, availability_time timestamp, close double")
     at = lambda d: identity.as_of({"bar": bars}, "bar", [1], day(d)).collect()
     assert [r.close for r in at(3)] == [10.0] and [r.close for r in at(6)] == [11.0] and at(1) == []
+
+
+def test_outstanding_pairs_of_packs_of_receivers(spark, monkeypatch):
+    monkeypatch.setattr(states, "PACK", 3)
+    m = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "m string")
+    r = spark.createDataFrame([(i,) for i in range(10)] + [(1,)], "r long")
+    sent = [("a", i) for i in range(10)] + [("a", 77), ("b", 3), ("b", 3), ("b", 78)]
+    s = spark.createDataFrame(sent, "m string, r long")
+    want = {(x, i) for x in "abc" for i in range(10)} - set(sent)
+    got = [tuple(x) for x in states.outstanding(m, r, s, "m", "r").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert states.outstanding(m, r.where("false"), s, "m", "r").count() == 0
+    assert states.outstanding(m, r, s.where("false"), "m", "r").count() == 30
+
+
+def test_ties_go_to_the_order_of_the_other_columns(spark):
+    rows = [("k", 1, 5, x) for x in (2, 9, 4)]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(order, "k string, p int, seen int, x int").repartition(3)
+        assert [r.x for r in reads.per_period(df, "k", "p", "seen").collect()] == [9]
+        assert [r.x for r in sinks.projection(df, "k", ["p", "seen"]).collect()] == [9]
+        assert [r.x for r in evaluation.first_source(df, df.withColumn("x", F.lit(1)), key="k").collect()] == [2]

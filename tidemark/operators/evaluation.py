@@ -103,10 +103,10 @@ def histogram(df: DataFrame, col: str, *, bins: int = 12, clip: float = 2.0) ->
 
 
 def first_source(*sources: DataFrame, key: str) -> DataFrame:
-    """Union of sources; of rows with one key that of the first source stays."""
+    """Union of sources; of rows with one key that of the first source stays, and of its rows the first in order of its columns."""
     out = None
     for i, s in enumerate(sources):
         s = s.withColumn("_source", F.lit(i))
         out = s if out is None else out.unionByName(s)
-    w = Window.partitionBy(key).orderBy("_source")
+    w = Window.partitionBy(key).orderBy("_source", *[c for c in sources[0].columns if c != key])
     return out.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_source")

@@ -18,8 +18,9 @@ def signals_of(scan: DataFrame, *, score: str = "score", tie: str = "signal_id",
 
 
 def per_period(rows: DataFrame, key: str, period: str, observed: str) -> DataFrame:
-    """Of each key and period the version that was observed last."""
-    w = Window.partitionBy(key, period).orderBy(F.desc(observed))
+    """Of each key and period the version that was observed last; of several, the last in order of its columns."""
+    others = [c for c in rows.columns if c not in (key, period, observed)]
+    w = Window.partitionBy(key, period).orderBy(F.desc(observed), *map(F.desc, others))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

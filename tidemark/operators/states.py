@@ -134,10 +134,29 @@ def in_session(log: DataFrame, close: Column, time: str = "at") -> DataFrame:
     return log.where((F.col(time) >= close) & (F.col(time) < close + F.expr("INTERVAL 1 DAY")))
 
 
+#: Receivers that a message meets in one row.
+PACK = 1000
+
+
+def _every(messages: DataFrame, receivers: DataFrame, sent: DataFrame, message: str, receiver: str) -> DataFrame:
+    """Each message that some receiver lacks, with every receiver. A null is a receiver like others, of whom nobody knows that they have it."""
+    n = receivers.count()
+    if not n:
+        return messages.limit(0).join(receivers, F.lit(False))
+    have = sent.select(message, receiver).distinct().join(receivers, receiver, "left_semi").groupBy(message).agg(F.count("*").alias("_have"))
+    lacking = messages.join(have, message, "left").where(F.coalesce("_have", F.lit(0)) < n).select(message)
+    packs = -(-n // PACK)
+    each = lacking.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    of = F.pmod(F.xxhash64(receiver), F.lit(packs)).cast("int").alias("_pack")
+    packed = receivers.groupBy(of).agg(F.collect_list(F.struct(receiver)).alias("_all"))
+    return each.join(packed, "_pack").select(message, F.inline("_all"))
+
+
 def outstanding(messages: DataFrame, receivers: DataFrame, sent: DataFrame, message: str, receiver: str, *, by: str | None = None) -> DataFrame:
-    """(message, receiver) pairs that are due and not sent: of equal `by`, or of all receivers, who are broadcast then."""
+    """(message, receiver) pairs that are due and not sent: of equal `by`, or of all receivers. Messages that all
+    receivers have are left out then before the others meet the receivers, who come in packs of some `PACK`."""
     m, r = messages.select(message, *([by] if by else [])).distinct(), receivers.select(receiver, *([by] if by else [])).distinct()
-    due = m.join(r, by) if by else m.join(F.broadcast(r))
+    due = m.join(r, by) if by else _every(m, r, sent, message, receiver)
     return due.select(message, receiver).distinct().join(sent.select(message, receiver), [message, receiver], "left_anti")
 
 

@@ -15,8 +15,9 @@ def append_linked(spark: SparkSession, new: DataFrame, path: str, link: str, wit
 
 
 def projection(log: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The latest row of each key of an append-only log."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    """The latest row of each key of an append-only log; of several, the last in order of its columns."""
+    others = [c for c in log.columns if c not in (key, *order)]
+    w = Window.partitionBy(key).orderBy(*map(F.desc, (*order, *others)))
     return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
