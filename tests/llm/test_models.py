@@ -103,6 +103,17 @@ def test_language_model_learns_from_all_texts_whatever_their_number_and_length(s
     assert lm_score.fit_model(train.select("text"), count, None, rounds=4).score(row, size(row[:-1]))[0] > flat + 5
 
 
+def test_language_model_passes_over_every_training_text_of_a_large_corpus(spark):
+    """10^12 bytes, as far as it is told: no share of the texts stands for all of them, and the rounds leave none out."""
+    train = spark.createDataFrame([(i, f"stone river {i}") for i in range(400)], "doc_id long, text string").repartition(3)
+    sample = lm_score.training_sample(train, 10**12)
+    assert sample.count() == 400
+    for passes in (1, 2, 4):
+        rounds = [[r.text for r in d.collect()] for d in lm_score.texts_of_rounds(sample, 4, passes)]
+        every = sorted(t for r in rounds for t in r)
+        assert every == sorted(f"stone river {i}" for i in range(400) for _ in range(passes)) and min(map(len, rounds)) > 50 * passes
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_model_beats_the_unigram_base_on_held_out_texts(spark):
     pytest.importorskip("public_tokenizers")
