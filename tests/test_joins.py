@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evidence, intervals, panel
+from tidemark.operators import asof, evidence, intervals, panel, quality
 
 T0 = dt.datetime(2020, 1, 1)
 
@@ -82,6 +82,34 @@ def test_interval_join(spark, how, closed):
     assert got == sorted(want, key=str) and len(got) > 300
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_interval_totals_are_those_of_the_pairs(spark, closed):
+    """Equal points stay apart; totals are begun before any shuffle by point."""
+    rng = random.Random(3)
+    points = [(i // 2, rng.choice(["hot", "hot", "a", None]), at(rng.randrange(3000) / 2)) for i in range(120)] + [(90, "alone", at(1)), (90, "alone", at(1)), (91, "hot", None)]
+    spans = [(rng.choice(["hot", "a", None]), rng.choice([None, at(rng.randrange(3000) / 2)]), rng.choice([None, at(rng.randrange(4000) / 2)]), i) for i in range(150)]
+    p = spark.createDataFrame(points, "id int, k string, t timestamp_ntz")
+    s = spark.createDataFrame(spans, "k string, a timestamp_ntz, b timestamp_ntz, t int")
+    got = intervals.interval_totals(p, s, ["k"], "t", "a", "b", {"n": F.count("a"), "sum": F.sum("t")}, closed=closed)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, k, t in points:
+        held = [n for q, a, b, n in spans if q == k and k and t and a and a <= t and (b is None or t < b or closed and t == b) and (b is None or b > a or closed and b == a)]
+        want.append((i, k, t, len(held), sum(held) if held else None))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and sum(w[3] for w in want) > 500
+    partial = plan.index("partial_count")  # reads from the bottom: the join of pairs, then totals, then the shuffle by point
+    assert "hashpartitioning(_match" in plan[:partial] and "hashpartitioning(_match" not in plan[partial:]
+
+
+def test_identical_restatements_without_a_window(spark):
+    rows = [("a", at(1), 5), ("a", at(2), 5), ("a", at(0), None), ("a", at(3), None), ("b", at(1), 1), ("b", at(1), 2), ("b", at(2), 1), ("c", None, 3), ("c", at(1), 4), ("c", at(2), 3), ("d", at(1), 7), (None, at(1), 8), (None, at(9), 8)]
+    d = spark.createDataFrame(rows, "k string, t timestamp_ntz, x int")
+    got = quality.identical_restatements(d, ["k"], ["x"], "t")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 2), ("b", 2), ("c", 2), (None, 2)], key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_count" in plan
+
+
 def test_interval_join_of_nothing(spark):
     p = spark.createDataFrame([(1, "a", at(0))], "id int, k string, t timestamp_ntz")
     s = spark.createDataFrame([], "k string, a timestamp_ntz, b timestamp_ntz")

@@ -49,10 +49,10 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def identical_restatements(rows: DataFrame, keys: list[str], values: list[str], order: str) -> DataFrame:
     """Keys with more than one version whose values equal those of the first (by `order`): n versions like the first."""
-    w = Window.partitionBy(*keys).orderBy(order, *values)
-    first = F.first(F.struct(*values)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    same = rows.withColumn("_first", first).where(F.col("_first").eqNullSafe(F.struct(*values)))
-    return same.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    # rows with equal values are counted first, so that no task holds a key's versions; nulls come first in a struct as in an order
+    versions = rows.groupBy(*keys, *values).agg(F.min(F.struct(order)).alias("_at"), F.count("*").alias("_n"))
+    first = versions.groupBy(*keys).agg(F.min(F.struct("_at", *values, "_n")).alias("_first"))
+    return first.select(*keys, F.col("_first._n").alias("n")).where("n > 1")
 
 
 def feed_status(latest, now, *, fresh_hours: float = 26, stale_hours: float = 80):
