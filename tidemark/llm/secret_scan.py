@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, text_of
+from .common import columns, store, text_of
 
 #: Characters on either side that are looked at.
 BEFORE, AFTER = 32, 12
@@ -98,6 +98,12 @@ def labelled_findings(spark: SparkSession, rows: int = 12_000) -> DataFrame:
     number = F.substring(F.translate(F.sha2(F.concat(h, F.lit("n")), 256), "abcdef", "172839"), 1, 16)
     sep = F.element_at(F.array(*[F.lit(x) for x in ("=", " = ", ": ", "=\"", " = \"", ": '")]), F.pmod(F.col("id"), F.lit(6)).cast("int") + 1)
     end = F.when(sep.rlike("[\"']$"), F.substring(sep, -1, 1)).otherwise(F.lit(" "))
+    letters = F.translate(h, "0123456789abcdef", "QkZmXaTrBvYwNdHs")
+    plain = F.translate(hex_(1, 9), "0123456789abcdef", "aeiouthrsnldmpgc")
+    # stored, as each kind below would else repeat these expressions in its plan
+    made_of = {"h": h, "code": code, "caps": caps, "word": word, "size": size, "number": number, "sep": sep, "end": end, "letters": letters, "plain": plain}
+    parts = store(spark.range(0, rows, 1, 1).select("id", *[c.alias(n) for n, c in made_of.items()]))
+    h, code, caps, word, size, number, sep, end, letters, plain = map(F.col, made_of)
     pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), F.pmod(F.floor(F.col("id") / 7), F.lit(len(x))).cast("int") + 1)
     key = pick("password", "token", "secret", "api_key", "passwd", "auth_token", "access_key")
     kinds = [
@@ -117,9 +123,7 @@ def labelled_findings(spark: SparkSession, rows: int = 12_000) -> DataFrame:
         (word, F.concat(F.lit("station"), F.substring(number, 1, 2), F.translate(hex_(1, 9), "0123456789abcdef", "aeiouthrsnldmpgc")), F.lit(" "), 0),
     ]
     # short, signed and digitless values, vendor keys with dots, URLs and blocks; then plain words and prose after key words
-    letters = F.translate(h, "0123456789abcdef", "QkZmXaTrBvYwNdHs")
     signed = F.concat(F.substring(code, 1, 3), pick("!", "#", "$", "@", "%"), F.substring(letters, 4, 3), pick("&", "-", "_", "."), F.substring(code, 8, 3))
-    plain = F.translate(hex_(1, 9), "0123456789abcdef", "aeiouthrsnldmpgc")
     secret = [
         (F.concat(word, key, sep), F.concat(F.substring(letters, 1, 3), F.substring(code, 4, 6)), end, 1),
         (F.concat(word, key, sep), signed, end, 1),
@@ -139,17 +143,21 @@ def labelled_findings(spark: SparkSession, rows: int = 12_000) -> DataFrame:
     for i, (b, v, a, y) in enumerate(kinds):
         s = F.struct(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(y).alias("label"))
         made = F.when(which == i, s) if made is None else made.when(which == i, s)
-    return spark.range(0, rows, 1, 1).select(made.alias("x")).select("x.*")
+    return parts.select(made.alias("x")).select("x.*")
 
 
 def train_forest(findings: DataFrame) -> str | None:
-    """SQL for the share of trees that take struct f for a secret; None without both labels."""
+    """SQL for the share of trees that take struct f for a secret; None without both labels.
+
+    The findings and then their features are stored, so that the long expressions which make them are planned
+    once: training starts many jobs, and the driver keeps the plan of each."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = findings.where("label is not null and value is not null").select(
+    findings = store(findings.where("label is not null and value is not null").select("before", "value", "after", "label"))
+    rows = store(findings.select(
         features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))).alias("f"), F.col("label").cast("double").alias("label")
-    ).select("f.*", "label")
+    ).select("f.*", "label"))
     if rows.select("label").distinct().limit(2).count() < 2:
         return None
     table = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows).select("x", "label").persist()
