@@ -1,12 +1,14 @@
 """The models: kernel values, held-out accuracy, probabilities that sum to 1, transducer against the library."""
 
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import lm_score, string_kernel, token_counts, toxicity
+from tidemark.llm import lm_score, string_kernel, textvec, token_counts, toxicity
 from tidemark.llm.attention import Model
 
 SF = "/root/testdata/sf0.01"
@@ -154,6 +156,73 @@ def test_score_is_attention_by_hand():
     assert abs(got - total) < 1e-3 * abs(total)
 
 
+def test_gradients_are_the_slopes_of_the_loss():
+    rng = np.random.default_rng(0)
+    ids = np.concatenate([rng.integers(0, 30, 70), [-1]])
+    m = Model(ids, 30, classes=9, width=8, context=12, stride=5)
+    for k in m.p:
+        m.p[k] = rng.normal(0, 0.4, m.p[k].shape)  # in double, so that differences show
+    rows = np.concatenate(list(m.training_windows(np.where(ids < 0, m.end, ids), np.array([len(ids)]))))
+    x, target = rows[:, :12], rows[:, 12:]
+    _, whole, by_row = m.gradients(x, target)
+    for k, parts in by_row.items():
+        whole[k] = np.zeros(m.p[k].shape)
+        for at, g in parts:
+            whole[k][at] += g
+    for k, g in whole.items():
+        way = rng.normal(0, 1, g.shape)
+        kept, ends = m.p[k], []
+        for step in (1e-4, -1e-4):  # a longer one crosses the kinks of the hidden layer
+            m.p[k] = kept + step * way
+            ends.append(m.gradients(x, target)[0])
+        m.p[k] = kept
+        slope = (ends[0] - ends[1]) / 2e-4
+        assert abs(slope - (g * way).sum()) < 0.01 * max(abs(slope), np.abs(g * way).sum() / 10), k
+
+
+def test_gradients_and_scores_of_large_numbers_are_finite():
+    rng = np.random.default_rng(0)
+    ids = np.concatenate([rng.integers(0, 30, 70), [-1]])
+    m = Model(ids, 30, classes=9, width=8, context=12, stride=5)
+    m.p = {k: rng.normal(0, 8, v.shape).astype(np.float32) for k, v in m.p.items()}  # exponentials overflow as they are
+    ids = np.where(ids < 0, m.end, ids)
+    rows = np.concatenate(list(m.training_windows(ids, np.array([len(ids)]))))
+    loss, whole, by_row = m.gradients(rows[:, :12], rows[:, 12:])
+    assert np.isfinite(loss) and all(np.isfinite(g).all() for g in whole.values()) and all(np.isfinite(g).all() for r in by_row.values() for _, g in r)
+    assert np.isfinite(m.score(ids, np.array([len(ids)]))).all()
+
+
+def test_steps_of_the_model_do_not_fetch_their_memory_anew():
+    """In a process of its own, as a task's: page faults of eight steps. Their arrays, fetched anew, are some 4,000 pages each."""
+    code = """
+import resource
+import numpy as np
+from tidemark.llm.attention import Model
+rows = np.random.default_rng(0).integers(0, 300, (256, 56))
+m, faults = Model(None, 300, count=np.ones(301)), []
+def batches():
+    for _ in range(13):
+        faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+        yield rows
+m.descend(batches(), lambda i: 0.01)
+print(faults[12] - faults[4])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True)
+    assert int(got.stdout) < 4000
+
+
+def test_training_tasks_do_not_encode_known_words_again(spark):
+    words = ["stone", "river"]
+    hashes = textvec.Words(pa.array([" ".join(words)])).hashes()
+    known = np.sort(hashes), np.argsort(hashes).astype(np.int32) + 1, np.ones(2, np.int16)
+    train = spark.createDataFrame([(i, "stone river " * 8) for i in range(50)], "doc_id long, text string")
+    count = np.array([0, 400, 400, 0, 50])
+    m = lm_score.fit_model(train, count, "/no/such/vocabulary.json", rounds=2, known=known)  # every word is known: nothing to encode
+    right, wrong = (m.score(np.array([*a, 4]), np.array([5]))[0] for a in ([1, 2, 1, 2], [2, 2, 1, 1]))
+    assert right > wrong
+
+
 def test_transducer_matches_the_library_on_odd_texts():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
