@@ -180,6 +180,51 @@ def test_gradients_are_the_slopes_of_the_loss():
         assert abs(slope - (g * way).sum()) < 0.01 * max(abs(slope), np.abs(g * way).sum() / 10), k
 
 
+def test_graphs_give_what_numpy_gives(monkeypatch):
+    """Texts of all lengths, so that windows have padding on both sides and places without a target; a second batch of another size, the first one again."""
+    pytest.importorskip("onnxruntime")
+    from tidemark.llm import graphs
+
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 120, 40)
+    ids = rng.integers(0, 300, lengths.sum()).astype(np.int32)
+    ids[np.cumsum(lengths) - 1] = 300
+    m = Model(None, 300, count=np.bincount(ids, minlength=301))
+    m.p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in m.p.items()}
+    rows = np.concatenate(list(m.training_windows(ids, lengths)))
+    batches = [rows[:50], rows[50:], rows[:50]]
+
+    def all_of() -> list[tuple[float, dict]]:
+        out = []
+        for b in batches:
+            loss, whole, by_row = m.gradients(b[:, : m.context], b[:, m.context :])
+            for k, parts in by_row.items():
+                whole[k] = np.zeros(m.p[k].shape)
+                for at, g in parts:
+                    whole[k][at] += g
+            out.append((loss, whole))
+        return out
+
+    assert m._graphs() and (rows[:, m.context :] < 0).any() and (rows[:, : m.context] == m.pad).any()
+    got, scores = all_of(), m.score(ids, lengths, block=16)
+    monkeypatch.setattr(graphs, "runtime", lambda: None)
+    assert not m._graphs()
+    want, plain = all_of(), m.score(ids, lengths, block=16)
+    for (a, x), (b, y) in zip(got, want):
+        assert abs(a - b) < 1e-5 * b and x.keys() == y.keys()
+        for k in y:
+            assert np.abs(x[k] - y[k]).max() < 1e-5 * max(np.abs(y[k]).max(), 1e-3), k
+    assert np.abs(scores - plain).max() < 1e-5 * np.abs(plain).max()
+
+
+def test_only_tasks_that_use_the_model_load_the_runtime():
+    """All queries import the model's module; a process that does not learn or score has no use for the runtime's memory."""
+    code = "import sys, __spark_entry__; from tidemark.llm import attention; print('onnxruntime' in sys.modules)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert got.stdout.strip() == "False"
+
+
 def test_gradients_and_scores_of_large_numbers_are_finite():
     rng = np.random.default_rng(0)
     ids = np.concatenate([rng.integers(0, 30, 70), [-1]])
