@@ -217,6 +217,15 @@ def test_graphs_give_what_numpy_gives(monkeypatch):
     assert np.abs(scores - plain).max() < 1e-5 * np.abs(plain).max()
 
 
+def test_a_process_that_has_learnt_keeps_no_arrays_of_its_steps():
+    pytest.importorskip("onnxruntime")
+    from tidemark.llm import graphs
+
+    rows = np.random.default_rng(0).integers(0, 300, (100, 56))
+    assert len(Model(None, 300, count=np.ones(301)).descend(iter([rows[:64], rows[64:]]), lambda i: 0.01)) == 2
+    assert graphs.step.cache_info().currsize == 0
+
+
 def test_only_tasks_that_use_the_model_load_the_runtime():
     """All queries import the model's module; a process that does not learn or score has no use for the runtime's memory."""
     code = "import sys, __spark_entry__; from tidemark.llm import attention; print('onnxruntime' in sys.modules)"
